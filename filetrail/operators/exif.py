@@ -214,7 +214,7 @@ def exif_columns(entries: DataFrame, keys: list[str]) -> DataFrame:
     shown = lambda e: F.coalesce(e["text"], F.array_join(e["numbers"].cast("array<string>"), ","))
     iso_speed = F.coalesce(shown(at("exif", TAG_ISO_SPEED)), shown(at("exif", TAG_ISO)))
     raw = F.map_from_entries(F.array_compact(F.array(*[
-        F.when(at(ifd, tag).isNotNull(), F.struct(
+        F.when((iso_speed if tag == TAG_ISO else at(ifd, tag)).isNotNull(), F.struct(
             F.lit(name).alias("name"), (iso_speed if tag == TAG_ISO else shown(at(ifd, tag))).alias("value")))
         for ifd, tag, name in RAW_NAMES
     ])))

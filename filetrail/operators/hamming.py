@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from itertools import combinations
 from math import comb
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filetrail.functions.fingerprints import hamming
@@ -80,29 +80,23 @@ def layout_steps(radius: int, choices: tuple[int, ...]) -> list[tuple[int, list[
     return steps
 
 
-def _band_value(bits: Column, band: Band) -> Column:
-    if band.width == 0:
-        return F.lit(0).cast("bigint")
-    return F.shiftrightunsigned(bits, band.shift).bitwiseAND(F.lit((1 << band.width) - 1))
-
-
-def _stored_keys(bits: Column, bands: list[Band], tag: int) -> Column:
-    return F.array(
-        *[F.struct(F.lit(tag * 16 + i).alias("band"), _band_value(bits, b).alias("key")) for i, b in enumerate(bands)]
-    )
+def _band_table(spark: SparkSession, steps: list[tuple[int, list[Band]]], probes: bool) -> DataFrame:
+    """(layout, band, shift, keep, mask): one row per band, or per probe of a band.
 
+    Its size depends on the layouts only, never on the data: at most MAX_MASKS rows per band.
+    """
+    rows = [
+        (tag, i, band.shift, (1 << band.width) - 1, mask)
+        for tag, (_, bands) in enumerate(steps)
+        for i, band in enumerate(bands)
+        for mask in (band.masks() if probes else [0])
+    ]
+    return spark.createDataFrame(rows, "layout int, band int, shift int, keep bigint, mask bigint")
 
-def _probe_keys(bits: Column, bands: list[Band], tag: int) -> Column:
-    def of_band(i: int, band: Band) -> Column:
-        masks = F.expr("array(" + ",".join(f"{m}L" for m in band.masks()) + ")")
-        return F.transform(
-            masks,
-            lambda m: F.struct(
-                F.lit(tag * 16 + i).alias("band"), _band_value(bits, band).bitwiseXOR(m).alias("key")
-            ),
-        )
 
-    return F.concat(*[of_band(i, b) for i, b in enumerate(bands)])
+def _keyed(rows: DataFrame, table: DataFrame, bits: str) -> DataFrame:
+    value = F.expr(f"(shiftrightunsigned({bits}, shift) & keep) ^ mask")
+    return rows.join(F.broadcast(table), "layout").withColumn("__key", value).drop("layout", "shift", "keep", "mask")
 
 
 def near_values(
@@ -116,30 +110,17 @@ def near_values(
     hold distinct values per group, so copies never multiply. `bands` fixes one layout; by default it is
     chosen per group from the group's number of stored values. A pair can appear once per agreeing band.
     """
-    if bands:
-        steps = [(1 << 62, layout(radius, bands))]
-    else:
-        steps = layout_steps(radius, (2, 3, 4, 5, 6, 8, 11))
-    near = stored.withColumnRenamed(bits, "near")
-    far = searched
-    if len(steps) > 1:
-        sizes = stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-        near = near.join(sizes, keys)
-        far = far.join(sizes, keys)
-
-    def pick(make) -> Column:
-        chosen = make(steps[-1][1], len(steps) - 1)
-        for tag in reversed(range(len(steps) - 1)):
-            limit, bs = steps[tag]
-            chosen = F.when(F.col("__n") <= limit, make(bs, tag)).otherwise(chosen)
-        return chosen
-
-    near = near.withColumn("__k", F.explode(pick(lambda bs, tag: _stored_keys(F.col("near"), bs, tag))))
-    far = far.withColumn("__k", F.explode(pick(lambda bs, tag: _probe_keys(F.col(bits), bs, tag))))
-    near = near.select("*", F.col("__k.band").alias("__band"), F.col("__k.key").alias("__key")).drop("__k", "__n")
-    far = far.select("*", F.col("__k.band").alias("__band"), F.col("__k.key").alias("__key")).drop("__k", "__n")
+    spark = searched.sparkSession
+    steps = [(1 << 62, layout(radius, bands))] if bands else layout_steps(radius, (2, 3, 4, 5, 6, 8, 11))
+    near, far = stored.withColumnRenamed(bits, "near"), searched
+    chosen = F.lit(len(steps) - 1)
+    for tag in reversed(range(len(steps) - 1)):
+        chosen = F.when(F.col("__n") <= steps[tag][0], tag).otherwise(chosen)
+    sizes = stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).select(*keys, chosen.alias("layout"))
+    near = _keyed(near.join(sizes, keys), _band_table(spark, steps, probes=False), "near")
+    far = _keyed(far.join(sizes, keys), _band_table(spark, steps, probes=True), bits)
     distance = hamming(F.col(bits), F.col("near"))
-    joined = far.join(near, [*keys, "__band", "__key"]).filter(distance <= radius)
+    joined = far.join(near, [*keys, "band", "__key"]).filter(distance <= radius)
     if at_least:
         joined = joined.filter(distance >= at_least)
     if before:

@@ -14,7 +14,7 @@ from filetrail.functions.binary import indexes, let
 from filetrail.functions.fingerprints import bits_to_hex, content_sha256, file_id, simhash64
 from filetrail.functions.formats import declared_format, format_mismatch
 from filetrail.operators.exif import exposure_text
-from filetrail.session import stage
+from filetrail.session import spread, stage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +36,7 @@ def document_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fingerprinted_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """document_uploads without the text, with its 3-word fingerprint in the role of `phash`. Staged."""
-    uploads = document_uploads(spark, sf_dir)
+    uploads = spread(document_uploads(spark, sf_dir))
     marks = simhash64(uploads, ["session_id", "arrival"], "text", 3, "phash")
     return stage(uploads.drop("text").join(marks, ["session_id", "arrival"], "left"), "fingerprints")
 

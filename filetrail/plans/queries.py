@@ -12,7 +12,7 @@ from filetrail.functions.formats import declared_format, format_mismatch, sniff_
 from filetrail.operators import claims, exif, features, grids, hamming, icc, lineage, matching, ordered, pdf, rules
 from filetrail.operators import segments, verdicts
 from filetrail.plans import analyze, bindings
-from filetrail.session import stage
+from filetrail.session import spread, stage
 from filetrail.sources import files, results
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,7 +106,7 @@ def lookup_result(spark, sf_dir):
         bindings.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("arrival"), "quality"), "arrival"
     ).select(F.when(F.col("quality") == 1, F.col("session_id")).otherwise("none").alias("session_id"), "file_id",
              F.col("arrival").alias("asked_by"))
-    found = results.lookup_results(wanted, table)
+    found = results.lookup_results(table, wanted)
     return found.select("asked_by", "session_id", "file_id", "filename", "sha256", "width")
 
 
@@ -387,7 +387,7 @@ def luma(spark, sf_dir):
 
 @query
 def simhash64(spark, sf_dir):
-    marks = fp.simhash64(_docs(spark, sf_dir), ["doc_id"], "text")
+    marks = fp.simhash64(spread(_docs(spark, sf_dir)), ["doc_id"], "text")
     return marks.select("doc_id", fp.hash_hex(F.col("simhash")).alias("simhash"))
 
 

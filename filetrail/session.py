@@ -49,3 +49,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{staging_dir(spark)}/filetrail/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for expensive work per row on a scan with fewer partitions than cores.
+
+    Larger scans already have enough partitions and are left alone, so big data is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
