@@ -181,17 +181,12 @@ def simhash64(df: DataFrame, key: list[str], text: str, width: int = 3, out: str
     votes = df.select(*key, F.explode(shingles(F.split(F.col(text), " "), width)).alias("shingle")).select(
         *key, F.conv(F.substring(F.md5("shingle"), 1, 16), 16, -10).cast("bigint").alias("h")
     )
-    pair_mask = F.lit((1 << 32) | 1)
-    sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(pair_mask)).alias(f"v{i}") for i in range(32)]
+    sums = [F.expr(f"sum(shiftrightunsigned(h, {i}) & 4294967297L)").alias(f"v{i}") for i in range(32)]
     tallied = votes.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *sums)
-    low_half = F.lit(0xFFFFFFFF)
 
-    def bit(count: Column, position: int) -> Column:
-        value = 1 << position if position < 63 else -(1 << 63)
-        return F.when(count * 2 > F.col("n"), F.lit(value).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    def bit(count: str, position: int) -> str:
+        return f"if({count} * 2 > n, shiftleft(1L, {position}), 0L)"
 
-    packed = F.lit(0).cast("bigint")
-    for i in range(32):
-        packed = packed.bitwiseOR(bit(F.col(f"v{i}").bitwiseAND(low_half), i))
-        packed = packed.bitwiseOR(bit(F.shiftrightunsigned(f"v{i}", 32), i + 32))
-    return tallied.select(*key, packed.alias(out))
+    bits = [bit(f"(v{i} & 4294967295L)", i) for i in range(32)]
+    bits += [bit(f"shiftrightunsigned(v{i}, 32)", i + 32) for i in range(32)]
+    return tallied.select(*key, F.expr(" | ".join(bits)).alias(out))

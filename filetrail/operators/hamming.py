@@ -64,13 +64,16 @@ def cost(bands: list[Band], values: int) -> float:
     return probes + values * sum(b.probes / 2.0**b.width for b in bands)
 
 
-def layout_steps(radius: int, choices: tuple[int, ...]) -> list[tuple[int, list[Band]]]:
-    """(largest number of values, layout) in rising order: the cheapest layout for each session size."""
+def layout_steps(radius: int, choices: tuple[int, ...], largest: int = 1 << 40) -> list[tuple[int, list[Band]]]:
+    """(number of values, layout) in rising order: the cheapest layout up to each session size.
+
+    The last layout also serves every larger size, so it stays exact if `largest` is an estimate.
+    """
     layouts = [WHOLE_GROUP] + [layout(radius, m) for m in choices if m <= radius + 1]
     layouts = [bands for bands in layouts if all(b.probes <= MAX_MASKS for b in bands)]
     steps: list[tuple[int, list[Band]]] = []
     size = 1
-    while size < 1 << 40:
+    while not steps or steps[-1][0] < largest:
         best = min(layouts, key=lambda bands: cost(bands, size))
         if steps and steps[-1][1] == best:
             steps[-1] = (size, best)
@@ -102,16 +105,18 @@ def _keyed(rows: DataFrame, table: DataFrame, bits: str) -> DataFrame:
 def near_values(
     searched: DataFrame, stored: DataFrame, keys: list[str], radius: int,
     bits: str = "h", before: str | None = None, bands: int | None = None, at_least: int = 0,
+    largest: int = 1 << 40,
 ) -> DataFrame:
     """Pairs (searched row, stored row) of one group with at_least <= distance <= radius.
 
     Both sides carry `keys`, `bits` and any payload; stored payload columns must have other names. `before`
     names an order column: the stored side must have `first_<before>` < searched `<before>`. Both sides must
     hold distinct values per group, so copies never multiply. `bands` fixes one layout; by default it is
-    chosen per group from the group's number of stored values. A pair can appear once per agreeing band.
+    chosen per group from the group's number of stored values; `largest`, the number of values of the largest
+    group, only keeps layouts out of the plan that no group would use. A pair can appear once per agreeing band.
     """
     spark = searched.sparkSession
-    steps = [(1 << 62, layout(radius, bands))] if bands else layout_steps(radius, (2, 3, 4, 5, 6, 8, 11))
+    steps = [(1 << 62, layout(radius, bands))] if bands else layout_steps(radius, (2, 3, 4, 5, 6, 8, 11), largest)
     near, far = stored.withColumnRenamed(bits, "near"), searched
     chosen = F.lit(len(steps) - 1)
     for tag in reversed(range(len(steps) - 1)):

@@ -27,8 +27,9 @@ from filetrail.session import stage
 # Thresholds of the two passes.
 MATCH_DISTANCE = 10
 MIN_GOOD_FEATURES = 25
-# Radii searched one after the other before the full radius.
+# Radii searched before the full radius, and the number of values in a session from which that pays.
 NEAR_TIERS = (3,)
+TIER_VALUES = 50_000
 
 
 def prior_candidates(
@@ -93,39 +94,42 @@ def _settle(found: DataFrame, ranks: Column) -> DataFrame:
 
 def hash_matches(
     uploads: DataFrame, hashes: list[str], radius: int = MATCH_DISTANCE, searching: str | None = None,
-    tiers: tuple[int, ...] = NEAR_TIERS, bands: int | None = None, block_rows: int = BLOCK_ROWS,
+    tiers: tuple[int, ...] | None = None, bands: int | None = None, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Best fingerprint parent per upload: session_id, arrival, parent_file_id, parent_order, metric, match_type.
 
     `uploads` has session_id, arrival (unique in a session), file_id and bigint fingerprint columns, listed in
-    `hashes` by rank. `searching` names a boolean column; uploads without it are candidates only.
+    `hashes` by rank. `searching` names a boolean column; uploads without it are candidates only. `uploads` is read
+    several times, so it should be a table. `tiers` fixes the radii tried first; by default they depend on the
+    largest session.
     """
-    wanted = F.col(searching) if searching else F.lit(True)
-    lean = uploads.select("session_id", "arrival", "file_id", wanted.alias("searching"), *hashes)
+    slots = F.array(*[F.struct(F.lit(i).alias("rank"), F.col(h).alias("h")) for i, h in enumerate(hashes)])
+    keys, upload_key = ["session_id", "rank", "h"], ["session_id", "arrival"]
+
+    def carriers(rows: DataFrame, *kept: str) -> DataFrame:
+        listed = rows.withColumn("slot", F.explode(slots)).filter("slot.h is not null")
+        return listed.select("session_id", "arrival", *kept, "slot.rank", "slot.h")
+
+    lean = uploads.select("session_id", "arrival", "file_id", *hashes)
     lives = next_value(
         lean, ["session_id", "file_id"], "arrival", number_block("arrival", block_rows), "replaced_at"
     )
-    slots = F.array(*[F.struct(F.lit(i).alias("rank"), F.col(h).alias("h")) for i, h in enumerate(hashes)])
-    keys = ["session_id", "rank", "h"]
-    carriers = stage(
-        lives.withColumn("slot", F.explode(slots)).filter("slot.h is not null").select(
-            "session_id", "arrival", "file_id", "searching", "replaced_at", "slot.rank", "slot.h"
-        ),
-        "carriers",
-    )
-    heads = stage(_heads(carriers, keys, block_rows), "heads")
+    heads = stage(_heads(carriers(lives, "file_id", "replaced_at"), keys, block_rows), "heads")
     ranks = F.array(*[F.lit(h) for h in hashes])
-    children = carriers.filter("searching").select("session_id", "arrival", "rank", "h")
+    children = carriers(uploads.filter(F.col(searching)) if searching else uploads)
     same = _heads_at(heads, children, keys, "arrival", block_rows).withColumn("distance", F.lit(0))
     settled = stage(_settle(same, ranks), "settled-0")
     results = [settled]
     values = heads.groupBy(*keys).agg(F.min("head.order").alias("first_arrival"))
-    upload_key = ["session_id", "arrival"]
+    largest = values.groupBy("session_id", "rank").count().agg(F.max("count")).first()[0] or 0
+    if tiers is None:
+        tiers = NEAR_TIERS if largest > TIER_VALUES else ()
     done = 0
-    for reach in [t for t in tiers if t < radius] + [radius]:
-        children = stage(children.join(settled, upload_key, "left_anti"), "open")
+    for reach in [t for t in tiers if t < radius] + [radius] * (radius > 0):
+        children = children.join(settled, upload_key, "left_anti")
         pairs = near_values(
-            children, values, ["session_id", "rank"], reach, before="arrival", bands=bands, at_least=done + 1
+            children, values, ["session_id", "rank"], reach, before="arrival", bands=bands, at_least=done + 1,
+            largest=largest,
         )
         moments = pairs.groupBy("session_id", "arrival", "rank", F.col("near").alias("h")).agg(
             F.min("distance").alias("distance")

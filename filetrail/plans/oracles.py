@@ -384,3 +384,19 @@ ORACLES["lineage_depth"] = f"""with recursive {RESULTS},
   qualify row_number() over (partition by w.session_id, w.file_id order by l.up is null desc, l.arrival) = 1)
  select session_id, file_id, case when session_id in (select session_id from rooted) then hops else 0 end as depth from picked"""
 ORACLES["stream_match_replay"] = ORACLES["best_match"]
+ORACLES["stateful_match"] = ORACLES["best_match"]
+ORACLES["incremental_graph"] = ORACLES["session_edges"]
+_SHIFTED = f"""{_EDGES}, red as ({_shift('edges', 'e', 1)}),
+ blue as (select m.vec_id - 2 as vec_id, dy, dx, round(sum(pow(m.e - f.e, 2)) / 64, 12) as err
+   from edges m, range(-3, 4) a(dy), range(-3, 4) b(dx), edges f
+   where f.vec_id = m.vec_id - 1 and f.y = (m.y + dy + 8) % 8 and f.x = (m.x + dx + 8) % 8 group by all),
+ best as (select vec_id, sqrt(dy * dy + dx * dx) as d, 1 as c from red qualify row_number() over (partition by vec_id order by err, dy, dx) = 1
+   union all select vec_id, sqrt(dy * dy + dx * dx), 2 from blue qualify row_number() over (partition by vec_id order by err, dy, dx) = 1),
+ mis as (select vec_id, round(sum(d) / 2, 4) as misalignment from best group by vec_id having count(*) = 2)"""
+ORACLES["channel_misalignment"] = f"with {_SHIFTED} select * from mis"
+ORACLES["grid_stats"] = f"""with {_SHIFTED}, near as (select c.vec_id, c.p, any_value(c.v) as v, median(n.v) as m
+   from cells c, range(-1, 2) a(dy), range(-1, 2) b(dx), cells n where n.vec_id = c.vec_id
+   and n.p = least(greatest(c.y + dy, 0), 7) * 8 + least(greatest(c.x + dx, 0), 7) group by all),
+ noise as (select vec_id, round(avg(abs(v - m)), 4) as mean_residual_noise from near group by vec_id)
+ select vec_id, mean_residual_noise, misalignment, 'Pixel statistics are logged for transparency only. They do not drive any verdict or score.' as note
+ from noise left join mis using (vec_id)"""

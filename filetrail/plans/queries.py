@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,9 @@ from filetrail.functions.formats import declared_format, format_mismatch, sniff_
 from filetrail.operators import claims, exif, features, grids, hamming, icc, lineage, matching, ordered, pdf, rules
 from filetrail.operators import segments, verdicts
 from filetrail.plans import analyze, bindings
-from filetrail.session import spread, stage
+from filetrail.session import spread, stage, staging_dir
 from filetrail.sources import files, results
+from filetrail.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -121,12 +123,6 @@ def result_json_roundtrip(spark, sf_dir):
         F.col("size.height").alias("height"))
 
 
-def _word_blobs(spark, sf_dir):
-    words = F.split("text", " ")
-    return _docs(spark, sf_dir).select("doc_id", F.aggregate(
-        words, F.lit(b""), lambda acc, w: F.concat(acc, F.unhex(F.sha2(w, 256)))).alias("blob"))
-
-
 @query
 def blob_stride(spark, sf_dir):
     joined = F.unhex(F.array_join(F.transform(F.split("text", " "), lambda w: F.sha2(w, 256)), ""))
@@ -158,10 +154,6 @@ def format_mismatch_of_files(spark, sf_dir):
         "doc_id", format_mismatch(sniff_format(F.col("content")), F.col("declared")).cast("int").alias("mismatch"))
 
 
-def _of_format(spark, sf_dir, kind: int):
-    return _byte_files(spark, sf_dir).filter(F.col("doc_id") % 4 == kind)
-
-
 def _jpegs(spark, sf_dir):
     return _docs(spark, sf_dir).withColumn("content", bindings.jpeg_bytes()).select("doc_id", "content")
 
@@ -689,6 +681,50 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session_edges(spark, sf_dir)
 
 
+# --- streaming ------------------------------------------------------------------------------------------------
+
+def _replayed(uploads: DataFrame, name: str, slices: int, run: Callable[[DataFrame, str, str], object]) -> str:
+    """Land a table in order of arrival, slice by slice, and run a stream over the landing folder after each one."""
+    spark = uploads.sparkSession
+    root = f"{staging_dir(spark)}/filetrail/{name}-{uuid.uuid4().hex}"
+    top = uploads.agg(F.max("arrival")).first()[0] + 1
+    for k in range(slices):
+        part = (F.col("arrival") >= top * k // slices) & (F.col("arrival") < top * (k + 1) // slices)
+        uploads.filter(part).write.mode("append").parquet(f"{root}/landing")
+        run(spark.readStream.schema(uploads.schema).parquet(f"{root}/landing"), f"{root}/out", f"{root}/checkpoint")
+    return f"{root}/out"
+
+
+@query
+def stream_files(spark, sf_dir):
+    out = f"{staging_dir(spark)}/filetrail/stream-files-{uuid.uuid4().hex}"
+    arriving = streams.stream_files(spark, sf_dir, "*.parquet").select(
+        "filename", "length", fp.content_sha256(F.col("content")).alias("sha256"))
+    streams.run_available(arriving, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"), f"{out}-checkpoint")
+    return spark.read.parquet(out).drop("batch")
+
+
+@query
+def stream_match_replay(spark, sf_dir):
+    uploads = bindings.fingerprinted_uploads(spark, sf_dir)
+    out = _replayed(uploads, "stream-match", 3, lambda s, path, cp: streams.stream_match(s, path, ["phash"], cp))
+    return streams.read_matches(spark, out)
+
+
+@query
+def stateful_match(spark, sf_dir):
+    uploads = bindings.fingerprinted_uploads(spark, sf_dir)
+    out = _replayed(uploads, "stateful-match", 2, lambda s, path, cp: streams.stateful_match(s, path, ["phash"], cp))
+    return streams.read_matches(spark, out)
+
+
+@query
+def incremental_graph(spark, sf_dir):
+    rows = stage(_document_results(spark, sf_dir), "all-results")
+    out = _replayed(rows, "graph", 2, lambda s, path, cp: streams.incremental_graph(s, path, cp))
+    return streams.read_graph(spark, out)[1]
+
+
 # Query keys that differ from their function's name.
 for _key, _fn in {
     "sniff_format": "sniff_format_of_files", "declared_format": "declared_format_of_pages",
