@@ -2,15 +2,15 @@
 
 The ratio test needs the second-nearest distance inside each candidate file, so no descriptor can be ruled
 out by a key. What keeps this affordable is that only files without a fingerprint parent ask, that copies of a
-file are folded before files are paired, and that a session's file pairs are spread over a grid of cells with a
-bounded number of files per side. Pairs flow through one Arrow UDF and only the survivors leave the task.
+file are folded before files are paired, and that a session's files are spread over a grid of cells with a bounded
+number of files per side. A cell compares its files in place; no pair becomes a row unless it survives the test.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filetrail.functions.binary import fixed_records
@@ -41,26 +41,18 @@ def rows_to_blob(df: DataFrame, keys: list[str], blob: str = "blob") -> DataFram
     )
 
 
-def good_matches(stride: int, ratio: float):
-    """Arrow UDF: descriptors of the first blob whose nearest one in the second passes the ratio test."""
-
-    def count(asked: bytes, stored: bytes) -> int:
-        a = np.frombuffer(asked, np.uint8).reshape(-1, stride)
-        b = np.frombuffer(stored, np.uint8).reshape(-1, stride)
-        if len(a) < 2 or len(b) < 2:
-            return 0
-        good = 0
-        for start in range(0, len(a), 256):
-            differing = np.bitwise_count(a[start:start + 256, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int32)
-            nearest = np.partition(differing, 1, axis=1)
-            good += int((nearest[:, 0] < ratio * nearest[:, 1]).sum())
-        return good
-
-    @F.pandas_udf("int")
-    def udf(asked: pd.Series, stored: pd.Series) -> pd.Series:
-        return pd.Series([count(x, y) for x, y in zip(asked, stored)], dtype="int32")
-
-    return udf
+def good_matches(asked: bytes, stored: bytes, stride: int, ratio: float) -> int:
+    """Descriptors of the first blob whose nearest one in the second passes the ratio test."""
+    a = np.frombuffer(asked, np.uint8).reshape(-1, stride)
+    b = np.frombuffer(stored, np.uint8).reshape(-1, stride)
+    if len(a) < 2 or len(b) < 2:
+        return 0
+    good = 0
+    for start in range(0, len(a), 256):
+        differing = np.bitwise_count(a[start:start + 256, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int32)
+        nearest = np.partition(differing, 1, axis=1)
+        good += int((nearest[:, 0] < ratio * nearest[:, 1]).sum())
+    return good
 
 
 def knn_ratio_match(
@@ -92,19 +84,23 @@ def knn_ratio_match(
             "*", cell.alias(own), F.explode(F.sequence(F.lit(0), F.col("side") - 1)).alias(other)
         ).drop("side")
 
-    left = placed(asked, "row", "column").select(
-        "session_id", "row", "column", "file_id", "last_seen", F.col("blob").alias("asked_blob")
-    )
-    right = placed(stored, "column", "row").select(
-        "session_id", "row", "column", F.col("file_id").alias("parent_file_id"), "first_seen",
-        F.col("blob").alias("stored_blob"),
-    )
-    pairs = left.join(right, ["session_id", "row", "column"]).filter("first_seen < last_seen")
-    counted = pairs.select(
-        "session_id", "file_id", "parent_file_id",
-        good_matches(stride, ratio)("asked_blob", "stored_blob").alias("good"),
-    )
-    return counted.filter(F.col("good") >= min_good)
+    cell = ["session_id", "row", "column"]
+    left = placed(asked, "row", "column").select(*cell, "file_id", "last_seen", "blob")
+    right = placed(stored, "column", "row").select(*cell, "file_id", "first_seen", "blob")
+    right = right.toDF(*right.columns)  # new column identities, as both sides come from one table
+
+    def compare(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        found = [
+            (a.session_id, a.file_id, b.file_id, good)
+            for a in mine.itertuples() for b in others.itertuples()
+            if b.first_seen < a.last_seen and (good := good_matches(a.blob, b.blob, stride, ratio)) >= min_good
+        ]
+        return pd.DataFrame(found, columns=["session_id", "file_id", "parent_file_id", "good"])
+
+    kind = {f.name: f.dataType.simpleString() for f in features.schema}
+    schema = (f"session_id {kind['session_id']}, file_id {kind['file_id']}, "
+              f"parent_file_id {kind['file_id']}, good int")
+    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(compare, schema)
 
 
 def local_feature_match(

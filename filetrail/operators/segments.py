@@ -141,18 +141,29 @@ def box_records(data: bytes) -> tuple[list[Row], int, bool]:
     return rows, 0, False
 
 
-LAYOUTS = {"jpeg": jpeg_records, "png": png_records, "box": box_records}
+def any_records(data: bytes) -> tuple[list[Row], int, bool]:
+    """The records of a JPEG or PNG by its magic bytes; none for other files, which have nothing trailing either."""
+    if data[:3] == b"\xff\xd8\xff":
+        return jpeg_records(data)
+    return png_records(data) if data[:8] == PNG_MAGIC else ([], 0, False)
 
 
-def explode_chained(df: DataFrame, keys: list[str], data: str, layout: str, carry: list[str] | None = None) -> DataFrame:
+LAYOUTS = {"jpeg": jpeg_records, "png": png_records, "box": box_records, "any": any_records}
+
+
+def explode_chained(
+    df: DataFrame, keys: list[str], data: str, layout: str, carry: list[str] | None = None, once: list[str] = (),
+) -> DataFrame:
     """One row per record of a chained layout, plus one closing row per file.
 
-    `carry` lists the record types whose payload is wanted; others keep their length but not their bytes.
+    `carry` lists the record types whose payload is wanted; others keep their length but not their bytes. Columns in
+    `once` are passed through on the closing row only, so that one scan of the files yields everything about them.
     """
     walk = LAYOUTS[layout]
     wanted = None if carry is None else set(carry)
-    source = df.select(*keys, data)
-    schema = T.StructType([source.schema[k] for k in keys] + RECORD.fields)
+    passed = [*keys, *once]
+    source = df.select(*passed, data)
+    schema = T.StructType([T.StructField(k, source.schema[k].dataType) for k in passed] + RECORD.fields)
     tail = pa.schema([
         ("seg_no", pa.int32()), ("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64()),
         ("payload", pa.binary()), ("depth", pa.int32()), ("label", pa.string()), ("trailing", pa.int64()),
@@ -162,17 +173,17 @@ def explode_chained(df: DataFrame, keys: list[str], data: str, layout: str, carr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):  # one output batch per file keeps memory at one file
-                content = batch.column(len(keys))[i].as_py() or b""
-                records, trailing, truncated = walk(content)
+                records, trailing, truncated = walk(batch.column(len(passed))[i].as_py() or b"")
                 rows = [
                     (n, kind, at, length, body if wanted is None or kind in wanted else None, depth, label, None, None)
                     for n, (kind, at, length, body, depth, label) in enumerate(records)
                 ]
                 rows.append((len(rows), None, None, None, None, None, None, trailing, truncated))
-                here = pa.array([i] * len(rows), pa.int32())
-                columns = [batch.column(k).take(here) for k in range(len(keys))]
+                everywhere = pa.array([i] * len(rows), pa.int32())
+                at_close = pa.array([None] * len(records) + [i], pa.int32())
+                columns = [batch.column(k).take(everywhere if k < len(keys) else at_close) for k in range(len(passed))]
                 columns += [pa.array(c, f.type) for c, f in zip(zip(*rows), tail)]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keys, *tail.names])
+                yield pa.RecordBatch.from_arrays(columns, names=[*passed, *tail.names])
 
     return source.mapInArrow(run, schema)
 

@@ -14,15 +14,13 @@ from filetrail.operators.icc import icc_of_jpeg, icc_of_png
 from filetrail.operators.matching import attach_parent, best_match
 from filetrail.operators.pdf import pdf_info
 from filetrail.operators.rules import Rule, classify, coherent_camera, near_lossless
-from filetrail.operators.segments import (
-    FRAMES, encoder_fingerprint, explode_jpeg_segments, explode_png_chunks, image_dims, trailing_bytes,
-)
+from filetrail.operators.segments import FRAMES, encoder_fingerprint, explode_chained, image_dims
 from filetrail.operators.verdicts import STATISTICS_NOTE, detect_transformations, trace_score, verdict, verdict_statement
 from filetrail.session import stage
+from filetrail.sources.files import reject_reason
 
 # Record types whose payload carries evidence; pixels stay out of the evidence rows.
-JPEG_EVIDENCE = [*FRAMES, "FFDB", "FFE1", "FFE2", "FFEB"]
-PNG_EVIDENCE = ["IHDR", "eXIf", "iCCP", "sRGB", "caBX"]
+EVIDENCE_RECORDS = [*FRAMES, "FFDB", "FFE1", "FFE2", "FFEB", "IHDR", "eXIf", "iCCP", "sRGB", "caBX"]
 # Values of files a walker does not apply to.
 DEFAULTS = {
     "exif_present": False, "exif_gps": False, "exif_thumbnail": False, "exif_invalid": False, "icc_present": False,
@@ -43,36 +41,38 @@ def identify(files: DataFrame) -> DataFrame:
     )
 
 
-def dispatch_evidence(contents: DataFrame) -> DataFrame:
-    """Container evidence per distinct content (sha256, actual_format, content).
+def dispatch_evidence(files: DataFrame, keys: list[str], once: list[str] = ()) -> DataFrame:
+    """Container evidence per file (keys, actual_format, content), with the `once` columns passed through.
 
-    Every walker gets only the files of its format; a CASE over Python walkers would run all of them on all rows.
+    The bytes are read in one pass and never shuffled: PDF information is extracted inside the JVM, and only JPEG and
+    PNG bytes go to the walker, which picks the container by magic bytes. What comes out are small record rows.
     """
-    keys = ["sha256"]
-    jpeg = stage(explode_jpeg_segments(contents.filter("actual_format = 'jpeg'"), keys, carry=JPEG_EVIDENCE), "jpeg")
-    png = stage(explode_png_chunks(contents.filter("actual_format = 'png'"), keys, carry=PNG_EVIDENCE), "png")
-    records = jpeg.unionByName(png)
-    pdf = contents.filter("actual_format = 'pdf'").select(*keys, pdf_info(F.col("content")).alias("pdf"))
-    pdf = pdf.select(
-        *keys, F.col("pdf.producer").alias("pdf_producer"), F.col("pdf.creator").alias("pdf_creator"),
+    walked = files.select(
+        *keys, *once, "actual_format",
+        F.when(F.col("actual_format") == "pdf", pdf_info(F.col("content"))).alias("pdf"),
+        F.when(F.col("actual_format").isin("jpeg", "png"), F.col("content")).alias("bytes"),
+    )
+    records = stage(
+        explode_chained(walked, keys, "bytes", "any", EVIDENCE_RECORDS, once=[*once, "actual_format", "pdf"]), "records"
+    )
+    closing = records.filter("type is null").select(
+        *keys, *once, "actual_format", F.col("trailing").alias("trailing_bytes"), "truncated",
+        F.col("pdf.producer").alias("pdf_producer"), F.col("pdf.creator").alias("pdf_creator"),
         F.col("pdf.fonts").alias("pdf_fonts"),
     )
-    icc = icc_of_jpeg(jpeg, keys).unionByName(icc_of_png(png, keys)).select(
+    icc = icc_of_jpeg(records, keys).unionByName(icc_of_png(records, keys)).select(
         *keys, F.col("icc.present").alias("icc_present"), F.col("icc.description").alias("icc_description"),
         F.col("icc.copyright").alias("icc_copyright"),
     )
-    streams = claim_stream_of_jpeg(jpeg, keys).unionByName(claim_stream_of_png(png, keys))
-    parts = [
+    streams = claim_stream_of_jpeg(records, keys).unionByName(claim_stream_of_png(records, keys))
+    evidence = closing
+    for part in [
         image_dims(records, keys),
-        trailing_bytes(records, keys),
         exif_columns(exif_entries(exif_directories(tiff_of(records, keys), keys), keys), keys),
         icc,
         claim_columns(streams, keys),
-        encoder_fingerprint(jpeg, keys),
-        pdf,
-    ]
-    evidence = contents.select(*keys, "actual_format")
-    for part in parts:
+        encoder_fingerprint(records, keys),
+    ]:
         evidence = evidence.join(part, keys, "left")
     return evidence.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in DEFAULTS.items()}).withColumn(
         "quant_all_le1", near_lossless(F.col("quant_luma"), F.col("quant_chroma"))
@@ -143,14 +143,16 @@ def analyze(
 ) -> tuple[DataFrame, DataFrame]:
     """(results, rejects) for files (session_id, arrival, filename, content).
 
-    `pixels` holds pixel evidence per sha256 (from `image_evidence`), `features` descriptor blobs per sha256. Copies
-    of a file are walked once. `match_exact` also derives byte-identical files that have no fingerprint (PDFs).
+    `pixels` holds pixel evidence per sha256 (from `image_evidence`), `features` descriptor blobs per sha256; both have
+    one row per content. The bytes of a file are read once and never shuffled. `match_exact` also derives byte-identical files that have no fingerprint (PDFs).
     """
-    identified = identify(files)
-    marked = identified.withColumn("reason", F.when(F.col("file_size") == 0, "400").when(F.col("file_size") > 25 * 2**20, "413"))
-    uploads = stage(marked.drop("content"), "uploads")
-    contents = marked.filter("reason is null").groupBy("sha256", "actual_format").agg(F.any_value("content").alias("content"))
-    evidence = dispatch_evidence(contents).drop("actual_format")
+    keys = ["session_id", "arrival"]
+    identified = identify(files).withColumn("reason", reject_reason(F.col("file_size")))
+    bad = F.col("reason").isNotNull()
+    # Rejected files pass through without their bytes being looked at.
+    readable = identified.withColumn("actual_format", F.when(bad, "unknown").otherwise(F.col("actual_format")))
+    once = [c for c in readable.columns if c not in (*keys, "content", "actual_format")]
+    evidence = stage(dispatch_evidence(readable, keys, once), "evidence")
     if pixels is None:
         none = [F.lit(None).cast("string").alias(c) for c in _RECORD_STRINGS]
         pixels = evidence.select(
@@ -167,11 +169,9 @@ def analyze(
         "orb_descriptor_count", F.lit(None).cast("int"))
     facts = facts.withColumns({
         "width": F.coalesce("width", "decoded_width"), "height": F.coalesce("height", "decoded_height"),
+        "reason": F.coalesce("reason", F.when(F.col("exif_invalid"), "422")),
     }).drop("decoded_width", "decoded_height")
-    joined = uploads.join(facts, "sha256", "left").withColumn(
-        "reason", F.coalesce("reason", F.when(F.col("exif_invalid"), "422"))
-    )
-    classified = stage(joined.withColumn("pipeline_matches", classify(rules)), "classified")
+    classified = stage(facts.withColumn("pipeline_matches", classify(rules)), "classified")
     rejects = classified.filter("reason is not null").select("session_id", "arrival", "filename", "file_id", "reason")
     good = classified.filter("reason is null")
     if match:

@@ -206,11 +206,11 @@ def pdf_bytes() -> Column:
 
 
 def byte_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as files of four formats: (doc_id, n_chars, text, content)."""
+    """documents as files of four formats: (doc_id, content). Staged, as files would be on disk."""
     i = F.col("doc_id")
     content = F.when(i % 4 == 0, jpeg_bytes()).when(i % 4 == 1, png_bytes()).when(i % 4 == 2, pdf_bytes()).otherwise(
         F.encode("text", "UTF-8"))
-    return table(spark, sf_dir, "documents").withColumn("content", content)
+    return stage(table(spark, sf_dir, "documents").select("doc_id", content.alias("content")), "files")
 
 
 def profile_bytes() -> Column:

@@ -212,10 +212,9 @@ def encoder_fp(spark, sf_dir):
 
 @query
 def dispatch_evidence(spark, sf_dir):
-    contents = _byte_files(spark, sf_dir).select(
-        F.col("doc_id").cast("string").alias("sha256"), sniff_format(F.col("content")).alias("actual_format"), "content")
-    return analyze.dispatch_evidence(stage(contents, "contents")).select(
-        F.col("sha256").cast("bigint").alias("doc_id"), "actual_format", "width", "height", "trailing_bytes",
+    kept = _byte_files(spark, sf_dir).select("doc_id", sniff_format(F.col("content")).alias("actual_format"), "content")
+    return analyze.dispatch_evidence(kept, ["doc_id"]).select(
+        "doc_id", "actual_format", "width", "height", "trailing_bytes",
         F.col("progressive").cast("int").alias("progressive"), "pdf_producer",
         F.col("exif_present").cast("int").alias("exif_present"), F.col("c2pa_present").cast("int").alias("c2pa_present"))
 

@@ -5,8 +5,6 @@ Results are parquet, partitioned by a hash bucket of the session, so that readin
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,31 +56,28 @@ def from_result_json(df: DataFrame, schema: T.StructType | str, text: str = "ana
     return df.select(F.from_json(text, schema).alias("r")).select("r.*")
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame | None:
-    """The results table with its newest version, or None before the first write."""
-    try:
-        version = spark.read.text(f"{path}/_current").orderBy(F.col("value").desc()).first()
-    except AnalysisException:
-        return None
-    return spark.read.parquet(f"{path}/{version[0]}") if version else None
+def read_results(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The results table; `schema` is that of the rows written, the bucket is added."""
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("session_bucket", T.IntegerType())])).parquet(path)
 
 
 def write_results(results: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Insert-or-replace on (session_id, file_id): stage a new version, then point to it.
+    """Insert-or-replace on (session_id, file_id).
 
-    Readers keep the version they opened. The pointer is a one-line text table written last, so a lost job leaves
-    the old version in place.
+    Only the buckets of the new rows are read, merged, staged and replaced, so a small write does not rewrite a large
+    table. Writing the same rows again changes nothing.
     """
     spark = results.sparkSession
-    fresh = results.withColumn("session_bucket", bucket(buckets=buckets))
-    current = read_results(spark, path)
-    if current is not None:
-        fresh = current.unionByName(fresh, allowMissingColumns=True)
-    merged = upsert_latest(fresh, ["session_id", "file_id"], "arrival")
-    version = f"v-{uuid.uuid4().hex}"
-    merged.write.partitionBy("session_bucket").parquet(f"{path}/{version}")
-    pointer = stage(spark.range(1).select(F.lit(version).alias("value")), "pointer")
-    pointer.write.mode("overwrite").text(f"{path}/_current")
+    fresh = stage(results.withColumn("session_bucket", bucket(buckets=buckets)), "incoming")
+    touched = [r[0] for r in fresh.select("session_bucket").distinct().collect()]  # at most one per bucket
+    rows = fresh
+    try:
+        rows = read_results(spark, path, results.schema).filter(F.col("session_bucket").isin(touched)).unionByName(fresh)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    merged = stage(upsert_latest(rows, ["session_id", "file_id"], "arrival"), "merged")
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_bucket").parquet(path)
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str, format: str = "parquet") -> None:
