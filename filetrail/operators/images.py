@@ -108,7 +108,8 @@ def image_evidence(images: DataFrame, key: str = "path") -> DataFrame:
     option `dropInvalid` or have height -1 and are left out here.
     """
     decoded = images.filter("image.height > 0").select(
-        F.col("image.origin").alias(key), "image.height", "image.width",
+        # Local paths are spelled file:/// here and file:/ by the file source.
+        F.regexp_replace("image.origin", "^file:/+", "file:/").alias(key), "image.height", "image.width",
         pixel_evidence("image.height", "image.width", "image.nChannels", "image.data").alias("p"),
     )
     return decoded.select(

@@ -325,7 +325,7 @@ def reassemble_parts(parts: DataFrame, keys: list[str], payload: str, *order: st
 
 
 @F.udf(T.BinaryType())
-def inflate(data: bytes | None) -> bytes | None:
+def inflate(data):
     """zlib data, or NULL if it does not inflate; profiles are a few kilobytes, one per file."""
     try:
         return None if data is None else zlib.decompress(data)

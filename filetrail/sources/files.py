@@ -12,7 +12,7 @@ FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content b
 
 def scan_files(spark: SparkSession, path: str, glob: str | None = None, max_bytes: int | None = MAX_BYTES) -> DataFrame:
     """(path, filename, modificationTime, length, content). The size limit is pushed into the source, so the
-    bytes of larger files are never read; pass None to keep all."""
+    bytes of larger files are never read; pass None to keep all. The source itself leaves out empty files."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
