@@ -38,6 +38,9 @@ PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
 MAX_BOX_DEPTH = 12
 BOX_LEAVES = ("cbor", "json", "bfdb")
 
+# Rows are handed on in batches of at most about this size.
+FLUSH_BYTES, FLUSH_ROWS = 16 << 20, 20_000
+
 # Inside a scan, FF 00 is a stuffed byte, FF D0-D7 a restart and FF FF a fill; any other FF pair is a marker.
 _NEXT_MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
 
@@ -170,20 +173,29 @@ def explode_chained(
         ("truncated", pa.bool_()),
     ])
 
+    def flush(batch: pa.RecordBatch, rows: list[tuple], owners: list[int], closers: list[int | None]) -> pa.RecordBatch:
+        everywhere, at_close = pa.array(owners, pa.int32()), pa.array(closers, pa.int32())
+        columns = [batch.column(k).take(everywhere if k < len(keys) else at_close) for k in range(len(passed))]
+        columns += [pa.array(c, f.type) for c, f in zip(zip(*rows), tail)]
+        return pa.RecordBatch.from_arrays(columns, names=[*passed, *tail.names])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):  # one output batch per file keeps memory at one file
-                records, trailing, truncated = walk(batch.column(len(passed))[i].as_py() or b"")
-                rows = [
-                    (n, kind, at, length, body if wanted is None or kind in wanted else None, depth, label, None, None)
-                    for n, (kind, at, length, body, depth, label) in enumerate(records)
-                ]
-                rows.append((len(rows), None, None, None, None, None, None, trailing, truncated))
-                everywhere = pa.array([i] * len(rows), pa.int32())
-                at_close = pa.array([None] * len(records) + [i], pa.int32())
-                columns = [batch.column(k).take(everywhere if k < len(keys) else at_close) for k in range(len(passed))]
-                columns += [pa.array(c, f.type) for c, f in zip(zip(*rows), tail)]
-                yield pa.RecordBatch.from_arrays(columns, names=[*passed, *tail.names])
+            rows, owners, closers, held = [], [], [], 0
+            for i, content in enumerate(batch.column(len(passed))):
+                records, trailing, truncated = walk(content.as_py() or b"")
+                for n, (kind, at, length, body, depth, label) in enumerate(records):
+                    kept = body if wanted is None or kind in wanted else None
+                    held += len(kept or b"")
+                    rows.append((n, kind, at, length, kept, depth, label, None, None))
+                rows.append((len(records), None, None, None, None, None, None, trailing, truncated))
+                owners += [i] * (len(records) + 1)
+                closers += [None] * len(records) + [i]
+                if held > FLUSH_BYTES or len(rows) > FLUSH_ROWS:
+                    yield flush(batch, rows, owners, closers)
+                    rows, owners, closers, held = [], [], [], 0
+            if rows:
+                yield flush(batch, rows, owners, closers)
 
     return source.mapInArrow(run, schema)
 

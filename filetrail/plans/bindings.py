@@ -210,7 +210,7 @@ def byte_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
     content = F.when(i % 4 == 0, jpeg_bytes()).when(i % 4 == 1, png_bytes()).when(i % 4 == 2, pdf_bytes()).otherwise(
         F.encode("text", "UTF-8"))
-    return stage(table(spark, sf_dir, "documents").select("doc_id", content.alias("content")), "files")
+    return stage(spread(table(spark, sf_dir, "documents")).select("doc_id", content.alias("content")), "files")
 
 
 def profile_bytes() -> Column:

@@ -126,7 +126,8 @@ def result_json_roundtrip(spark, sf_dir):
 @query
 def blob_stride(spark, sf_dir):
     joined = F.unhex(F.array_join(F.transform(F.split("text", " "), lambda w: F.sha2(w, 256)), ""))
-    rows = features.descriptors_to_rows(_docs(spark, sf_dir).select("doc_id", joined.alias("blob")), "blob")
+    blobs = stage(spread(_docs(spark, sf_dir)).select("doc_id", joined.alias("blob")), "blobs")
+    rows = features.descriptors_to_rows(blobs, "blob")
     return rows.select("doc_id", "kp", F.lower(F.hex("descriptor")).alias("descriptor"))
 
 
@@ -155,11 +156,11 @@ def format_mismatch_of_files(spark, sf_dir):
 
 
 def _jpegs(spark, sf_dir):
-    return _docs(spark, sf_dir).withColumn("content", bindings.jpeg_bytes()).select("doc_id", "content")
+    return spread(_docs(spark, sf_dir)).select("doc_id", bindings.jpeg_bytes().alias("content"))
 
 
 def _pngs(spark, sf_dir):
-    return _docs(spark, sf_dir).withColumn("content", bindings.png_bytes()).select("doc_id", "content")
+    return spread(_docs(spark, sf_dir)).select("doc_id", bindings.png_bytes().alias("content"))
 
 
 @query
