@@ -174,19 +174,20 @@ def shingles(words: Column, width: int) -> Column:
 def simhash64(df: DataFrame, key: list[str], text: str, width: int = 3, out: str = "simhash") -> DataFrame:
     """64-bit fingerprint of whole texts, as a bigint; NULL where a text has fewer than `width` words.
 
-    Every shingle votes on every bit. Two bits share one bigint accumulator (bit i in the low half, bit
-    i+32 in the high half), so 32 built-in sums replace 64 and the partial aggregation stays in the map
-    task: a text's shingles never leave their partition, only one row per text is shuffled.
+    `key` names every column to keep; together they identify a text. Carrying them through the aggregation reads the
+    texts once and needs no join back. Every shingle votes on every bit. Two bits share one bigint accumulator (bit i
+    in the low half, bit i+32 in the high half), so 32 built-in sums replace 64 and the partial aggregation stays in
+    the map task: a text's shingles never leave their partition, only one row per text is shuffled.
     """
-    votes = df.select(*key, F.explode(shingles(F.split(F.col(text), " "), width)).alias("shingle")).select(
+    votes = df.select(*key, F.explode_outer(shingles(F.split(F.col(text), " "), width)).alias("shingle")).select(
         *key, F.conv(F.substring(F.md5("shingle"), 1, 16), 16, -10).cast("bigint").alias("h")
     )
     sums = [F.expr(f"sum(shiftrightunsigned(h, {i}) & 4294967297L)").alias(f"v{i}") for i in range(32)]
-    tallied = votes.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *sums)
+    tallied = votes.groupBy(*key).agg(F.count("h").alias("n"), *sums)
 
     def bit(count: str, position: int) -> str:
         return f"if({count} * 2 > n, shiftleft(1L, {position}), 0L)"
 
     bits = [bit(f"(v{i} & 4294967295L)", i) for i in range(32)]
     bits += [bit(f"shiftrightunsigned(v{i}, 32)", i + 32) for i in range(32)]
-    return tallied.select(*key, F.expr(" | ".join(bits)).alias(out))
+    return tallied.select(*key, F.when(F.col("n") > 0, F.expr(" | ".join(bits))).alias(out))

@@ -2,9 +2,11 @@
 
 Two values within distance k agree closely on at least one band: cut 64 bits into m bands and allow band i
 r_i differing bits, with sum(r_i) = k - m + 1. If every band exceeded its allowance, the distance would be at
-least sum(r_i + 1) = k + 1. So an equi-join on (band, band value), with one side listing every value within
-the band's allowance, loses no pair (multi-index hashing: Norouzi, Punjani, Fleet, 2012). More probes buy
-more selective keys; the cheapest layout is picked per session from the number of its distinct values.
+least sum(r_i + 1) = k + 1. So an equi-join on (band, band value) loses no pair if the two sides together list every
+value within the band's allowance (multi-index hashing: Norouzi, Punjani, Fleet, 2012). The sides meet half way: one
+lists the values within half the allowance, the other those within the rest, which takes far fewer rows than listing
+them all on one side. More listed keys buy more selective ones; the cheapest layout is picked per session from the
+number of its distinct values.
 """
 
 from __future__ import annotations
@@ -27,22 +29,27 @@ class Band:
     width: int
     allowance: int
 
-    @property
-    def probes(self) -> int:
-        return sum(comb(self.width, r) for r in range(self.allowance + 1))
+    def reach(self, searched: bool) -> int:
+        """Bits flipped on one side; the two sides add up to the allowance."""
+        return self.allowance - self.allowance // 2 if searched else self.allowance // 2
 
-    def masks(self) -> list[int]:
-        """Every pattern with at most `allowance` bits set in the band."""
+    def keys(self, searched: bool) -> int:
+        return sum(comb(self.width, r) for r in range(self.reach(searched) + 1))
+
+    def masks(self, searched: bool) -> list[int]:
+        """Every pattern of flipped bits in the band that one side lists."""
         return [
             sum(1 << b for b in bits)
-            for r in range(self.allowance + 1)
+            for r in range(self.reach(searched) + 1)
             for bits in combinations(range(self.width), r)
         ]
 
 
 # One bucket for a whole group: the cheapest layout for groups of a dozen values.
 WHOLE_GROUP = [Band(0, 0, 0)]
-# Layouts listing more probes than this per band are never cheaper at reachable sizes.
+# Shuffling a key costs about as much as comparing this many candidates.
+KEY_WEIGHT = 8
+# Layouts listing more keys than this per band are never cheaper at reachable sizes.
 MAX_MASKS = 4096
 
 
@@ -59,9 +66,10 @@ def layout(radius: int, bands: int) -> list[Band]:
 
 
 def cost(bands: list[Band], values: int) -> float:
-    """Work per searched value: probe rows emitted plus candidates expected from evenly spread bands."""
-    probes = sum(b.probes for b in bands)
-    return probes + values * sum(b.probes / 2.0**b.width for b in bands)
+    """Work per value: listed keys, which are shuffled, plus candidates, which cost one comparison each and whose
+    number is that expected from evenly spread bands."""
+    listed = sum(b.keys(True) + b.keys(False) for b in bands)
+    return KEY_WEIGHT * listed + values * sum(b.keys(True) * b.keys(False) / 2.0**b.width for b in bands)
 
 
 def layout_steps(radius: int, choices: tuple[int, ...], largest: int = 1 << 40) -> list[tuple[int, list[Band]]]:
@@ -70,7 +78,7 @@ def layout_steps(radius: int, choices: tuple[int, ...], largest: int = 1 << 40)
     The last layout also serves every larger size, so it stays exact if `largest` is an estimate.
     """
     layouts = [WHOLE_GROUP] + [layout(radius, m) for m in choices if m <= radius + 1]
-    layouts = [bands for bands in layouts if all(b.probes <= MAX_MASKS for b in bands)]
+    layouts = [bands for bands in layouts if all(b.keys(True) <= MAX_MASKS for b in bands)]
     steps: list[tuple[int, list[Band]]] = []
     size = 1
     while not steps or steps[-1][0] < largest:
@@ -83,8 +91,8 @@ def layout_steps(radius: int, choices: tuple[int, ...], largest: int = 1 << 40)
     return steps
 
 
-def _band_table(spark: SparkSession, steps: list[tuple[int, list[Band]]], probes: bool) -> DataFrame:
-    """(layout, band, shift, keep, mask): one row per band, or per probe of a band.
+def _band_table(spark: SparkSession, steps: list[tuple[int, list[Band]]], searched: bool) -> DataFrame:
+    """(layout, band, shift, keep, mask): one row per key that a side lists for a value.
 
     Its size depends on the layouts only, never on the data: at most MAX_MASKS rows per band.
     """
@@ -92,7 +100,7 @@ def _band_table(spark: SparkSession, steps: list[tuple[int, list[Band]]], probes
         (tag, i, band.shift, (1 << band.width) - 1, mask)
         for tag, (_, bands) in enumerate(steps)
         for i, band in enumerate(bands)
-        for mask in (band.masks() if probes else [0])
+        for mask in band.masks(searched)
     ]
     return spark.createDataFrame(rows, "layout int, band int, shift int, keep bigint, mask bigint")
 
@@ -122,8 +130,8 @@ def near_values(
     for tag in reversed(range(len(steps) - 1)):
         chosen = F.when(F.col("__n") <= steps[tag][0], tag).otherwise(chosen)
     sizes = stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).select(*keys, chosen.alias("layout"))
-    near = _keyed(near.join(sizes, keys), _band_table(spark, steps, probes=False), "near")
-    far = _keyed(far.join(sizes, keys), _band_table(spark, steps, probes=True), bits)
+    near = _keyed(near.join(sizes, keys), _band_table(spark, steps, searched=False), "near")
+    far = _keyed(far.join(sizes, keys), _band_table(spark, steps, searched=True), bits)
     distance = hamming(F.col(bits), F.col("near"))
     joined = far.join(near, [*keys, "band", "__key"]).filter(distance <= radius)
     if at_least:

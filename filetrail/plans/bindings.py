@@ -37,8 +37,8 @@ def document_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fingerprinted_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """document_uploads without the text, with its 3-word fingerprint in the role of `phash`. Staged."""
     uploads = spread(document_uploads(spark, sf_dir))
-    marks = simhash64(uploads, ["session_id", "arrival"], "text", 3, "phash")
-    return stage(uploads.drop("text").join(marks, ["session_id", "arrival"], "left"), "fingerprints")
+    kept = [c for c in uploads.columns if c != "text"]
+    return stage(simhash64(uploads, kept, "text", 3, "phash"), "fingerprints")
 
 
 # One SQL text that both engines run: every evidence column is arithmetic on doc_id.

@@ -165,7 +165,7 @@ ORACLES["file_id"] = "select doc_id, substr(sha256(text), 1, 16) as file_id from
 ORACLES["hamming_hex"] = """select doc_id, bit_count(xor(('0x' || substr(md5(text), 1, 16))::ubigint,
  ('0x' || substr(md5(text), 17, 16))::ubigint))::int as distance from documents"""
 ORACLES["luma"] = """select doc_id, (((doc_id % 256) * 19595 + (n_chars % 256) * 38470 + ((doc_id * 7 + n_chars) % 256) * 7471 + 32768) >> 16) as gray from documents"""
-ORACLES["simhash64"] = f"with {MARKS} select doc_id, format('{{:016x}}', phash) as simhash from marks"
+ORACLES["simhash64"] = f"with {MARKS} select doc_id, format('{{:016x}}', phash) as simhash from documents left join marks using (doc_id)"
 ORACLES["sorted_distinct"] = """select doc_id, md5(array_to_string(list_sort(list_distinct(string_split(text, ' '))), '|')) as words_md5 from documents"""
 
 CELLS = """ cells as (select vec_id, label, p, p // 8 as y, p % 8 as x, v from (

@@ -31,7 +31,7 @@ def test_layouts_get_wider_bands_as_sessions_grow():
     steps = hamming.layout_steps(10, (2, 3, 4, 5, 6, 8, 11))
     assert steps[0][1] == hamming.WHOLE_GROUP
     assert [len(b) for _, b in steps[1:]] == sorted((len(b) for _, b in steps[1:]), reverse=True)
-    assert all(b.probes <= hamming.MAX_MASKS for _, bands in steps for b in bands)
+    assert all(b.keys(True) <= hamming.MAX_MASKS for _, bands in steps for b in bands)
 
 
 @pytest.mark.parametrize("bands", [None, 2, 4, 11])
