@@ -1,11 +1,13 @@
 """Files on disk to verdicts: container walks, metadata, rules, parents, and the invariants of the result."""
 
+import hashlib
 import random
 
 import pytest
 from filetrail.operators import claims, segments
 from filetrail.operators.exif import exposure_text
 from filetrail.operators.images import image_evidence
+from filetrail.operators.rules import Rule, standard_rules
 from filetrail.plans.analyze import analyze
 from filetrail.plans.bindings import table
 from filetrail.sources.files import scan_files, scan_images
@@ -243,3 +245,40 @@ def test_results_read_back_by_key(spark):
     rows = table(spark, "/root/testdata/sf0.001", "labels").select(
         F.lit("s").alias("session_id"), F.col("doc_id").cast("string").alias("file_id"))
     assert lookup_result(rows, "s", "none").count() == 0
+
+
+def rows_of(spark, *named):
+    return spark.createDataFrame(
+        [("s", n, name, bytearray(data)) for n, (name, data) in enumerate(named)],
+        "session_id string, arrival long, filename string, content binary")
+
+
+def test_without_matching_nothing_is_derived_and_rules_can_be_added(spark):
+    files = rows_of(spark, ("a.jpg", b.jpeg()), ("b.jpg", b.jpeg()))
+    wide = Rule("wide_frame", F.col("width") > 60, F.lit("low"), [F.concat(F.lit("width "), F.col("width").cast("string"))])
+    results, rejects = analyze(files, match=False, rules=[*standard_rules(), wide])
+    rows = results.collect()
+    assert [r.verdict for r in rows] == ["NO_RECORD"] * 2 and rejects.count() == 0
+    assert [(m.name, m.basis) for m in rows[0].pipeline_matches] == [("wide_frame", ["width 64"])]
+
+
+def test_local_features_and_exact_copies(spark):
+    rng = random.Random(8)
+    points = [rng.getrandbits(256).to_bytes(32, "big") for _ in range(60)]
+    first, second = b.jpeg(width=640, height=480), b.jpeg(width=300, height=400)
+    document = b.pdf("tool", "tool", False)
+    files = rows_of(spark, ("first.jpg", first), ("paper.pdf", document), ("second.jpg", second), ("again.pdf", document))
+    features = spark.createDataFrame([
+        (hashlib.sha256(first).hexdigest(), bytearray(b"".join(points))),
+        (hashlib.sha256(second).hexdigest(), bytearray(b"".join(points[:30])))], "sha256 string, blob binary")
+    plain, _ = analyze(files, features=features)
+    found = {r.filename: r for r in plain.collect()}
+    row = found["second.jpg"]
+    assert (row.derivation.parent_filename, row.derivation.hash_type, row.derivation.hash_distance) == ("first.jpg", "orb_features", 30)
+    assert row.transformations == ["cropped"] and row.record.orb_descriptor_count == 30
+    assert row.verdict_statement == (
+        "Matches 'first.jpg' uploaded earlier this session (cropped; 30 matching local features (ORB)).")
+    assert found["again.pdf"].verdict == "NO_RECORD"  # no fingerprint, so no match by default
+    exact, _ = analyze(files, match_exact=True)
+    again = {r.filename: r for r in exact.collect()}["again.pdf"]
+    assert again.verdict == "DERIVED" and again.transformations == ["identical (bit-for-bit)"]
