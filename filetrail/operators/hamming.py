@@ -91,7 +91,7 @@ def layout_steps(radius: int, choices: tuple[int, ...], largest: int = 1 << 40)
     return steps
 
 
-def _band_table(spark: SparkSession, steps: list[tuple[int, list[Band]]], searched: bool) -> DataFrame:
+def band_table(spark: SparkSession, steps: list[tuple[int, list[Band]]], searched: bool) -> DataFrame:
     """(layout, band, shift, keep, mask): one row per key that a side lists for a value.
 
     Its size depends on the layouts only, never on the data: at most MAX_MASKS rows per band.
@@ -130,8 +130,8 @@ def near_values(
     for tag in reversed(range(len(steps) - 1)):
         chosen = F.when(F.col("__n") <= steps[tag][0], tag).otherwise(chosen)
     sizes = stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).select(*keys, chosen.alias("layout"))
-    near = _keyed(near.join(sizes, keys), _band_table(spark, steps, searched=False), "near")
-    far = _keyed(far.join(sizes, keys), _band_table(spark, steps, searched=True), bits)
+    near = _keyed(near.join(sizes, keys), band_table(spark, steps, searched=False), "near")
+    far = _keyed(far.join(sizes, keys), band_table(spark, steps, searched=True), bits)
     distance = hamming(F.col(bits), F.col("near"))
     joined = far.join(near, [*keys, "band", "__key"]).filter(distance <= radius)
     if at_least:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from filetrail.operators.hamming import layout
+from filetrail.operators.hamming import band_table, layout
 from filetrail.operators.lineage import session_edges, session_nodes
 from filetrail.operators.matching import MATCH_DISTANCE, best_match
 from filetrail.operators.ordered import upsert_latest
@@ -107,18 +107,22 @@ class _Shard(StatefulProcessor):
         stored = [(k[0], v[0], v[1]) for k, v in self.files.iterator()]
         ids = [s[0] for s in stored]
         place = {f: i for i, f in enumerate(ids)}
-        arriving = pd.concat(list(rows)).sort_values("arrival")
+        # An upload asks before it is stored.
+        arriving = pd.concat(list(rows)).sort_values(["arrival", "asks"], ascending=[True, False])
         room = len(ids) + len(arriving)
         orders, values = np.zeros(room, np.int64), np.zeros(room, np.int64)
         orders[:len(ids)], values[:len(ids)] = [s[1] for s in stored], [s[2] for s in stored]
         found = []
-        for file, arrival, h in zip(arriving["file_id"], arriving["arrival"], arriving["h"]):
+        for file, arrival, h, asks in zip(arriving["file_id"], arriving["arrival"], arriving["h"], arriving["asks"]):
             count = len(ids)
-            if count:
+            if asks:
+                if not count:
+                    continue
                 distance = np.bitwise_count((values[:count] ^ np.int64(h)).view(np.uint64)).astype(np.int64)
                 best = np.lexsort((orders[:count], distance))[0]
                 if distance[best] <= self.radius:
                     found.append((session, arrival, rank, int(distance[best]), int(orders[best]), ids[best]))
+                continue
             at = place.setdefault(file, count)
             if at == count:
                 ids.append(file)
@@ -136,22 +140,22 @@ def stateful_candidates(
 ) -> DataFrame:
     """Candidate parents of a stream of uploads; the best of an upload's rows is its parent.
 
-    With radius + 1 bands, two fingerprints within the radius agree on a whole band, so every upload goes to one shard
-    per band and meets every candidate in at least one of them. State is kept per shard, not per session, and only
-    expires if `ttl_ms` is given.
+    Sharded like the batch join: an upload asks under the keys of the searched side and is stored under those of the
+    other side, so it meets every candidate within the radius in at least one shard. By default there are radius + 1
+    bands and one key each; fewer, wider bands (4 for sessions of a million files) make smaller shards out of more
+    keys. State is kept per shard, never per session, and only expires if `ttl_ms` is given.
     """
     spark = uploads.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    cut = layout(radius, bands or radius + 1)
-    slots = F.array(*[
-        F.struct(
-            F.lit(rank).alias("rank"), F.lit(i).alias("band"), F.col(name).alias("h"),
-            F.shiftrightunsigned(name, band.shift).bitwiseAND(F.lit((1 << band.width) - 1)).alias("band_value"),
-        )
-        for rank, name in enumerate(hashes) for i, band in enumerate(cut)
-    ])
-    shards = uploads.select("session_id", "arrival", "file_id", F.explode(slots).alias("s")).filter(
-        "s.h is not null").select("session_id", "s.rank", "s.band", "s.band_value", "arrival", "file_id", "s.h")
+    steps = [(1, layout(radius, bands or radius + 1))]
+    keys = band_table(spark, steps, searched=True).withColumn("asks", F.lit(True)).unionByName(
+        band_table(spark, steps, searched=False).withColumn("asks", F.lit(False)))
+    slots = F.array(*[F.struct(F.lit(i).alias("rank"), F.col(h).alias("h")) for i, h in enumerate(hashes)])
+    listed = uploads.select("session_id", "arrival", "file_id", F.explode(slots).alias("s")).filter(
+        "s.h is not null").select("session_id", "arrival", "file_id", "s.rank", "s.h", F.lit(0).alias("layout"))
+    shards = listed.join(F.broadcast(keys), "layout").select(
+        "session_id", "rank", "band", F.expr("(shiftrightunsigned(h, shift) & keep) ^ mask").alias("band_value"),
+        "arrival", "file_id", "h", "asks")
     return shards.groupBy("session_id", "rank", "band", "band_value").transformWithStateInPandas(
         _Shard(radius, ttl_ms), CANDIDATES, "append", "None")
 
