@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filetrail.llm import packing, records
+from filetrail.llm import packing, quality, records, sharding
 from filetrail.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,3 +28,13 @@ def op1_token_records(spark, sf_dir):
 @query
 def op6_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), length=2048, end_id=1)
+
+
+@query
+def op2_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_sharding(spark, sf_dir):
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=40)
