@@ -19,9 +19,9 @@ RUNS = ["  ", "\n\n", " \n", "\n "]
 # Words made only of these are cut into letters, digits and the rest, as the pre-tokenizer does.
 SIMPLE = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 SORTS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]+|[!-/:-@\\[-`{-~]+")
-MEMO_ENTRIES = 700_000
-MEMO_CHARS = 40
-STEP_CHARS = 1 << 20
+MEMO_ENTRIES = 250_000
+MEMO_CHARS = 20
+STEP_CHARS = 1 << 19
 
 
 def regular(text: str) -> bool:
