@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filetrail.llm import packing, quality, records, sharding
+from filetrail.llm import jaccard, packing, quality, records, sharding
 from filetrail.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,3 +39,8 @@ def op2_quality(spark, sf_dir):
 @query
 def op10_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"), shards=40)
+
+
+@query
+def op3_ngram_jaccard(spark, sf_dir):
+    return jaccard.link_components(table(spark, sf_dir, "documents"), words=4, threshold=Fraction(85, 100))
