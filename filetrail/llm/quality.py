@@ -87,22 +87,23 @@ def _logistic(features: np.ndarray, marks: np.ndarray, weight: np.ndarray) -> tu
     return low, high, centre, spread, w
 
 
-def train(labelled: DataFrame) -> Model | None:
-    """Fit on (text, quality): two thirds of a bounded sample make the dictionaries, one third calibrates.
+def train(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """Fit on the labelled documents: two thirds of a bounded sample make the dictionaries, one third calibrates.
 
-    The sample holds at most `ROWS_PER_CLASS` texts of up to `LONGEST` bytes of each class, chosen by hash; the calibration
-    weighs them by the classes' true counts. Null texts or marks are not learned from. None when a class has too few texts.
+    The sample holds at most `ROWS_PER_CLASS` texts of up to `LONGEST` bytes of each class, chosen by a hash of doc_id before any
+    text moves; the calibration weighs them by the classes' true counts. Null texts or marks are not learned from. None when a
+    class has too few texts.
     """
     import zstandard
 
-    known = labelled.filter(F.col("text").isNotNull() & F.col("quality").isin(0, 1)).select(
-        "text", F.col("quality").cast("int").alias("quality"))
-    usable = known.filter(F.octet_length("text").between(1, LONGEST))
-    counts = {r["quality"]: r["n"] for r in usable.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    sample = {}
+    known = labels.filter(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("mark"))
+    usable = known.join(docs.filter(F.octet_length("text").between(1, LONGEST)).select("doc_id"), "doc_id")
+    counts = {r["mark"]: r["n"] for r in usable.groupBy("mark").agg(F.count("*").alias("n")).collect()}
+    sample: dict[int, list[bytes]] = {}
     for mark in (0, 1):
-        rows = usable.filter(F.col("quality") == mark).orderBy(F.xxhash64("text"), "text").limit(ROWS_PER_CLASS).collect()
-        sample[mark] = [r["text"].encode() for r in rows]
+        chosen = usable.filter(F.col("mark") == mark).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(ROWS_PER_CLASS)
+        texts = docs.filter(F.octet_length("text").between(1, LONGEST)).join(F.broadcast(chosen.distinct()), "doc_id")
+        sample[mark] = sorted(r["text"].encode() for r in texts.select("text").limit(2 * ROWS_PER_CLASS).collect())
     dictionaries, rest, marks, weight = [], [], [], []
     for mark in (0, 1):
         learn = [t for i, t in enumerate(sample[mark]) if i % 3]
@@ -148,8 +149,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
     Labels join by doc_id; several labels of one doc_id count once each, null ones not at all. Only the text enters a score.
     """
-    marked = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id"))).join(
-        labels.select("doc_id", "quality"), "doc_id")
+    known = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id")))
     rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    scored = score(rows, train(marked), "score")
+    scored = score(rows, train(known, labels.select("doc_id", "quality")), "score")
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -27,7 +27,8 @@ def test_classifier_ignores_ids_and_survives_odd_rows(spark):
     train = spark.createDataFrame(
         [(f"good words of plain prose number {i} and more of it " * 9, 1) for i in range(120)]
         + [(f"!!! BUY {i} NOW !!! $$$ " * 20, 0) for i in range(120)] + [(None, 1), ("x", None)], "text string, quality int")
-    model = quality.train(train)
+    train = train.withColumn("doc_id", F.xxhash64("text"))
+    model = quality.train(train.select("doc_id", "text"), train.select("doc_id", "quality"))
     rows = spark.createDataFrame(
         [(1, None, 9.0), (2, "", 9.0), (None, "good words of plain prose number 7 and more of it " * 9, 9.0), (4, "!!! BUY 7 NOW !!! $$$ " * 30, None),
          (4, "!!! BUY 7 NOW !!! $$$ " * 30, None)], "doc_id long, text string, quality_score double")
@@ -35,7 +36,7 @@ def test_classifier_ignores_ids_and_survives_odd_rows(spark):
     assert [r.doc_id for r in got] == [1, 2, None, 4, 4]
     by = [r.quality_score for r in got]
     assert by[0] == by[1] and by[3] == by[4] < 0.3 < by[2]
-    assert quality.train(train.limit(0)) is None
+    assert quality.train(train.limit(0).select("doc_id", "text"), train.select("doc_id", "quality")) is None
     assert {r.quality_score for r in quality.score(rows, None).collect()} == {0.5}
 
 
