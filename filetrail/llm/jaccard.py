@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +17,12 @@ from filetrail.llm.common import stage
 from filetrail.llm.components import components
 from filetrail.llm.shingles import mix, set_keys, shingle_sets, steps
 
-SECOND = 3  # parts of each first-level part; two of the three make a signature, so one may differ
-FEW = 3  # a signature of fewer elements says little
+MOST_SIGNATURES = 100  # of a small set and band
+PER_DIFFERENCE = 3  # of a large one, for each element that may differ
 BUCKET_ENTRIES = 1_000_000
 HEAVY_CLASSES = 100_000
+FREQUENT_SHINGLES = 200_000
+FREQUENT = 300  # a shingle that one document in so many has is frequent
 
 
 @dataclass(frozen=True)
@@ -32,30 +35,59 @@ class Band:
     differ: int  # most elements in which such a pair can differ
     parts: int  # first-level parts
     spare: int  # of them, more than the differences can spoil
+    second: int  # second-level parts of each
+    leave: int  # of them, left out of a signature
+
+    @property
+    def choices(self) -> np.ndarray:
+        """Which second-level parts each signature of a part holds."""
+        out = np.ones((math.comb(self.second, self.leave), self.second), bool)
+        for row, left in enumerate(combinations(range(self.second), self.leave)):
+            out[row, list(left)] = False
+        return out
+
+
+def _layout(differ: int) -> tuple[int, int, int, int]:
+    """(parts, spare, second, leave) whose signatures hold most of a set, among those with few enough signatures."""
+    best = (0.0, 0, 0, 0, 0)
+    for leave in range(1, 8):
+        parts = differ // (leave + 1) + 1
+        spare = parts // 3
+        for second in range(leave + 1, leave + 8):
+            if (parts + spare) * math.comb(second, leave) <= max(MOST_SIGNATURES, PER_DIFFERENCE * (differ + 1)):
+                best = max(best, ((second - leave) / second / (parts + spare), parts + spare, spare, second, leave))
+    return best[1:]
 
 
 def bands(threshold: Fraction, largest: int) -> list[Band]:
-    """Bands of sizes up to `largest`, each up to 1/threshold^2 wide.
+    """Bands of sizes up to `largest`, each up to 1/threshold wide.
 
-    A pair with similarity t differs in at most (1 - t) / (1 + t) of the sum of its sizes. Of p first-level parts fewer than
-    p - spare can hold two differences or more, so more than `spare` hold at most one, and those share the signature
-    that leaves the part of that difference out.
+    A pair with similarity t differs in at most (1 - t) / (1 + t) of the sum of its sizes. Differences can spoil fewer than
+    parts - spare first-level parts with more than `leave` of them, so more than `spare` parts hold at most that many,
+    and each of those has a signature that leaves the second-level parts of its differences out.
     """
     out, low = [], 1
     while low <= largest:
-        high = max(low, math.floor(low / threshold**2))
+        high = max(low, math.floor(low / threshold))
         differ = math.floor((1 - threshold) / (1 + threshold) * 2 * high)
-        needed = differ // 2 + 1
-        spare = needed * 3 // 20
-        out.append(Band(len(out), low, high, differ, needed + spare, spare))
+        out.append(Band(len(out), low, high, differ, *_layout(differ)))
         low = high + 1
     return out
 
 
-def signatures(values: np.ndarray, bounds: np.ndarray, layout: list[Band], threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, set number) of all sets, for the band of their size and for those above that can hold a partner."""
+def signatures(
+    values: np.ndarray, bounds: np.ndarray, layout: list[Band], threshold: Fraction, frequent: np.ndarray,
+) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, set number) of all sets, for the band of their size and for those above that can hold a partner.
+
+    The weight of a signature is its number of elements that are not frequent, so it depends on content alone. A set leaves out what
+    is lighter than its own limit: the highest for which at most `spare` parts have a signature below it. Of a pair's unspoilt
+    parts, more than `spare`, one has nothing below the higher of both limits, so a signature they share stays.
+    """
     sizes = np.diff(bounds)
     owner = np.repeat(np.arange(len(sizes)), sizes)
+    near = np.searchsorted(frequent, values)
+    rare = frequent[np.minimum(near, len(frequent) - 1)] != values if len(frequent) else np.ones(len(values), bool)
     found, whose = [], []
     for band in layout:
         if not band.differ:
@@ -67,23 +99,24 @@ def signatures(values: np.ndarray, bounds: np.ndarray, layout: list[Band], thres
         place[own] = np.arange(len(own))
         mine = place[owner] >= 0
         elements = values[mine]
-        width = band.parts * SECOND
+        width = band.parts * band.second
         slot = place[owner[mine]] * width + (mix(elements ^ np.uint64(band.number)) % np.uint64(width)).astype(np.int64)
         sums = np.zeros(len(own) * width, np.uint64)
         np.add.at(sums, slot, mix(elements + np.uint64(band.number)))
-        counts = np.bincount(slot, minlength=len(sums)).reshape(len(own), band.parts, SECOND)
-        sums = sums.reshape(len(own), band.parts, SECOND)
-        # The signature that leaves out sub-part j holds the elements of the two others.
-        held = counts.sum(2, keepdims=True) - counts
-        label = mix(np.arange(width, dtype=np.uint64) + np.uint64(band.number << 32)).reshape(1, band.parts, SECOND)
-        value = mix((sums.sum(2, keepdims=True, dtype=np.uint64) - sums) ^ label)
-        # Weak signatures may go where so few parts have one that an unspoilt part without any is left. Their content
-        # decides, so both sets of a pair agree on which signature is weak.
-        weak = held < FEW
-        may_drop = weak.any(2).sum(1) <= band.spare
-        keep = ~(weak & may_drop[:, None, None])
+        counts = np.bincount(slot[rare[mine]], minlength=len(sums)).astype(np.float32)
+        choices = band.choices
+        held = counts.reshape(-1, band.second) @ choices.T.astype(np.float32)
+        total = sums.reshape(-1, band.second)
+        value = np.zeros((len(total), len(choices)), np.uint64)
+        for j in range(band.second):
+            value += np.where(choices[:, j], total[:, j:j + 1], np.uint64(0))
+        label = mix(np.arange(band.parts * len(choices), dtype=np.uint64) + np.uint64(band.number << 32))
+        value = mix(value.reshape(len(own), -1) ^ label)
+        held = held.reshape(len(own), band.parts, -1)
+        limit = np.sort(held.min(2), axis=1)[:, band.spare]
+        keep = (held >= limit[:, None, None]).reshape(len(own), -1)
         found.append(value[keep])
-        whose.append(np.broadcast_to(own[:, None, None], keep.shape)[keep])
+        whose.append(np.broadcast_to(own[:, None], keep.shape)[keep])
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(found), np.concatenate(whose)
@@ -94,21 +127,33 @@ def _signed(a: np.ndarray) -> pa.Array:
 
 
 def sizes_and_classes(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles and two hashes of each document's set; equal hashes are one class."""
+    """doc_id, n_shingles and two hashes of each document's set; equal hashes are one class.
+
+    Rows with `shingle` true instead count, in n_shingles, a shingle (node) that many documents of one piece of the input have.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "n_shingles", "node", "check", "shingle"]
         for batch in batches:
             for a, b, raw, offsets in steps(batch, "text"):
                 values, bounds = shingle_sets(raw, offsets, words)
                 one, two = set_keys(values, bounds)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[a:b], pa.array(np.diff(bounds)), _signed(one), _signed(two)],
-                    names=["doc_id", "n_shingles", "node", "check"])
+                    [batch.column("doc_id")[a:b], pa.array(np.diff(bounds)), _signed(one), _signed(two), pa.array([False] * (b - a))],
+                    names=names)
+                values.sort()
+                starts = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+                counts = np.diff(np.append(starts, len(values)))
+                many = counts >= max(3, (b - a) // FREQUENT)
+                n = int(many.sum())
+                yield pa.RecordBatch.from_arrays([
+                    pa.nulls(n, pa.int64()), pa.array(counts[many]), _signed(values[starts[many]]), pa.array(np.zeros(n, np.int64)),
+                    pa.array([True] * n)], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, check long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, check long, shingle boolean")
 
 
-def _groups(docs: DataFrame, words: int, threshold: Fraction, facts: DataFrame) -> DataFrame:
+def _groups(docs: DataFrame, words: int, threshold: Fraction, facts: DataFrame, shingles: DataFrame) -> DataFrame:
     """(gid, node): distinct sets of two or more classes that share a signature.
 
     Signatures travel in packed chunks, one per bucket and few MB of text. Classes with very many copies send their signatures
@@ -122,6 +167,10 @@ def _groups(docs: DataFrame, words: int, threshold: Fraction, facts: DataFrame)
         F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).filter(
         F.col("n") > max(64, totals["rows"] // HEAVY_CLASSES)).select("node", "doc_id").collect()
     speaker = {r["node"]: r["doc_id"] for r in heavy}
+    # The most frequent shingles, a list of bounded length, say which signatures are weak.
+    often = shingles.groupBy("node").agg(F.sum("n_shingles").alias("n")).filter(
+        F.col("n") > max(4, totals["rows"] // FREQUENT)).orderBy(F.desc("n")).limit(FREQUENT_SHINGLES).select("node").collect()
+    frequent = np.sort(np.array([r["node"] for r in often], np.int64).view(np.uint64))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +183,7 @@ def _groups(docs: DataFrame, words: int, threshold: Fraction, facts: DataFrame)
                     silent = ~np.repeat(np.array(said), np.diff(bounds))
                     sizes = np.where(said, np.diff(bounds), 0)
                     values, bounds = values[~silent], np.concatenate([[0], np.cumsum(sizes)])
-                found, whose = signatures(values, bounds, layout, threshold)
+                found, whose = signatures(values, bounds, layout, threshold, frequent)
                 bucket = ((found >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
                 order = np.argsort(bucket, kind="stable")
                 found, whose, bucket = found[order], whose[order].astype(np.uint16), bucket[order]
@@ -249,8 +298,9 @@ def link_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
     component is null only if no member has a doc_id. Other columns are ignored; an empty table gives no row.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    facts = stage(sizes_and_classes(docs, words), "jaccard-facts")
-    groups = _groups(docs, words, threshold, facts)
+    counted = stage(sizes_and_classes(docs, words), "jaccard-facts")
+    facts = counted.filter(~F.col("shingle")).drop("shingle")
+    groups = _groups(docs, words, threshold, facts, counted.filter("shingle"))
     if groups.isEmpty():
         label = None
     else:

@@ -96,7 +96,6 @@ def set_keys(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     out = np.zeros((2, len(bounds) - 1), np.uint64)
     if len(full):
         for k, mixed in enumerate((mix(padded), mix(padded ^ ODD))):
-            sums = np.add.reduceat(mixed, bounds[full])
-            sums[-1] -= mixed[-1]
-            out[k, full] = mix(sums)
+            mixed[-1] = 0
+            out[k, full] = mix(np.add.reduceat(mixed, bounds[full]))
     return out[0], out[1]

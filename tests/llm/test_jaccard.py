@@ -90,7 +90,8 @@ def test_similar_sets_share_a_signature():
                 if len(b) == size == common or common < threshold * (size + len(b) - common):
                     continue
                 both = np.concatenate([np.sort(a), np.sort(b)])
-                found, whose = jaccard.signatures(both, np.array([0, len(a), len(a) + len(b)]), layout, threshold)
+                found, whose = jaccard.signatures(both, np.array([0, len(a), len(a) + len(b)]), layout, threshold,
+                                                   np.sort(rnd.choice(a, len(a) // 3)))
                 assert set(found[whose == 0]) & set(found[whose == 1])
 
 
