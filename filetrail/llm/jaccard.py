@@ -139,7 +139,7 @@ def sizes_and_classes(docs: DataFrame, words: int) -> DataFrame:
                 values, bounds = shingle_sets(raw, offsets, words)
                 one, two = set_keys(values, bounds)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[a:b], pa.array(np.diff(bounds)), _signed(one), _signed(two), pa.array([False] * (b - a))],
+                    [batch.column("doc_id")[a:b], pa.array(np.diff(bounds)), _signed(one), _signed(two), pa.array(np.zeros(b - a, bool))],
                     names=names)
                 values.sort()
                 starts = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
@@ -148,7 +148,7 @@ def sizes_and_classes(docs: DataFrame, words: int) -> DataFrame:
                 n = int(many.sum())
                 yield pa.RecordBatch.from_arrays([
                     pa.nulls(n, pa.int64()), pa.array(counts[many]), _signed(values[starts[many]]), pa.array(np.zeros(n, np.int64)),
-                    pa.array([True] * n)], names=names)
+                    pa.array(np.ones(n, bool))], names=names)
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, check long, shingle boolean")
 
