@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filetrail.llm import jaccard, packing, quality, records, sharding
+from filetrail.llm import jaccard, packing, quality, records, sharding, substrings
 from filetrail.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,3 +44,8 @@ def op10_sharding(spark, sf_dir):
 @query
 def op3_ngram_jaccard(spark, sf_dir):
     return jaccard.link_components(table(spark, sf_dir, "documents"), words=4, threshold=Fraction(85, 100))
+
+
+@query
+def op7_substring_dedup(spark, sf_dir):
+    return substrings.removal_report(table(spark, sf_dir, "documents"), length=200)
