@@ -3,21 +3,48 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filetrail.llm import packing
-from filetrail.llm.common import stage
+from filetrail.llm import jaccard, lines, packing, quality, substrings
+from filetrail.llm.common import stage, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the labels, takes for good; null and empty texts are scored as empty ones."""
+    model = quality.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    scored = quality.score(docs, model, "pipeline_quality_score")
+    return scored.filter("pipeline_quality_score >= 0.3").select(docs.columns)
+
+
+def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the later copies of runs of two lines or more."""
+    return lines.dedup_lines(docs, run=2)
+
+
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose sets of five-word shingles are linked by similarities of 0.8 or more."""
+    return jaccard.keep_one(docs, words=5, threshold=Fraction(4, 5))
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without bytes of strings of 200 that start elsewhere too."""
+    return substrings.remove_repeats(docs, length=200)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 ids."""
     return packing.pack(docs, length=2048, end_id=1)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", quality_stage),
+    ("line dedup", lines_stage),
+    ("n-gram jaccard join", jaccard_stage),
+    ("suffix-array dedup", substring_stage),
     ("packing", packing_stage),
 ]
 
@@ -27,7 +54,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to `documents`, each over the staged rows of the one before."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for i, (name, apply) in enumerate(STAGES):
         docs = apply(spark, docs, sf_dir)
         if i < len(STAGES) - 1:

@@ -7,7 +7,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filetrail.llm import jaccard, packing, quality, records, sharding, substrings
+from filetrail.llm import jaccard, lines, packing, quality, records, sharding, substrings
 from filetrail.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,3 +49,11 @@ def op3_ngram_jaccard(spark, sf_dir):
 @query
 def op7_substring_dedup(spark, sf_dir):
     return substrings.removal_report(table(spark, sf_dir, "documents"), length=200)
+
+
+@query
+def op5_line_dedup(spark, sf_dir):
+    return lines.dedup_lines(table(spark, sf_dir, "documents"), run=2, report=True)
+
+
+ORACLES["op5_line_dedup"] = lines.ORACLE_SQL
