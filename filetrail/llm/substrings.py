@@ -192,7 +192,7 @@ def _anchor_rows(docs: DataFrame, length: int, speakers: dict[int, int | None],
                 klass = np.cumsum(first) - 1
                 send = first | (several[klass] & apart)
                 count = np.where(several[klass], np.where(first, SEVERAL, TOLD), ALONE).astype(np.uint8)
-                by = np.where(count == TOLD, mix(text.view(np.uint64) ^ gram), gram)
+                by = np.where(count == TOLD, mix(text.view(np.uint64) ^ gram), mix(gram))  # an anchor's own hash is always small
                 bucket = (((by >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
                 yield _chunks(bucket[send], {
                     "gram": gram[send], "context": context[send], "text": text[send], "at": place[send], "count": count[send]})
