@@ -6,8 +6,9 @@ from collections.abc import Callable
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from filetrail.llm import jaccard, lines, packing, quality, records, sharding, substrings
+from filetrail.llm import jaccard, lines, near_vectors, neighbours, packing, quality, records, sharding, substrings
 from filetrail.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,3 +58,13 @@ def op5_line_dedup(spark, sf_dir):
 
 
 ORACLES["op5_line_dedup"] = lines.ORACLE_SQL
+
+
+@query
+def op8_nearest_neighbours(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query
+def op9_near_vectors(spark, sf_dir):
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
