@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filetrail.llm import jaccard, lines, near_vectors, neighbours, packing, quality, records, sharding, substrings
+from filetrail.llm import jaccard, lines, near_vectors, neighbours, packing, pieces, quality, records, sharding, substrings
 from filetrail.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,3 +68,8 @@ def op8_nearest_neighbours(spark, sf_dir):
 @query
 def op9_near_vectors(spark, sf_dir):
     return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+@query
+def op4_sentencepiece(spark, sf_dir):
+    return pieces.encode_documents(table(spark, sf_dir, "documents"))
