@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -12,10 +12,18 @@ def let(value: Column, body) -> Column:
 
 
 def piece(data: Column, at: Column | int, size: Column | int) -> Column:
-    """`size` bytes from the zero-based offset `at`; shorter at the end of the data."""
-    at = F.lit(at) if isinstance(at, int) else at
-    size = F.lit(size) if isinstance(size, int) else size
-    return F.substring(data, (at + 1).cast("int"), size.cast("int"))
+    """`size` bytes from the zero-based offset `at`; shorter at the end of the data, NULL for a NULL offset or size.
+
+    Offsets and sizes come out of files and may be anything, so they are held to the data before they become
+    32-bit positions.
+    """
+    return F.substring(data, _held(at, data, 1), _held(size, data, 0))
+
+
+def _held(value: Column | int, data: Column, more: int) -> Column:
+    if isinstance(value, int):
+        return F.lit(value + more)
+    return F.when(value.isNotNull(), F.greatest(F.least(value, F.octet_length(data)), F.lit(0)) + more).cast("int")
 
 
 def number(data: Column, at: Column | int, size: int) -> Column:
@@ -41,7 +49,7 @@ def signed32(value: Column) -> Column:
 
 def indexes(count: Column) -> Column:
     """array(0, ..., count-1), empty for zero, negative or NULL counts."""
-    return F.when(count > 0, F.sequence(F.lit(0), (count - 1).cast("int"))).otherwise(
+    return F.when(count > 0, F.sequence(F.lit(0), F.least(count - 1, F.lit(2**31 - 2)).cast("int"))).otherwise(
         F.array().cast("array<int>")
     )
 
@@ -53,14 +61,3 @@ def fixed_records(data: Column, base: Column | int, count: Column, stride: int)
     return F.transform(
         indexes(F.least(count, fitting)), lambda i: piece(data, base + i * stride, stride)
     )
-
-
-def explode_fixed(
-    df: DataFrame, data: str, base: Column | int, count: Column, stride: int,
-    position: str = "pos", record: str = "record",
-) -> DataFrame:
-    """One row per fixed-size record of a binary column; the binary column itself is dropped."""
-    others = [c for c in df.columns if c != data]
-    return df.select(
-        *others, F.posexplode(fixed_records(F.col(data), base, count, stride)).alias(position, record)
-    )

@@ -50,7 +50,7 @@ def directory(tiff: Column, start: Column, little: Column) -> Column:
             each = F.when(head["type"].isin(DOUBLE_BYTE), 2).when(head["type"].isin(FOUR_BYTE), 4).when(
                 head["type"].isin(EIGHT_BYTE), 8).otherwise(1)
             total = each * head["count"]
-            data = F.when(total <= 4, F.substring(raw, F.lit(9), total.cast("int"))).otherwise(
+            data = F.when(total <= 4, F.substring(raw, F.lit(9), F.least(total, F.lit(4)).cast("int"))).otherwise(
                 piece(tiff, field(8, 4), F.least(total, F.octet_length(tiff)))
             )
             return F.struct(
@@ -139,7 +139,7 @@ def exif_entries(directories: DataFrame, keys: list[str]) -> DataFrame:
         return F.when(bottom == 0, F.lit(0.0)).otherwise(F.get(ws, k * 2) / bottom)
 
     worded = rows.withColumn("words", words)
-    ratios = F.transform(indexes(count), lambda k: ratio(F.col("words"), k))
+    ratios = F.transform(indexes(F.floor(F.size("words") / 2)), lambda k: ratio(F.col("words"), k))
     numbers = F.when(kind.isin(*RATIONAL), F.when(F.col("words").isNotNull(), ratios)).otherwise(
         F.col("words").cast("array<double>"))
     # Invalid UTF-8 becomes replacement characters.
@@ -232,7 +232,7 @@ def exif_columns(entries: DataFrame, keys: list[str]) -> DataFrame:
         when.alias("exif_datetime"),
         F.coalesce(exposure_text(ratio), exposure["text"]).alias("exposure_text"),
         _scalar(at("exif", TAG_FNUMBER), WHOLE + RATIONAL).alias("exif_fnumber"),
-        _scalar(at("exif", TAG_ISO), WHOLE).cast("int").alias("exif_iso"),
+        _scalar(at("exif", TAG_ISO), WHOLE).cast("bigint").alias("exif_iso"),
         at("ifd0", TAG_GPS_POINTER).isNotNull().alias("exif_gps"),
         gps_position(lat, lon).alias("exif_position"),
         ((F.col("next_start") != 0) & (F.col("ifd1_entries") > 0)).alias("exif_thumbnail"),

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filetrail.functions.binary import fixed_records
-from filetrail.operators.ordered import BLOCK_ROWS, exclusive_prefix, number_block
+from filetrail.operators.ordered import BLOCK_ROWS, exclusive_prefix, row_blocks
 
 # Descriptor width in bytes, ratio of the test, matches needed.
 DESCRIPTOR_BYTES = 32
@@ -124,9 +124,10 @@ def local_feature_match(
         "session_id", "arrival", F.col("file_id").alias("parent_file_id"), F.col("arrival").alias("order"),
         F.lit(1).alias("step"),
     ).join(pairs.select("session_id", "parent_file_id").distinct(), ["session_id", "parent_file_id"], "left_semi")
+    together = moments.unionByName(steps, allowMissingColumns=True)
     seen = exclusive_prefix(
-        moments.unionByName(steps, allowMissingColumns=True), ["session_id", "parent_file_id"],
-        [F.col("arrival"), F.col("step")], number_block("arrival", block_rows), F.col("order"), "parent_order",
+        together, ["session_id", "parent_file_id"],
+        [F.col("arrival"), F.col("step")], row_blocks(together, "arrival", block_rows), F.col("order"), "parent_order",
     ).filter("step = 0 and parent_order is not null")
     choice = F.struct((-F.col("good")).alias("bad"), F.col("parent_order").alias("order"), "parent_file_id")
     best = seen.groupBy("session_id", "arrival").agg(F.min(choice).alias("best"))

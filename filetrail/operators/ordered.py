@@ -10,13 +10,35 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK_ROWS = 1 << 18
 
 
-def number_block(order: str, rows: int = BLOCK_ROWS) -> Column:
-    """Block of an integer order column: at most `rows` distinct order values per block."""
-    return F.floor(F.col(order) / rows).cast("bigint")
+MOST_BLOCKS = 256
+
+
+def row_blocks(df: DataFrame, order: str, rows: int = BLOCK_ROWS) -> Column:
+    """Block of an order column of any domain (numbers, dates, times), by quantiles of its values.
+
+    A block holds about `rows` rows of all groups together, or more where that would take over `MOST_BLOCKS` blocks; rows with
+    equal order values stay together. One count and, for more than one block, one quantile sketch over `df` are run.
+    """
+    place = F.col(order).cast("double") if df.schema[order].dataType != T.DateType() else F.unix_date(order).cast("double")
+    blocks = min(-(-df.count() // rows), MOST_BLOCKS)
+    if blocks <= 1:
+        return F.lit(0).cast("bigint")
+    cuts = df.select(place.alias("place")).approxQuantile("place", [k / blocks for k in range(1, blocks)], 0.1 / blocks)
+    bounds = sorted(set(cuts))
+
+    def among(low: int, high: int) -> Column:
+        """Number of bounds below the place, known to be from `low` to `high`."""
+        if low == high:
+            return F.lit(low).cast("bigint")
+        middle = (low + high) // 2
+        return F.when(place > bounds[middle], among(middle + 1, high)).otherwise(among(low, middle))
+
+    return among(0, len(bounds))
 
 
 def exclusive_prefix(

@@ -5,22 +5,71 @@ Objects stored in compressed object streams are not opened.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from filetrail.functions.binary import let
 
 _OBJECT = r"(?s)(\d+)\s+\d+\s+obj\b(.*?)\bendobj"
-_LITERAL = r"\s*\(((?:\\.|[^\\()])*)\)"
-
-
-def _literal(body: Column, name: str) -> Column:
-    text = F.nullif(F.regexp_extract(body, f"(?s)/{name}{_LITERAL}", 1), F.lit(""))
-    return F.regexp_replace(text, r"\\([()\\])", "$1")
+# Escapes of literal strings.
+_ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f"}
+_SPECIAL = re.compile(r"[\\()]")
+_ESCAPE = re.compile(r"\\([0-7]{1,3}|\r\n|[\s\S])")
 
 
-def pdf_info(content: Column) -> Column:
-    """struct<producer, creator, fonts array<struct<name, embedded>>>.
+def pdf_string(body: str, name: str) -> str | None:
+    """The text string of an entry `/name` in a dictionary (bytes as Latin-1): literal with balanced parentheses, or
+    hexadecimal; UTF-16 and UTF-8 by their marks. NULL if there is none or it is empty or does not end.
+    """
+    found = re.search(rf"/{name}\s*(?=[(<])", body)
+    if not found or body.startswith("<<", found.end()):
+        return None
+    at = found.end()
+    if body[at] == "<":
+        end = body.find(">", at)
+        digits = re.sub(r"[^0-9A-Fa-f]", "", body[at + 1:end if end >= 0 else at + 1])
+        raw = bytes.fromhex(digits + "0" * (len(digits) % 2))
+    else:
+        depth, end = 0, -1
+        position = at
+        while mark := _SPECIAL.search(body, position):
+            position = mark.end()
+            if mark[0] == "\\":
+                position += 1
+            else:
+                depth += 1 if mark[0] == "(" else -1
+                if depth == 0:
+                    end = mark.start()
+                    break
+        if end < 0:
+            return None
+
+        def plain(escape: re.Match) -> str:
+            code = escape[1]
+            if code[0] in "01234567":
+                return chr(int(code, 8) & 255)
+            return "" if code[0] in "\r\n" else _ESCAPES.get(code, code)
+
+        raw = _ESCAPE.sub(plain, body[at + 1:end]).encode("latin-1")
+    if raw[:2] == b"\xfe\xff":
+        return raw[2:].decode("utf-16-be", "replace") or None
+    if raw[:3] == b"\xef\xbb\xbf":
+        return raw[3:].decode("utf-8", "replace") or None
+    return raw.decode("latin-1") or None
+
+
+@F.pandas_udf(T.StructType([T.StructField("producer", T.StringType()), T.StructField("creator", T.StringType())]))
+def pdf_strings(bodies: pd.Series) -> pd.DataFrame:
+    rows = [(None, None) if b is None else (pdf_string(b, "Producer"), pdf_string(b, "Creator")) for b in bodies]
+    return pd.DataFrame(rows, columns=["producer", "creator"], dtype="object")
+
+
+def pdf_parts(content: Column) -> Column:
+    """struct<info, fonts array<struct<name, embedded>>>: the information dictionary as text, and the fonts.
 
     The information dictionary is the one the last trailer points to. Font names lose their subset prefix; a
     font is embedded if its descriptor object names a font file.
@@ -51,11 +100,16 @@ def pdf_info(content: Column) -> Column:
 
         def fields(bodies: Column) -> Column:
             info = body_of(bodies, info_id)
-            return F.struct(
-                _literal(info, "Producer").alias("producer"), _literal(info, "Creator").alias("creator"),
-                fonts(bodies).alias("fonts"),
-            )
+            return F.struct(info.alias("info"), fonts(bodies).alias("fonts"))
 
         return let(objects, fields)
 
     return let(F.decode(content, "ISO-8859-1"), read)
+
+
+def pdf_info(content: Column) -> Column:
+    """struct<producer, creator, fonts>; where bytes go on to another Python step, use its two parts one after the other."""
+    parts = pdf_parts(content)
+    strings = pdf_strings(parts["info"])
+    return F.when(content.isNotNull(), F.struct(
+        strings["producer"].alias("producer"), strings["creator"].alias("creator"), parts["fonts"].alias("fonts")))

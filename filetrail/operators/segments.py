@@ -10,6 +10,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,6 @@ STANDALONE = {0x01, *range(0xD0, 0xD9)}
 FRAMES = ["FFC0", "FFC1", "FFC2", "FFC3", "FFC5", "FFC6", "FFC7", "FFC9", "FFCA", "FFCB", "FFCD", "FFCE", "FFCF"]
 SCAN, END = 0xDA, 0xD9
 PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
-MAX_BOX_DEPTH = 12
 BOX_LEAVES = ("cbor", "json", "bfdb")
 
 # Rows are handed on in batches of at most about this size.
@@ -95,19 +95,9 @@ def png_records(data: bytes) -> tuple[list[Row], int, bool]:
     return rows, 0, True
 
 
-def _own_label(kids: list[tuple[str, int, bytes]]) -> str | None:
-    """Label of a superbox: in its first description box, if bit 0 of the toggles says there is one."""
-    for kind, _, body in kids:
-        if kind == "jumd":
-            end = body.find(b"\x00", 17)
-            labelled = len(body) >= 17 and body[16] & 1 and end != -1
-            return body[17:end].decode("utf-8", "replace") if labelled else None
-    return None
-
-
-def _boxes_at_level(data: bytes) -> list[tuple[str, int, bytes]]:
+def _boxes_between(data: bytes, at: int, size: int) -> list[tuple[str, int, int, int]]:
+    """Boxes of one level between two offsets: kind, start, start and end of the body."""
     found = []
-    at, size = 0, len(data)
     while at + 8 <= size:
         length = int.from_bytes(data[at:at + 4], "big")
         head = 8
@@ -118,29 +108,37 @@ def _boxes_at_level(data: bytes) -> list[tuple[str, int, bytes]]:
             if length < head:
                 break
         stop = size if length == 0 else min(at + length, size)
-        found.append((data[at + 4:at + 8].decode("ascii", "replace"), at, data[at + head:stop]))
+        found.append((data[at + 4:at + 8].decode("ascii", "replace"), at, at + head, max(stop, at + head)))
         at = stop
         if length == 0:
             break
     return found
 
 
+def _own_label(data: bytes, kids: list[tuple[str, int, int, int]]) -> str | None:
+    """Label of a superbox: in its first description box, if bit 0 of the toggles says there is one."""
+    for kind, _, start, stop in kids:
+        if kind == "jumd":
+            end = data.find(b"\x00", start + 17, stop)
+            labelled = stop - start >= 17 and data[start + 16] & 1 and end != -1
+            return data[start + 17:end].decode("utf-8", "replace") if labelled else None
+    return None
+
+
 def box_records(data: bytes) -> tuple[list[Row], int, bool]:
-    """Nested boxes in reading order. A superbox carries its own label, any other box its parent's."""
+    """Nested boxes in reading order, to any depth. A superbox carries its own label, any other box its parent's."""
     rows: list[Row] = []
-
-    def visit(content: bytes, base: int, depth: int, parent: str | None) -> None:
-        for kind, at, body in _boxes_at_level(content):
-            if kind != "jumb":
-                rows.append((kind, base + at, len(body), body, depth, parent))
-                continue
-            kids = _boxes_at_level(body) if depth < MAX_BOX_DEPTH else []
-            label = _own_label(kids)
-            rows.append((kind, base + at, len(body), b"", depth, label))
-            if kids:
-                visit(body, base + at, depth + 1, label)
-
-    visit(data, 0, 0, None)
+    # Boxes still to be visited, the next one last; offsets count from the parent's first byte, as a reader would say them.
+    todo = [(*box, 0, 0, None) for box in reversed(_boxes_between(data, 0, len(data)))]
+    while todo:
+        kind, at, start, stop, depth, base, parent = todo.pop()
+        if kind != "jumb":
+            rows.append((kind, at - base, stop - start, data[start:stop], depth, parent))
+            continue
+        kids = _boxes_between(data, start, stop)
+        label = _own_label(data, kids)
+        rows.append((kind, at - base, stop - start, b"", depth, label))
+        todo += [(*box, depth + 1, base + start - at, label) for box in reversed(kids)]
     return rows, 0, False
 
 
@@ -336,10 +334,21 @@ def reassemble_parts(parts: DataFrame, keys: list[str], payload: str, *order: st
     return parts.groupBy(*keys).agg(F.aggregate(lined_up, empty, lambda acc, p: F.concat(acc, p[payload])).alias(out))
 
 
-@F.udf(T.BinaryType())
-def inflate(data):
-    """zlib data, or NULL if it does not inflate; profiles are a few kilobytes, one per file."""
-    try:
-        return None if data is None else zlib.decompress(data)
-    except zlib.error:
-        return None
+# An inflated profile may be this large; profiles are a few kilobytes, and a small file can claim terabytes.
+MAX_INFLATED = 16 << 20
+
+
+@F.pandas_udf(T.BinaryType())
+def inflate(packed: pd.Series) -> pd.Series:
+    """zlib data, or NULL if it does not inflate within `MAX_INFLATED` bytes."""
+    def opened(data):
+        if data is None:
+            return None
+        stream = zlib.decompressobj()
+        try:
+            out = stream.decompress(data, MAX_INFLATED)
+        except zlib.error:
+            return None
+        return out if stream.eof else None
+
+    return packed.map(opened, na_action="ignore")

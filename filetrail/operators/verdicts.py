@@ -44,7 +44,7 @@ def detect_transformations(
 ) -> Column:
     """array<string>: what happened between a matched parent and this file. All sizes in pixels."""
     known = holds((width != 0) & (height != 0) & (parent_width != 0) & (parent_height != 0))
-    ratio = F.when(known, (width * height) / (parent_width * parent_height))
+    ratio = F.when(known, (width.cast("double") * height) / (parent_width.cast("double") * parent_height))
     reshaped = F.abs(width / height - parent_width / parent_height) > 0.03
     percent = F.bround(ratio * 100, 0).cast("bigint").cast("string")
     sizing = (

@@ -12,7 +12,8 @@ from filetrail.operators.claims import claim_columns, claim_stream_of_jpeg, clai
 from filetrail.operators.exif import exif_columns, exif_directories, exif_entries, tiff_of
 from filetrail.operators.icc import icc_of_jpeg, icc_of_png
 from filetrail.operators.matching import attach_parent, best_match
-from filetrail.operators.pdf import pdf_info
+from filetrail.operators.ordered import exclusive_prefix, row_blocks
+from filetrail.operators.pdf import pdf_parts, pdf_strings
 from filetrail.operators.rules import Rule, classify, coherent_camera, near_lossless
 from filetrail.operators.segments import FRAMES, encoder_fingerprint, explode_chained, image_dims
 from filetrail.operators.verdicts import STATISTICS_NOTE, detect_transformations, trace_score, verdict, verdict_statement
@@ -33,7 +34,7 @@ def identify(files: DataFrame) -> DataFrame:
     actual, declared = sniff_format(F.col("content")), declared_format(F.col("filename"))
     return files.select(
         *[c for c in files.columns if c != "length"],
-        F.octet_length("content").cast("bigint").alias("file_size"),
+        F.coalesce(F.octet_length("content").cast("bigint"), *([F.col("length")] if "length" in files.columns else [])).alias("file_size"),
         content_sha256(F.col("content")).alias("sha256"),
         file_id(content_sha256(F.col("content"))).alias("file_id"),
         actual.alias("actual_format"), declared.alias("declared_format"),
@@ -49,15 +50,15 @@ def dispatch_evidence(files: DataFrame, keys: list[str], once: list[str] = ()) -
     """
     walked = files.select(
         *keys, *once, "actual_format",
-        F.when(F.col("actual_format") == "pdf", pdf_info(F.col("content"))).alias("pdf"),
+        F.when(F.col("actual_format") == "pdf", pdf_parts(F.col("content"))).alias("pdf"),
         F.when(F.col("actual_format").isin("jpeg", "png"), F.col("content")).alias("bytes"),
     )
     records = stage(
         explode_chained(walked, keys, "bytes", "any", EVIDENCE_RECORDS, once=[*once, "actual_format", "pdf"]), "records"
     )
-    closing = records.filter("type is null").select(
+    closing = records.filter("type is null").withColumn("strings", pdf_strings(F.col("pdf.info"))).select(
         *keys, *once, "actual_format", F.col("trailing").alias("trailing_bytes"), "truncated",
-        F.col("pdf.producer").alias("pdf_producer"), F.col("pdf.creator").alias("pdf_creator"),
+        F.col("strings.producer").alias("pdf_producer"), F.col("strings.creator").alias("pdf_creator"),
         F.col("pdf.fonts").alias("pdf_fonts"),
     )
     icc = icc_of_jpeg(records, keys).unionByName(icc_of_png(records, keys)).select(
@@ -137,6 +138,16 @@ _RECORD_STRINGS = [
 ]
 
 
+def same_bytes(uploads: DataFrame) -> DataFrame:
+    """For asking uploads the latest earlier upload of the session with the same sha256, as matches at distance 0."""
+    lean = uploads.select("session_id", "arrival", "file_id", "sha256", "asks")
+    seen = exclusive_prefix(
+        lean, ["session_id", "sha256"], [F.col("arrival")], row_blocks(lean, "arrival"), F.col("arrival"), "parent_order")
+    return seen.filter(F.col("asks") & F.col("parent_order").isNotNull()).select(
+        "session_id", "arrival", F.col("file_id").alias("parent_file_id"), "parent_order", F.lit(0).alias("metric"),
+        F.lit("sha256").alias("match_type"))
+
+
 def analyze(
     files: DataFrame, pixels: DataFrame | None = None, features: DataFrame | None = None, match: bool = True,
     rules: list[Rule] | None = None, match_exact: bool = False,
@@ -181,16 +192,13 @@ def analyze(
             "asks": ~(holds(F.col("c2pa_present")) | coherent_camera()),
         }).select("session_id", "arrival", "file_id", "sha256", F.col("p").alias("phash"), F.col("d").alias("dhash"), "asks")
         hashes = ["phash", "dhash"]
-        if match_exact:
-            searching = searching.withColumn("sha256_prefix", F.when(
-                F.col("phash").isNull() & F.col("dhash").isNull(), hash_bits(F.col("file_id"))))
         blobs = None
         if features is not None:
             blobs = good.select("session_id", "file_id", "sha256").distinct().join(features, "sha256").select(
                 "session_id", "file_id", "blob")
         matches = best_match(searching, hashes, searching="asks", features=blobs)
         if match_exact:
-            exact = best_match(searching, ["sha256_prefix"], radius=0, searching="asks")
+            exact = same_bytes(searching.filter("phash is null and dhash is null"))
             matches = matches.unionByName(exact.join(matches, ["session_id", "arrival"], "left_anti"))
     else:
         matches = good.select(

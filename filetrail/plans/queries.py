@@ -635,7 +635,7 @@ def first_last_wins(spark, sf_dir):
 @query
 def session_order(spark, sf_dir):
     uploads = bindings.document_uploads(spark, sf_dir).select("session_id", "arrival", "filename")
-    placed = ordered.ordinal(uploads, ["session_id"], [F.col("arrival")], ordered.number_block("arrival"), "place")
+    placed = ordered.ordinal(uploads, ["session_id"], [F.col("arrival")], ordered.row_blocks(uploads, "arrival"), "place")
     return placed.orderBy("session_id", "arrival")
 
 

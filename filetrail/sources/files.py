@@ -11,15 +11,21 @@ FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content b
 
 
 def scan_files(spark: SparkSession, path: str, glob: str | None = None, max_bytes: int | None = MAX_BYTES) -> DataFrame:
-    """(path, filename, modificationTime, length, content). The size limit is pushed into the source, so the
-    bytes of larger files are never read; pass None to keep all. The source itself leaves out empty files."""
+    """(path, filename, modificationTime, length, content). Files over the limit come with NULL for content: their rows are
+    kept, so that they can be rejected, and their bytes are never read. Pass None to read all. The source itself leaves
+    out empty files."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(path)
-    if max_bytes is not None:
-        files = files.filter(F.col("length") <= max_bytes)
-    return files.withColumn("filename", F.substring_index("path", "/", -1))
+    return limited(reader.load(path), max_bytes).withColumn("filename", F.substring_index("path", "/", -1))
+
+
+def limited(files: DataFrame, max_bytes: int | None) -> DataFrame:
+    """Files up to the limit with their bytes, and the larger ones as rows that do not select them."""
+    if max_bytes is None:
+        return files
+    large = files.filter(F.col("length") > max_bytes).withColumn("content", F.lit(None).cast("binary"))
+    return files.filter(F.col("length") <= max_bytes).unionByName(large)
 
 
 def scan_images(spark: SparkSession, path: str) -> DataFrame:

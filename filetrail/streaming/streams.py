@@ -20,19 +20,21 @@ from filetrail.operators.hamming import band_table, layout
 from filetrail.operators.lineage import session_edges, session_nodes
 from filetrail.operators.matching import MATCH_DISTANCE, best_match
 from filetrail.operators.ordered import upsert_latest
-from filetrail.sources.files import FILE_SCHEMA, MAX_BYTES
+from filetrail.sources.files import FILE_SCHEMA, MAX_BYTES, limited
 from filetrail.sources.results import bucket
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_files(spark: SparkSession, path: str, glob: str | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Files landing in a directory, as a stream of (path, modificationTime, length, content, filename)."""
+    """Files landing in a directory, as a stream of (path, modificationTime, length, content, filename).
+
+    Files over the limit come without their bytes, as in `scan_files`.
+    """
     reader = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path).filter(F.col("length") <= max_bytes).withColumn(
-        "filename", F.substring_index("path", "/", -1))
+    return limited(reader.load(path), max_bytes).withColumn("filename", F.substring_index("path", "/", -1))
 
 
 def run_available(stream: DataFrame, absorb: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

@@ -19,12 +19,12 @@ def test_prefixes_do_not_depend_on_blocks(spark, how, reverse):
         want[t] = fold(seen) if seen or how == "sum" else None
     for size in (4, 1000):
         got = ordered.exclusive_prefix(
-            df, ["k"], [F.col("t")], ordered.number_block("t", size), F.col("v"), "p", how, reverse)
+            df, ["k"], [F.col("t")], ordered.row_blocks(df, "t", size), F.col("v"), "p", how, reverse)
         assert {r.t: r.p for r in got.collect()} == want
 
 
 def test_latest_row_wins_and_position_counts_from_zero(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 3, "z"), ("a", 2, "y"), ("b", 5, None)], "k string, t long, v string")
     assert sorted(map(tuple, ordered.upsert_latest(df, ["k"], "t").collect())) == [("a", 3, "z"), ("b", 5, None)]
-    placed = ordered.ordinal(df, ["k"], [F.col("t")], ordered.number_block("t", 2), "n")
+    placed = ordered.ordinal(df, ["k"], [F.col("t")], ordered.row_blocks(df, "t", 2), "n")
     assert {(r.k, r.t): r.n for r in placed.collect()} == {("a", 1): 0, ("a", 2): 1, ("a", 3): 2, ("b", 5): 0}
