@@ -18,7 +18,7 @@ from filetrail.llm.components import components
 from filetrail.llm.shingles import mix, set_keys, shingle_sets, steps
 
 MOST_SIGNATURES = 100  # of a small set and band
-PER_DIFFERENCE = 3  # of a large one, for each element that may differ
+PER_DIFFERENCE = 2.2  # of a large one, for each element that may differ
 BUCKET_ENTRIES = 1_000_000
 HEAVY_CLASSES = 100_000
 FREQUENT_SHINGLES = 200_000
@@ -287,6 +287,35 @@ def _labelled(groups: DataFrame, tested: DataFrame) -> DataFrame:
     return stage(known.join(split, "gid"), "jaccard-split")
 
 
+def _possible(split: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """(a, b): pairs of different components in a group whose sets can still be similar enough.
+
+    Elements that no other set of these groups has cannot be common, so the rest of the smaller one bounds what two sets share.
+    Near copies of one text that are each changed too much fall away by this, without being compared.
+    """
+    live = sets.join(split.select("node").distinct(), "node")
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(e, np.int64) for e in batch.column("elements").to_pylist()]
+            sizes = [len(f) for f in found]
+            if sizes:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(batch.column("node").to_numpy(), sizes)), pa.array(np.concatenate(found))], names=["node", "element"])
+
+    alone = live.mapInArrow(listed, "node long, element long").groupBy("element").agg(
+        F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    shape = live.select("node", (F.octet_length("elements") / 8).cast("long").alias("size")).join(alone, "node", "left").select(
+        "node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
+    known = stage(split.join(shape, "node"), "jaccard-live")
+    left, right = (known.select("gid", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "comp", "size", "shared"))) for side in "ab")
+    common = F.least("a_shared", "b_shared")
+    enough = threshold.denominator * common >= threshold.numerator * (F.col("a_size") + F.col("b_size") - common)
+    other = (F.col("a_node") < F.col("b_node")) & (F.col("a_comp") != F.col("b_comp"))
+    return left.join(right, (left["gid"] == right["gid"]) & other & enough).select(
+        F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+
+
 def link_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
     """Components of documents whose word-shingle sets have Jaccard similarity `threshold` or more: exact, no pair is missed.
 
@@ -317,9 +346,7 @@ def link_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
             tested = tested.unionByName(more)
             if more.filter("linked").isEmpty():
                 break
-        left, right = split.select("gid", F.col("node").alias("a"), F.col("comp").alias("c")), split.select(
-            "gid", F.col("node").alias("b"), F.col("comp").alias("d"))
-        pairs = left.join(right, "gid").filter("a < b and c != d").select("a", "b").distinct()
+        pairs = _possible(split, sets, threshold)
         tested = tested.unionByName(_verified(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets, threshold))
         label = components(tested.filter("linked"))
     known = facts.withColumn("label", F.col("node")) if label is None else facts.join(label, "node", "left").withColumn(
