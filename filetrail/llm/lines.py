@@ -121,7 +121,7 @@ def dedup_lines(docs: DataFrame, run: int = 2, report: bool = False) -> DataFram
             out.append((new, went, stretches, hashlib.sha256(new.encode()).hexdigest()))
         return pd.DataFrame(out, columns=["text", "went", "stretches", "sha"])
 
-    joined = rows.join(found, ["text_key", "at_doc"], "left")
+    joined = rows.join(found.hint("shuffle_hash"), ["text_key", "at_doc"], "left")  # one plan at every size
     # Texts that lose nothing stay in the JVM.
     joined = joined.withColumn("cut", cut(F.when(F.col("copy").isNotNull(), text), "starts", "copy"))
     if report:
