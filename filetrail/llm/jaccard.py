@@ -361,7 +361,7 @@ def keep_one(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4,
     """One document of each component stays, the one of smallest doc_id, with all its columns. Rows without doc_id stay."""
     linked = stage(link_components(docs, words, threshold), "jaccard-components")
     go = linked.filter("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(go, "doc_id", "left_anti")
+    kept = docs.join(go.hint("shuffle_hash"), "doc_id", "left_anti")  # one plan at every size
     if linked.filter("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept
     named = kept.filter("doc_id is not null")

@@ -428,7 +428,7 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
         copied.select("text_key", F.lit("").alias("new_text")))
     own = {c: f"own_{i}" for i, c in enumerate(docs.columns)}
     joined = docs.withColumnsRenamed(own).withColumn("text_key", F.xxhash64(F.coalesce(own["text"], F.lit("")))).join(
-        shorter, "text_key", "left")
+        shorter.hint("shuffle_hash"), "text_key", "left")
     text_now = F.coalesce("new_text", own["text"])
     return joined.select(*[
         text_now.alias(c) if c == "text" else F.length(text_now).cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
