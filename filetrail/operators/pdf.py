@@ -72,7 +72,8 @@ def pdf_parts(content: Column) -> Column:
     """struct<info, fonts array<struct<name, embedded>>>: the information dictionary as text, and the fonts.
 
     The information dictionary is the one the last trailer points to. Font names lose their subset prefix; a
-    font is embedded if its descriptor object names a font file.
+    font is embedded if its descriptor object names a font file. `pdf_strings` reads producer and creator out of the
+    dictionary, from a staged column: the expression here cannot feed a Python function in the same step.
     """
     def read(text: Column) -> Column:
         objects = F.zip_with(
@@ -105,11 +106,3 @@ def pdf_parts(content: Column) -> Column:
         return let(objects, fields)
 
     return let(F.decode(content, "ISO-8859-1"), read)
-
-
-def pdf_info(content: Column) -> Column:
-    """struct<producer, creator, fonts>; where bytes go on to another Python step, use its two parts one after the other."""
-    parts = pdf_parts(content)
-    strings = pdf_strings(parts["info"])
-    return F.when(content.isNotNull(), F.struct(
-        strings["producer"].alias("producer"), strings["creator"].alias("creator"), parts["fonts"].alias("fonts")))

@@ -245,3 +245,76 @@ def claim_bytes() -> Column:
         F.lit("late").alias("softwareAgent"),
         F.array(F.struct(F.lit("2026-08-12T10:00:00Z").alias("when"))).alias("actions"))), "UTF-8")
     return described(F.col("lang"), box(b"json", outer), described(F.col("source"), box(b"json", inner)))
+
+
+def _le(value: Column, size: int) -> Column:
+    return F.reverse(_be(value, size)) if size == 1 else F.concat(
+        *[F.substring(_be(value, size), k, 1) for k in range(size, 0, -1)])
+
+
+def _entry(tag: int, kind: int, count: Column | int, value: Column) -> Column:
+    """One little-endian directory entry; `value` is its last four bytes."""
+    count = F.lit(count) if isinstance(count, int) else count
+    return F.concat(_le(F.lit(tag), 2), _le(F.lit(kind), 2), _le(count, 4), value)
+
+
+BEYOND, LAST = 2**31, 2**32 - 1
+
+
+def tiff_bytes() -> Column:
+    """An EXIF block, damaged by doc_id / 2 % 6: 1 the directory, 2 the pointer to the second one, 3 a value lies out of reach, 4 the number
+    of entries is a lie, 5 a number is larger than a signed integer."""
+    i, damage = F.col("doc_id"), F.floor(F.col("doc_id") / 2) % 6
+    first, second = 8, 80
+    at = lambda n: _le(F.lit(n), 4)
+    head = F.concat(F.lit(b"II*\x00"), _le(F.when(damage == 1, BEYOND).otherwise(first), 4))
+    main = F.concat(
+        _le(F.when(damage == 4, 65535).otherwise(4), 2),
+        _entry(0x010F, 2, 6, _le(F.when(damage == 3, BEYOND).otherwise(62), 4)),
+        _entry(0x0110, 2, 4, F.concat(F.lit(b"KL"), F.encode((i % 4).cast("string"), "UTF-8"), F.lit(b"\x00"))),
+        _entry(0x0131, 2, 11, at(68)),
+        _entry(0x8769, 4, 1, _le(F.when(damage == 2, LAST).otherwise(second), 4)), at(0))
+    values = F.concat(F.lit(b"TECNO\x00"), F.when(i % 4 == 0, F.lit(b"Android 13\x00")).otherwise(F.lit(b"Camera 1.0\x00")), F.lit(b"\x00"))
+    iso = F.when(damage == 5, _entry(0x8827, 4, 1, _le(F.lit(BEYOND) + i, 4))).otherwise(
+        _entry(0x8827, 3, 1, F.concat(_le(100 + i % 7 * 50, 2), F.lit(b"\x00\x00"))))
+    exif = F.concat(_le(F.lit(2), 2), _entry(0x829A, 5, 1, at(second + 2 + 24 + 4)), iso, at(0))
+    return F.concat(head, main, values, exif, at(1), _le(25 + i % 3, 4))
+
+
+def _parts(data: Column, kind: str, *heads: Column) -> Column:
+    """The data as two segments of one kind with a head each."""
+    half = F.floor(F.octet_length(data) / 2).cast("int")
+    bodies = F.substring(data, F.lit(1), half), F.substring(data, half + 1, F.octet_length(data))
+    segments = [F.concat(head, body) for head, body in zip(heads, bodies, strict=True)]
+    return F.concat(*[part for s in segments for part in (_raw(kind), _be(F.octet_length(s) + 2, 2), s)])
+
+
+def damaged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as JPEGs with EXIF, a profile in two parts and the text in comments, or as PDFs whose producer is the whole text.
+
+    Every sixth file is whole; the others have offsets, counts and lengths that lie outside the file.
+    """
+    i, damage = F.col("doc_id"), F.floor(F.col("doc_id") / 2) % 6
+    exif = F.concat(F.lit(b"Exif\x00\x00"), tiff_bytes())
+    desc, cprt = F.lit(b"text\x00\x00\x00\x00a profile\x00"), F.encode(F.concat(F.lit("(c) "), "source"), "UTF-8")
+    named = F.concat(F.lit(b"text\x00\x00\x00\x00"), cprt, F.lit(b"\x00"))
+    start = 128 + 4 + 24
+    profile = F.concat(
+        F.lit(bytes(128)), _be(F.when(damage == 4, LAST).otherwise(2), 4),
+        F.lit(b"desc"), _be(F.when(damage == 1, BEYOND).otherwise(start), 4), _be(F.when(damage == 2, LAST).otherwise(18), 4),
+        F.lit(b"cprt"), _be(F.lit(start + 18), 4), _be(F.octet_length(named), 4), desc, named)
+    mark = F.lit(b"ICC_PROFILE\x00")
+    profiled = _parts(profile, "FFE2", F.concat(mark, F.lit(b"\x01\x02")), F.concat(mark, F.lit(b"\x02\x02")))
+    frame = F.concat(_raw("FFC0001108"), _be(1 + i % 4000, 2), _be(1 + F.col("n_chars") % 60000, 2), _raw("0301220002110103" + "1101"))
+    jpeg = F.concat(
+        _raw("FFD8"), _raw("FFE1"), _be(F.octet_length(exif) + 2, 2), exif, profiled, comment_segments(F.encode("text", "UTF-8")), frame,
+        _raw("FFDA000C00000000000000000000AAFF00BBFFD3CCFFD9"))
+    # A literal with nested parentheses and escapes, or UTF-16 in hexadecimal digits.
+    producer = F.when(damage == 1, F.concat(F.lit("(Maker (of (nested)) \\) "), F.repeat(F.lit("x\\("), F.length("text")), F.lit(")"))).otherwise(
+        F.concat(F.lit("<FEFF"), F.hex(F.encode("text", "UTF-16BE")), F.lit(">")))
+    document = F.encode(F.concat(
+        F.lit("%PDF-1.4\n5 0 obj\n<< /Producer "), producer, F.lit(" /Creator (unfinished "),
+        F.when(damage == 3, F.lit("")).otherwise(F.lit(")")), F.lit(" >>\nendobj\ntrailer\n<< /Root 1 0 R /Info 5 0 R >>\n%%EOF")), "UTF-8")
+    return stage(spread(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.when(i % 2 == 0, jpeg).otherwise(document).alias("content"),
+        F.when(i % 2 == 0, "jpeg").otherwise("pdf").alias("actual_format")), "damaged")

@@ -400,3 +400,27 @@ ORACLES["grid_stats"] = f"""with {_SHIFTED}, near as (select c.vec_id, c.p, any_
  noise as (select vec_id, round(avg(abs(v - m)), 4) as mean_residual_noise from near group by vec_id)
  select vec_id, mean_residual_noise, misalignment, 'Pixel statistics are logged for transparency only. They do not drive any verdict or score.' as note
  from noise left join mis using (vec_id)"""
+
+# --- damaged bytes, written tables, shared shingles
+_JPEG, _DAMAGE = "doc_id % 2 = 0", "((doc_id // 2) % 6)"
+ORACLES["damaged_evidence"] = f"""select doc_id, case when {_JPEG} then 'jpeg' else 'pdf' end as actual_format, ({_JPEG})::int as exif_present,
+ case when {_JPEG} and {_DAMAGE} <> 1 then case when {_DAMAGE} = 3 then '' else 'TECNO' end end as exif_make,
+ case when {_JPEG} and {_DAMAGE} <> 1 then 'KL' || (doc_id % 4) end as exif_model,
+ case when {_JPEG} and {_DAMAGE} <> 1 then case when doc_id % 4 = 0 then 'Android 13' else 'Camera 1.0' end end as exif_software,
+ case when {_JPEG} and {_DAMAGE} not in (1, 2) then case when {_DAMAGE} = 5 then 2147483648 + doc_id else 100 + doc_id % 7 * 50 end end as exif_iso,
+ case when {_JPEG} and {_DAMAGE} not in (1, 2) then '1/' || (25 + doc_id % 3) end as exposure_text,
+ case when {_JPEG} and {_DAMAGE} not in (1, 2) then 'a profile' end as icc_description,
+ case when {_JPEG} then '(c) ' || source end as icc_copyright,
+ case when not {_JPEG} then md5(case when {_DAMAGE} = 1 then 'Maker (of (nested)) ) ' || repeat('x(', length(text)) else nullif(text, '') end) end as producer_md5,
+ case when not {_JPEG} and {_DAMAGE} <> 3 then 'unfinished ' end as pdf_creator from documents"""
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+ORACLES["oversize_rejects"] = f"""select unnest(string_split('{_TABLES}', ' ')) || '.parquet' as filename, '413' as reason, null::varchar as starts"""
+ORACLES["written_results"] = f"""with {UPLOADS} select session_id, arrival, file_id, sha256, filename, width, height from up
+ qualify row_number() over (partition by session_id, file_id order by arrival desc) = 1"""
+ORACLES["written_graph"] = f"""with {RESULTS}, e as (select session_id, count(*) as edges from edges group by session_id)
+ select session_id, count(*) as nodes, coalesce(max(e.edges), 0) as edges from res left join e using (session_id) group by session_id"""
+ORACLES["shared_shingle_match"] = """with texts as (select min(doc_id) as doc_id, count(*) as copies, string_split(text, ' ') as w from documents group by text),
+ grams as (select doc_id, copies, unnest(list_distinct(list_transform(generate_series(1, len(w) - 4),
+   lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4]))) as g from texts where len(w) >= 5)
+ select a.doc_id, b.doc_id as other_id, any_value(a.copies) as copies, any_value(b.copies) as other_copies, count(*) as shared
+ from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id having count(*) >= 25"""

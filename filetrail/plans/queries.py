@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from filetrail.functions import fingerprints as fp
 from filetrail.functions.formats import declared_format, format_mismatch, sniff_format
 from filetrail.operators import claims, exif, features, grids, hamming, icc, lineage, matching, ordered, pdf, rules
-from filetrail.operators import segments, verdicts
+from filetrail.operators import segments, shared, verdicts
 from filetrail.plans import analyze, bindings
 from filetrail.session import spread, stage, staging_dir
 from filetrail.sources import files, results
@@ -42,6 +42,15 @@ def scan_files(spark, sf_dir):
     return scanned.select("filename", "length", fp.content_sha256(F.col("content")).alias("sha256"))
 
 
+@query
+def oversize_rejects(spark, sf_dir):
+    limit = 0
+    scanned = files.scan_files(spark, sf_dir, "*.parquet", max_bytes=limit)
+    good, bad = files.split_rejects(scanned, F.col("length"), limit)
+    return good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad).select(
+        "filename", "reason", F.decode(F.substring("content", 1, 4), "UTF-8").alias("starts"))
+
+
 @query
 def scan_curated(spark, sf_dir):
     uploads = bindings.document_uploads(spark, sf_dir)
@@ -123,6 +132,28 @@ def result_json_roundtrip(spark, sf_dir):
         F.col("size.height").alias("height"))
 
 
+@query
+def written_results(spark, sf_dir):
+    rows = bindings.document_uploads(spark, sf_dir).drop("text", "source")
+    path = f"{staging_dir(spark)}/filetrail/written-{uuid.uuid4().hex}"
+    early = F.col("arrival") % 3 != 0
+    for part in (rows.filter(early), rows.filter(~early), rows.filter(early)):  # writing rows again changes nothing
+        results.write_results(part, path)
+    return results.read_results(spark, path, rows.schema).select(rows.columns)
+
+
+@query
+def written_graph(spark, sf_dir):
+    rows = _latest_results(spark, sf_dir)
+    path = f"{staging_dir(spark)}/filetrail/graph-{uuid.uuid4().hex}"
+    results.write_graph(lineage.session_nodes(rows), lineage.session_edges(rows), path, "json")
+    edges = spark.read.json(f"{path}/edges")
+    nodes = spark.read.json(f"{path}/nodes")
+    return nodes.groupBy("session_id").agg(F.count("*").alias("nodes")).join(
+        edges.groupBy("session_id").agg(F.count("*").alias("edges")), "session_id", "left").select(
+        "session_id", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"))
+
+
 @query
 def blob_stride(spark, sf_dir):
     joined = F.unhex(F.array_join(F.transform(F.split("text", " "), lambda w: F.sha2(w, 256)), ""))
@@ -220,6 +251,14 @@ def dispatch_evidence(spark, sf_dir):
         F.col("exif_present").cast("int").alias("exif_present"), F.col("c2pa_present").cast("int").alias("c2pa_present"))
 
 
+@query
+def damaged_evidence(spark, sf_dir):
+    found = analyze.dispatch_evidence(bindings.damaged_files(spark, sf_dir).select("doc_id", "actual_format", "content"), ["doc_id"])
+    return found.select(
+        "doc_id", "actual_format", F.col("exif_present").cast("int").alias("exif_present"), "exif_make", "exif_model", "exif_software",
+        "exif_iso", "exposure_text", "icc_description", "icc_copyright", F.md5("pdf_producer").alias("producer_md5"), "pdf_creator")
+
+
 @query
 def tag_pivot(spark, sf_dir):
     events = bindings.table(spark, sf_dir, "events")
@@ -322,10 +361,11 @@ def normalise_claims(spark, sf_dir):
 
 @query
 def pdf_info(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id", pdf.pdf_info(bindings.pdf_bytes()).alias("p"))
+    parts = stage(_docs(spark, sf_dir).select("doc_id", pdf.pdf_parts(bindings.pdf_bytes()).alias("p")), "pdf-parts")
+    rows = parts.withColumn("strings", pdf.pdf_strings(F.col("p.info")))
     fonts = F.transform("p.fonts", lambda f: F.concat(f["name"], F.when(f["embedded"], "+").otherwise("-")))
     return rows.select(
-        "doc_id", F.col("p.producer").alias("producer"), F.col("p.creator").alias("creator"),
+        "doc_id", F.col("strings.producer").alias("producer"), F.col("strings.creator").alias("creator"),
         _listed(fonts).alias("fonts"))
 
 
@@ -575,6 +615,11 @@ def argmin_stable(spark, sf_dir):
                        F.col("distance").cast("int").alias("distance"))
 
 
+@query
+def shared_shingle_match(spark, sf_dir):
+    return shared.shared_shingle_match(_docs(spark, sf_dir), 25, 5)
+
+
 @query
 def knn_ratio_match(spark, sf_dir):
     rows, uploads = bindings.descriptor_files(spark, sf_dir)

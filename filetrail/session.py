@@ -31,9 +31,12 @@ def build_session(app: str = "filetrail", master: str | None = None, **extra: st
 
 
 def staging_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a local one only where none is configured."""
+    """The shared folder named by the cluster. Where none is named, a local folder, on one machine only."""
     configured = spark.conf.get("spark.checkpoint.dir", "")
     if not configured:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured
