@@ -138,33 +138,33 @@ def dedup_lines(docs: DataFrame, run: int = 2, report: bool = False) -> DataFram
 
 # The same rows for `run` = 2 in DuckDB: each pair of neighbouring lines against its first place.
 ORACLE_SQL = """
-with split as (
+with cut_lines as (
   select doc_id, coalesce(text, '') as text, unnest(string_split(coalesce(text, ''), chr(10))) as line,
-    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as at
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as place
   from documents),
 numbered as (
-  select *, sum(case when regexp_full_match(line, ' *') then 0 else 1 end) over (partition by doc_id order by at) as nth,
+  select *, sum(case when regexp_full_match(line, ' *') then 0 else 1 end) over (partition by doc_id order by place) as nth,
     not regexp_full_match(line, ' *') as is_full
-  from split),
+  from cut_lines),
 pairs as (
-  select doc_id, nth, line, lead(line) over (partition by doc_id order by nth) as next
+  select doc_id, nth, line, lead(line) over (partition by doc_id order by nth) as follower
   from numbered where is_full),
 seen as (
-  select doc_id, nth, row_number() over (partition by line, next order by doc_id, nth) > 1 as again
-  from pairs where next is not null),
+  select doc_id, nth, row_number() over (partition by line, follower order by doc_id, nth) > 1 as again
+  from pairs where follower is not null),
 gone as (
   select distinct doc_id, nth from (
-    select doc_id, nth from seen where again union all select doc_id, nth + 1 from seen where again)),
+    select doc_id, nth from seen where again union all select doc_id, nth + 1 as nth from seen where again) both_lines),
 marked as (
   select n.*, g.nth is not null as goes from numbered n left join gone g on n.doc_id = g.doc_id and n.nth = g.nth),
 runs as (
   select doc_id, count(*) filter (where goes and not coalesce(before, false)) as stretches from (
-    select doc_id, goes, lag(goes) over (partition by doc_id order by nth) as before from marked where is_full)
+    select doc_id, goes, lag(goes) over (partition by doc_id order by nth) as before from marked where is_full) ordered_lines
   group by doc_id)
 select m.doc_id, cast(count(*) filter (where is_full) as bigint) as n_lines,
   cast(count(*) filter (where is_full and goes) as bigint) as n_deleted,
   cast(coalesce(max(r.stretches), 0) as bigint) as n_stretches,
-  sha256(coalesce(string_agg(line, chr(10) order by at) filter (where not goes), '')) as kept_sha256
+  sha256(coalesce(string_agg(line, chr(10) order by place) filter (where not goes), '')) as kept_sha256
 from marked m left join runs r on m.doc_id = r.doc_id
 group by m.doc_id
 """
