@@ -20,7 +20,7 @@ from filetrail.llm.tokens import vocabulary_path
 
 MARK = "▁"
 PIECE = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 600_000
 MEMO_CHARS = 20
 STEP_CHARS = 1 << 19
 # Fixed values of the model format: field numbers, model kinds and piece kinds.
