@@ -49,7 +49,7 @@ class Band:
 WHOLE_GROUP = [Band(0, 0, 0)]
 # Shuffling a key costs about as much as comparing this many candidates.
 KEY_WEIGHT = 8
-# Layouts listing more keys than this per band are never cheaper at reachable sizes.
+# Layouts listing more keys than this per band would make the table of masks itself large; the others are exact too.
 MAX_MASKS = 4096
 
 
@@ -162,5 +162,6 @@ def hamming_join(
     values = distinct_values(uploads, session, arrival, bits)
     searched = values.withColumnRenamed(f"first_{arrival}", arrival)
     stored = values.withColumnRenamed("copies", "near_copies")
-    pairs = near_values(searched, stored, [session], radius, before=arrival, bands=bands)
+    largest = values.groupBy(session).count().agg(F.max("count")).first()[0] or 0
+    pairs = near_values(searched, stored, [session], radius, before=arrival, bands=bands, largest=largest)
     return pairs.distinct()

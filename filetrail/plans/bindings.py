@@ -277,8 +277,10 @@ def tiff_bytes() -> Column:
     values = F.concat(F.lit(b"TECNO\x00"), F.when(i % 4 == 0, F.lit(b"Android 13\x00")).otherwise(F.lit(b"Camera 1.0\x00")), F.lit(b"\x00"))
     iso = F.when(damage == 5, _entry(0x8827, 4, 1, _le(F.lit(BEYOND) + i, 4))).otherwise(
         _entry(0x8827, 3, 1, F.concat(_le(100 + i % 7 * 50, 2), F.lit(b"\x00\x00"))))
-    exif = F.concat(_le(F.lit(2), 2), _entry(0x829A, 5, 1, at(second + 2 + 24 + 4)), iso, at(0))
-    return F.concat(head, main, values, exif, at(1), _le(25 + i % 3, 4))
+    past = second + 2 + 36 + 4
+    stop = F.when(i % 5 == 0, _entry(0x9999, 5, 1, at(past + 8))).otherwise(_entry(0x829D, 5, 1, at(past + 8)))
+    exif = F.concat(_le(F.lit(3), 2), _entry(0x829A, 5, 1, at(past)), stop, iso, at(0))
+    return F.concat(head, main, values, exif, at(1), _le(25 + i % 3, 4), at(185), at(100))
 
 
 def _parts(data: Column, kind: str, *heads: Column) -> Column:
@@ -316,5 +318,5 @@ def damaged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("%PDF-1.4\n5 0 obj\n<< /Producer "), producer, F.lit(" /Creator (unfinished "),
         F.when(damage == 3, F.lit("")).otherwise(F.lit(")")), F.lit(" >>\nendobj\ntrailer\n<< /Root 1 0 R /Info 5 0 R >>\n%%EOF")), "UTF-8")
     return stage(spread(table(spark, sf_dir, "documents")).select(
-        "doc_id", F.when(i % 2 == 0, jpeg).otherwise(document).alias("content"),
+        "doc_id", "lang", F.when(i % 2 == 0, jpeg).otherwise(document).alias("content"),
         F.when(i % 2 == 0, "jpeg").otherwise("pdf").alias("actual_format")), "damaged")

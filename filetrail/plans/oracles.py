@@ -424,3 +424,13 @@ ORACLES["shared_shingle_match"] = """with texts as (select min(doc_id) as doc_id
    lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4]))) as g from texts where len(w) >= 5)
  select a.doc_id, b.doc_id as other_id, any_value(a.copies) as copies, any_value(b.copies) as other_copies, count(*) as shared
  from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id having count(*) >= 25"""
+_SOUND = f"{_JPEG} and {_DAMAGE} in (0, 4, 5) and doc_id % 5 <> 0"
+ORACLES["analyze_corpus"] = f"""with files as (select *, case when {_JPEG} then concat_ws('|', text, doc_id % 4000, {_DAMAGE}, doc_id % 420)
+   when {_DAMAGE} = 1 then 'nested ' || length(text) when {_DAMAGE} = 3 then 'open ' || text else 'hex ' || text end as bytes from documents),
+ seen as (select *, row_number() over (partition by lang, {_JPEG}, bytes order by doc_id) > 1 as again from files)
+ select lang as session_id, doc_id as arrival, 'doc-' || doc_id || case when {_JPEG} and doc_id % 7 <> 0 then '.JPG' else '.pdf' end as filename,
+ case when {_SOUND} then 'VERIFIED_ORIGIN' when again then 'DERIVED' else 'NO_RECORD' end as verdict,
+ case when {_SOUND} then 'Captured on TECNO KL' || (doc_id % 4) || '. ISO ' || case when {_DAMAGE} = 5 then 2147483648 + doc_id else 100 + doc_id % 7 * 50 end
+   || ', 1/' || (25 + doc_id % 3) || ', f/1.85 — consistent with a coherent exposure triangle.' end as statement,
+ (5 + case when {_JPEG} and doc_id % 7 = 0 then 0 else 10 end + case when {_JPEG} then 10 else 0 end + case when {_SOUND} then 25 else 0 end)::int as trace_score,
+ case when {_SOUND} then 'direct_phone_camera' else '' end as rules, null::varchar as reason from seen"""

@@ -259,6 +259,20 @@ def damaged_evidence(spark, sf_dir):
         "exif_iso", "exposure_text", "icc_description", "icc_copyright", F.md5("pdf_producer").alias("producer_md5"), "pdf_creator")
 
 
+@query
+def analyze_corpus(spark, sf_dir):
+    """The whole plan over whole files built from whole texts, damaged ones among them."""
+    uploads = bindings.damaged_files(spark, sf_dir).select(
+        F.col("lang").alias("session_id"), F.col("doc_id").alias("arrival"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.when(
+            F.col("actual_format") == "jpeg", F.when(F.col("doc_id") % 7 == 0, ".pdf").otherwise(".JPG")).otherwise(".pdf")).alias("filename"), "content")
+    judged, rejected = analyze.analyze(uploads, match_exact=True)
+    statement = F.when(F.col("verdict") == "VERIFIED_ORIGIN", F.col("verdict_statement"))
+    return judged.select(
+        "session_id", "arrival", "filename", "verdict", statement.alias("statement"), "trace_score",
+        _listed(F.transform("pipeline_matches", lambda m: m["name"])).alias("rules"), F.lit(None).cast("string").alias("reason"),
+    ).unionByName(rejected.select("session_id", "arrival", "filename", "reason"), allowMissingColumns=True)
+
+
 @query
 def tag_pivot(spark, sf_dir):
     events = bindings.table(spark, sf_dir, "events")
