@@ -6,6 +6,7 @@ from collections.abc import Callable
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from filetrail.llm import jaccard, lines, packing, quality, substrings
 from filetrail.llm.common import stage, table
@@ -15,7 +16,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the labels, takes for good; null and empty texts are scored as empty ones."""
-    model = quality.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    known = docs.select("doc_id", "text").filter(~quality.held_out(F.col("doc_id")))
+    model = quality.train(known, table(spark, sf_dir, "labels").select("doc_id", "quality"))
     scored = quality.score(docs, model, "pipeline_quality_score")
     return scored.filter("pipeline_quality_score >= 0.3").select(docs.columns)
 

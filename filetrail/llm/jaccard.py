@@ -323,8 +323,8 @@ def link_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
     smallest class it meets; as long as links turn up, one class of each component left in a group is tested with the group's
     smallest; at last the pairs between different components that still share a group are tested, all of them.
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable by links). Texts without words (null, empty) have 0 shingles
-    and link with nothing. Repeated rows and doc_ids are rows of their own; rows with a null doc_id link like others, and their
-    component is null only if no member has a doc_id. Other columns are ignored; an empty table gives no row.
+    and link with nothing. Repeated rows and doc_ids are rows of their own; a row with a null doc_id joins those with an equal set, and
+    has no component if none of them has a doc_id. Other columns are ignored; an empty table gives no row.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     counted = stage(sizes_and_classes(docs, words), "jaccard-facts")
