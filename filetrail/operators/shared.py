@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filetrail.functions.binary import indexes
+from filetrail.functions.binary import indexes, let
 from filetrail.session import stage
 
 
@@ -17,8 +17,8 @@ def shared_shingle_match(docs: DataFrame, min_shared: int = 25, words: int = 5)
     each must meet, so only those are joined, rarest first; none is dropped for being frequent.
     """
     texts = docs.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    cut = F.split("text", " ")
-    grams = F.transform(indexes(F.size(cut) - (words - 1)), lambda i: F.xxhash64(F.array_join(F.slice(cut, i + 1, words), " ")))
+    grams = let(F.split("text", " "), lambda cut: F.transform(
+        indexes(F.size(cut) - (words - 1)), lambda i: F.xxhash64(F.array_join(F.slice(cut, i + 1, words), " "))))
     sets = stage(texts.select("doc_id", "copies", F.array_distinct(grams).alias("grams")).filter(
         F.size("grams") >= min_shared), "shingle-sets")
     rows = sets.select("doc_id", F.explode("grams").alias("gram"))
