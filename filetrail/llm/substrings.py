@@ -319,7 +319,10 @@ def spans_of(texts: DataFrame, ranges: DataFrame) -> DataFrame:
             F.slice(out, 1, F.size(out) - 1),
             F.array(F.struct(F.element_at(out, -1)["low"].alias("low"), F.greatest(F.element_at(out, -1)["high"], r["high"]).alias("high"))),
         )).otherwise(F.concat(out, F.array(r))))
-    return texts.select("text_key", "text").join(gathered.select("text_key", merged.alias("spans")), "text_key")
+    # Contexts may reach past the end of a text; only the last span can.
+    whole = F.transform("spans", lambda s: F.struct(
+        s["low"].alias("low"), F.least(s["high"], F.octet_length("text").cast("long")).alias("high")))
+    return texts.select("text_key", "text").join(gathered.select("text_key", merged.alias("spans")), "text_key").withColumn("spans", whole)
 
 
 def repeats(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataFrame]:
@@ -354,10 +357,8 @@ def repeats(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataFrame]:
     texts = stage(keyed.join(one.hint("shuffle_hash"), [
         keyed["text_key"] == one["text_key"], keyed["doc_id"].eqNullSafe(one["doc_id"])]).select(
         keyed["text_key"], keyed["text"], "places").dropDuplicates(["text_key"]), "repeats-texts")
-    sizes = facts.select("text_key", "n_bytes").dropDuplicates(["text_key"])
-    full = told.filter(F.col("what") == FULL).join(sizes, "text_key").select(
-        "text_key", F.greatest(F.col("at") - (length - GRAM), F.lit(0)).alias("low"),
-        F.least(F.col("at") + length, "n_bytes").alias("high"))
+    full = told.filter(F.col("what") == FULL).select(
+        "text_key", F.greatest(F.col("at") - (length - GRAM), F.lit(0)).alias("low"), (F.col("at") + length).alias("high"))
     ranges = stage(full.unionByName(_asked(texts, length, buckets)), "repeats-ranges")
     return facts.join(classes.select("text_key", "check", "copies"), ["text_key", "check"]).drop("check"), spans_of(texts, ranges)
 
