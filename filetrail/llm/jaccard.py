@@ -10,7 +10,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filetrail.llm.common import stage
@@ -258,8 +258,30 @@ def _sets(docs: DataFrame, words: int, facts: DataFrame, wanted: DataFrame) -> D
     return stage(texts.select("node", "text").mapInArrow(run, "node long, elements binary").dropDuplicates(["node"]), "jaccard-sets")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """(a, b, linked) of the pairs, staged: exact test on the sets."""
+def _shape(sets: DataFrame) -> DataFrame:
+    """(node, size, shared): elements of each set, and how many of them some other of these sets has."""
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(e, np.int64) for e in batch.column("elements").to_pylist()]
+            sizes = [len(f) for f in found]
+            if sizes:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(batch.column("node").to_numpy(), sizes)), pa.array(np.concatenate(found))], names=["node", "element"])
+
+    alone = sets.mapInArrow(listed, "node long, element long").groupBy("element").agg(
+        F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    return sets.select("node", (F.octet_length("elements") / 8).cast("long").alias("size")).join(alone, "node", "left").select(
+        "node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+
+def _enough(threshold: Fraction) -> Column:
+    """Whether the sets of a_size, a_shared and b_size, b_shared can be similar enough."""
+    common = F.least("a_shared", "b_shared")
+    return threshold.denominator * common >= threshold.numerator * (F.col("a_size") + F.col("b_size") - common)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, shape: DataFrame, threshold: Fraction) -> DataFrame:
+    """(a, b, linked) of the pairs, staged: exact test on the sets, for those that their shapes do not rule out."""
     above, below = threshold.numerator, threshold.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,9 +296,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFra
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
+    for side in "ab":
+        pairs = pairs.join(shape.select(*(F.col(c).alias(n) for c, n in (
+            ("node", side), ("size", f"{side}_size"), ("shared", f"{side}_shared")))), side)
+    judged = stage(pairs.select("a", "b", _enough(threshold).alias("open")), "jaccard-judged")
     x = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
-    return stage(pairs.join(x, "a").join(y, "b").mapInArrow(run, "a long, b long, linked boolean"), "jaccard-tested")
+    tested = judged.filter("open").select("a", "b").join(x, "a").join(y, "b").mapInArrow(run, "a long, b long, linked boolean")
+    return stage(tested.unionByName(judged.filter("not open").select("a", "b", F.lit(False).alias("linked"))), "jaccard-tested")
 
 
 def _labelled(groups: DataFrame, tested: DataFrame) -> DataFrame:
@@ -293,26 +320,11 @@ def _possible(split: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFra
     Elements that no other set of these groups has cannot be common, so the rest of the smaller one bounds what two sets share.
     Near copies of one text that are each changed too much fall away by this, without being compared.
     """
-    live = sets.join(split.select("node").distinct(), "node")
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.frombuffer(e, np.int64) for e in batch.column("elements").to_pylist()]
-            sizes = [len(f) for f in found]
-            if sizes:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(batch.column("node").to_numpy(), sizes)), pa.array(np.concatenate(found))], names=["node", "element"])
-
-    alone = live.mapInArrow(listed, "node long, element long").groupBy("element").agg(
-        F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    shape = live.select("node", (F.octet_length("elements") / 8).cast("long").alias("size")).join(alone, "node", "left").select(
-        "node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
+    shape = _shape(sets.join(split.select("node").distinct(), "node"))
     known = stage(split.join(shape, "node"), "jaccard-live")
     left, right = (known.select("gid", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "comp", "size", "shared"))) for side in "ab")
-    common = F.least("a_shared", "b_shared")
-    enough = threshold.denominator * common >= threshold.numerator * (F.col("a_size") + F.col("b_size") - common)
     other = (F.col("a_node") < F.col("b_node")) & (F.col("a_comp") != F.col("b_comp"))
-    return left.join(right, (left["gid"] == right["gid"]) & other & enough).select(
+    return left.join(right, (left["gid"] == right["gid"]) & other & _enough(threshold)).select(
         F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
 
 
@@ -336,18 +348,19 @@ def link_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
         centres = groups.groupBy("gid").agg(F.min("node").alias("a"))
         pairs = groups.join(centres, "gid").groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a")).filter("a != b")
         sets = _sets(docs, words, facts, groups.select("node").distinct())
-        tested = _verified(pairs, sets, threshold)
+        shape = stage(_shape(sets), "jaccard-shape")
+        tested = _verified(pairs, sets, shape, threshold)
         while True:
             split = _labelled(groups, tested)
             heads = split.groupBy("gid", "comp").agg(F.min("node").alias("b"))
             first = heads.groupBy("gid").agg(F.min("b").alias("a"))
             pairs = heads.join(first, "gid").filter("a != b").select("a", "b").distinct()
-            more = _verified(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets, threshold)
+            more = _verified(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets, shape, threshold)
             tested = tested.unionByName(more)
             if more.filter("linked").isEmpty():
                 break
         pairs = _possible(split, sets, threshold)
-        tested = tested.unionByName(_verified(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets, threshold))
+        tested = tested.unionByName(_verified(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets, shape, threshold))
         label = components(tested.filter("linked"))
     known = facts.withColumn("label", F.col("node")) if label is None else facts.join(label, "node", "left").withColumn(
         "label", F.coalesce("label", "node"))
