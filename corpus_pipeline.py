@@ -23,8 +23,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the later copies of runs of two lines or more."""
-    return lines.dedup_lines(docs, run=2)
+    """Texts without the later copies of runs of two lines or more, and of single lines of 50 words or more."""
+    return lines.dedup_lines(docs, run=2, words=50)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

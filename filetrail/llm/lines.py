@@ -11,10 +11,23 @@ from pyspark.sql import functions as F
 from filetrail.llm.common import stage
 
 
+def full_lines(text: Column) -> Column:
+    """The lines that hold more than blanks; a blank line belongs to the line before it."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: ~line.rlike("^ *$"))
+
+
 def line_ids(text: Column) -> Column:
-    """Hashes of the lines that hold more than blanks; a blank line belongs to the line before it."""
-    full = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: ~line.rlike("^ *$"))
-    return F.transform(full, lambda line: F.xxhash64(line))
+    """Hashes of the full lines."""
+    return F.transform(full_lines(text), lambda line: F.xxhash64(line))
+
+
+def passages(text: Column, words: int | None) -> Column:
+    """Positions, among the full lines, of those with `words` words or more (what lies between ASCII white space)."""
+    if words is None:
+        return F.lit(None).cast("array<int>")
+    long = F.transform(full_lines(text), lambda line, i: F.when(
+        (F.length(line) >= 2 * words - 1) & (F.regexp_count(line, F.lit("[^ \\x09-\\x0D]+")) >= words), i))
+    return F.filter(long, lambda i: i.isNotNull())
 
 
 def _several(suffixes: DataFrame, keys: list[str]) -> DataFrame:
@@ -28,17 +41,21 @@ def _several(suffixes: DataFrame, keys: list[str]) -> DataFrame:
     return stage(ordered.withColumn("rank", F.monotonically_increasing_id()), "line-ranks")
 
 
-def repeated_suffixes(sequences: DataFrame, run: int) -> DataFrame:
+def repeated_suffixes(sequences: DataFrame, run: int) -> tuple[DataFrame, DataFrame]:
     """(text_key, doc_id, pos, rank, first): suffixes whose first `run` lines begin several suffixes, sorted to that depth.
 
-    `sequences` has text_key, doc_id, ids. Prefix doubling: the order by the first h lines gives that by the first 2h (the last round
+    The second table has the suffixes that begin with a repeated passage: the same columns at a depth of one line.
+    `sequences` has text_key, doc_id, ids, passages. Prefix doubling: the order by the first h lines gives that by the first 2h (the last round
     overlaps, to end at `run` exactly). Suffixes that are alone in their class drop out, and with them all that contain
     them. A class of the last round is an interval of the suffix array with common prefixes of `run` lines or more, [rank, rank of the
     next class); deeper order could not change what is repeated.
     """
-    active = sequences.select("text_key", "doc_id", F.posexplode("ids").alias("pos", "id"))
+    active = sequences.select("text_key", "doc_id", "passages", F.posexplode("ids").alias("pos", "id"))
+    active = active.withColumn("passage", F.coalesce(F.array_contains("passages", F.col("pos")), F.lit(False)))
     classes = _several(active, ["id"])
-    active = stage(active.join(classes, "id").select("text_key", "doc_id", "pos", "rank", "first"), "line-suffixes")
+    active = stage(active.join(classes, "id").select("text_key", "doc_id", "pos", "rank", "first", "passage"), "line-suffixes")
+    alone = active.filter("passage").drop("passage")
+    active = active.drop("passage")
     depth = 1
     while depth < run:
         step = min(depth, run - depth)
@@ -48,7 +65,7 @@ def repeated_suffixes(sequences: DataFrame, run: int) -> DataFrame:
         active = stage(pairs.join(classes, ["rank", "next"]).select(
             "text_key", "doc_id", "pos", F.col("new").alias("rank"), "first"), "line-suffixes")
         depth += step
-    return active
+    return active, alone
 
 
 def _pairs(pairs: DataFrame) -> DataFrame:
@@ -56,30 +73,40 @@ def _pairs(pairs: DataFrame) -> DataFrame:
     return named.select(F.col("left").alias("rank"), "next", F.col("rank").alias("new"), "first")
 
 
-def deletions(docs: DataFrame, run: int = 2) -> DataFrame:
-    """(text_key, doc_id, copy, starts) of the documents that lose lines: starts of later copies of runs, or the whole as a copy.
+def deletions(docs: DataFrame, run: int = 2, words: int | None = None) -> DataFrame:
+    """(text_key, doc_id, copy, starts, alone) of the documents that lose lines: starts of later copies of runs and places of later
+    copies of passages, or the whole as a copy.
 
     Documents are in the order of doc_id (null first), then of their text's hash. Of equal texts the first goes through the suffix
-    array; the others are copies of it from end to end, so however many there are, they add nothing to sort.
+    array; the others are copies of it from end to end, so however many there are, they add nothing to sort. Texts of fewer than
+    `run` lines are there for their passages only.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), line_ids(F.col("text")).alias("ids"))
-    sequences = stage(rows.filter(F.size("ids") >= run), "line-sequences")
-    firsts = sequences.groupBy("text_key").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("doc_id"), F.first("ids").alias("ids"))
-    suffixes = repeated_suffixes(stage(firsts, "line-firsts"), run)
+    rows = docs.select(
+        F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), line_ids(F.col("text")).alias("ids"),
+        passages(F.col("text"), words).alias("passages"))
+    sequences = stage(rows.filter((F.size("ids") >= run) | (F.size("passages") > 0)), "line-sequences")
+    firsts = sequences.groupBy("text_key").agg(
+        F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("doc_id"), F.first("ids").alias("ids"), F.first("passages").alias("passages"))
+    suffixes, alone = repeated_suffixes(stage(firsts, "line-firsts"), run)
     place = F.struct("doc_id", "text_key", "pos")
-    later = suffixes.filter(place != F.col("first")).groupBy("text_key", "doc_id").agg(F.array_sort(F.collect_list("pos")).alias("starts"))
-    own = sequences.select("text_key", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"))
+    later = suffixes.filter(place != F.col("first")).select("text_key", "doc_id", "pos", F.lit(False).alias("passage"))
+    if words is not None:
+        later = later.unionByName(alone.filter(place != F.col("first")).select("text_key", "doc_id", "pos", F.lit(True).alias("passage")))
+    later = later.groupBy("text_key", "doc_id").agg(*[
+        F.array_sort(F.collect_list(F.when(F.col("passage") == of, F.col("pos")))).alias(name)
+        for name, of in (("starts", False), ("alone", True))])
+    own = sequences.select("text_key", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "passages", (F.size("ids") >= run).alias("copy"))
     copies = own.join(firsts.select("text_key", F.col("doc_id").alias("kept")), "text_key").filter("doc_id != kept").select(
-        "text_key", "doc_id").distinct()
+        "text_key", "doc_id", "copy", F.when(~F.col("copy"), F.col("passages")).alias("alone")).dropDuplicates(["text_key", "doc_id"])
     return stage(later.withColumn("copy", F.lit(False)).unionByName(
-        copies.withColumns({"copy": F.lit(True), "starts": F.lit(None).cast("array<int>")})), "line-deletions")
+        copies.withColumn("starts", F.lit(None).cast("array<int>"))), "line-deletions")
 
 
-def shortened(text: str, starts, copy: bool, run: int) -> tuple[str, int, int]:
-    """The text without the lines of those runs, how many lines went, in how many maximal stretches."""
+def shortened(text: str, starts, alone, copy: bool, run: int) -> tuple[str, int, int]:
+    """The text without the lines of those runs and passages, how many lines went, in how many maximal stretches."""
     lines = text.split("\n")
     if not copy:
-        gone = {p + k for p in starts for k in range(run)}
+        gone = {p + k for p in (() if starts is None else starts) for k in range(run)}.union(alone)
     kept, went, stretches, nth, before = [], 0, 0, -1, False
     for line in lines:
         full = line.strip(" ") != ""
@@ -94,16 +121,18 @@ def shortened(text: str, starts, copy: bool, run: int) -> tuple[str, int, int]:
     return "\n".join(kept), went, stretches
 
 
-def dedup_lines(docs: DataFrame, run: int = 2, report: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, run: int = 2, report: bool = False, words: int | None = None) -> DataFrame:
     """Delete every line that lies in a run of `run` lines which begins at an earlier place too; all rows and columns stay.
 
+    With `words`, a line of that many words or more (a passage) also goes where it is at an earlier place, whatever is around it.
+
     Earlier means a smaller (doc_id, text's hash, line); what is repeated is judged on the input. Lines are what lies between line ends;
     lines of blanks alone are in no run and go with the line before them. Null texts stay null, texts left without lines become
-    empty, texts of fewer than `run` lines are left alone. Rows that are equal in doc_id and text are one document and keep their lines. A
+    empty, texts of fewer than `run` lines can lose passages only. Rows that are equal in doc_id and text are one document and keep their lines. A
     column `n_chars` gets the new length. With `report` the result is doc_id, n_lines (not blank), n_deleted, n_stretches,
     kept_sha256 instead.
     """
-    found = deletions(docs, run)
+    found = deletions(docs, run, words)
     own = {c: f"own_{i}" for i, c in enumerate(docs.columns)}
     text = F.col(own["text"])
     rows = docs.withColumnsRenamed(own).withColumns({
@@ -111,19 +140,19 @@ def dedup_lines(docs: DataFrame, run: int = 2, report: bool = False) -> DataFram
     found = found.withColumnRenamed("doc_id", "at_doc")
 
     @F.pandas_udf("text string, went long, stretches long, sha string")
-    def cut(texts: pd.Series, starts: pd.Series, copies: pd.Series) -> pd.DataFrame:
+    def cut(texts: pd.Series, starts: pd.Series, alone: pd.Series, copies: pd.Series) -> pd.DataFrame:
         out = []
-        for t, s, c in zip(texts, starts, copies, strict=True):
+        for t, s, a, c in zip(texts, starts, alone, copies, strict=True):
             if t is None:
                 out.append((None, None, None, None))
                 continue
-            new, went, stretches = shortened(t, s, c, run)
+            new, went, stretches = shortened(t, s, a, c, run)
             out.append((new, went, stretches, hashlib.sha256(new.encode()).hexdigest()))
         return pd.DataFrame(out, columns=["text", "went", "stretches", "sha"])
 
     joined = rows.join(found.hint("shuffle_hash"), ["text_key", "at_doc"], "left")  # one plan at every size
     # Texts that lose nothing stay in the JVM.
-    joined = joined.withColumn("cut", cut(F.when(F.col("copy").isNotNull(), text), "starts", "copy"))
+    joined = joined.withColumn("cut", cut(F.when(F.col("copy").isNotNull(), text), "starts", "alone", "copy"))
     if report:
         none = F.lit(0).cast("long")
         return joined.select(

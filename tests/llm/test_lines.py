@@ -54,3 +54,51 @@ def test_odd_rows(spark):
     assert got == [(0, "p\nq", 3), (1, "a\nb\nc", 5), (1, "a\nb\nc", 5), (3, "", 0)]
     assert lines.dedup_lines(docs).columns == docs.columns
     assert lines.dedup_lines(docs.limit(0)).count() == 0
+
+
+def brute_passages(rows, run, words):
+    seen, out = set(), []
+    for d, text in sorted(rows):
+        found = (text or "").split("\n")
+        full = [x for x in found if x.strip(" ")]
+        gone = set()
+        for k, x in enumerate(full):
+            several, alone = tuple(full[k:k + run]), (x, "alone")
+            if len(several) == run:
+                gone.update(range(k, k + run) if several in seen else ())
+                seen.add(several)
+            if len(x.split()) >= words:
+                gone.update([k] if alone in seen else ())
+                seen.add(alone)
+        kept, nth = [], -1
+        for x in found:
+            nth += x.strip(" ") != ""
+            if nth not in gone:
+                kept.append(x)
+        out.append((d, len(full), len(gone), sum(k - 1 not in gone for k in gone), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("run", [1, 2, 5])
+def test_passages_on_a_line_of_their_own_go_too(spark, run):
+    rnd = random.Random(run)
+    passages = [" ".join(f"p{k}w{rnd.randrange(9)}" for _ in range(n)) for k, n in enumerate([49, 50, 51, 300])]
+    passages.append("\t".join("x" * 50))
+    rows = []
+    for i in range(60):
+        own = [[f"own {i} {k}", rnd.choice(passages), rnd.choice(["", f"other {rnd.randrange(5)}"])] for k in range(rnd.randint(0, 3))]
+        rows.append((i, "\n".join(x for part in own for x in part)))
+    rows += [(100 + i, p) for i, p in enumerate([*passages, *passages])] + [(200, "short"), (201, "short"), (202, rows[4][1]), (None, passages[2])]
+    expected = brute_passages([(-1 if d is None else d, t) for d, t in rows], run, 50)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = lines.dedup_lines(docs, run, report=True, words=50).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_lines, r.n_deleted, r.n_stretches, r.kept_sha256) for r in got) == expected
+
+
+def test_pipeline_stage_deletes_lone_passages(spark):
+    import corpus_pipeline
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"a\n{passage}\nb"), (2, f"c\n{passage}\nd"), (3, passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines_stage(spark, docs, "").collect()}
+    assert got == {1: rows[0][1], 2: "c\nd", 3: ""}
