@@ -12,8 +12,8 @@ from filetrail.llm.common import stage
 
 
 def full_lines(text: Column) -> Column:
-    """The lines that hold more than blanks; a blank line belongs to the line before it."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: ~line.rlike("^ *$"))
+    """The lines that hold more than blanks (spaces alone, as in `shortened`); a blank line belongs to the line before it."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: F.trim(line) != "")
 
 
 def line_ids(text: Column) -> Column:

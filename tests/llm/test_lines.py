@@ -102,3 +102,16 @@ def test_pipeline_stage_deletes_lone_passages(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.text for r in corpus_pipeline.lines_stage(spark, docs, "").collect()}
     assert got == {1: rows[0][1], 2: "c\nd", 3: ""}
+
+
+def test_other_white_space_is_no_blank_line(spark):
+    rnd, rows = random.Random(2), []
+    for k, end in enumerate(["\r", "\x85", "\u2028", "\u2029", "\t", "\xa0", "\x0b"]):
+        for i in range(12):
+            found = [rnd.choice(["", " ", "A", "B", "C", f"own {k} {i}"]) + rnd.choice(["", " ", end, " " + end]) for _ in range(rnd.randint(0, 12))]
+            rows.append((len(rows), "\n".join(found)))
+        rows.append((len(rows), f"A{end}\n{end}\nB{end}\nC{end}\n"))
+        rows.append((len(rows), f"X{end}\n{end}\n  {end}\nB{end}\nC{end}\n"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = lines.dedup_lines(docs, 2, report=True).collect()
+    assert sorted((r.doc_id, r.n_lines, r.n_deleted, r.n_stretches, r.kept_sha256) for r in got) == brute(rows, 2)
