@@ -20,6 +20,10 @@ STEP_BYTES = 1 << 20
 BUCKET_BYTES = 12 << 20  # of text per bucket of anchors
 COLUMNS_IN_MEMORY = 64 << 20
 HEAVY_TEXTS = 100_000
+HOT_CONTEXTS = 20_000  # different contexts of one anchor that are compared in one task; more are compared window by window
+SAMPLE_ONE_IN = 1024  # texts looked at for anchors whose contexts are dealt over buckets
+HOT_IN_SAMPLE = 64
+SPOT_ROWS = 4096
 OUTSIDE = np.uint16(256)  # a symbol that equals nothing, itself included
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -127,16 +131,17 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch], types: list) -> Iterator[l
         yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
-FULL, ASK, SHOW = 0, 1, 2
+FULL, ASK, SHOW, HOT = 0, 1, 2, 3
 ALONE, SEVERAL, TOLD = 1, 2, 3  # places of a context in one piece of the input: one, the first of several, another of them
 ENTRY = [np.uint64, np.uint64, np.int64, np.int64, np.uint8]
 
 
-def _met(entries: list[np.ndarray]) -> pa.RecordBatch:
+def _met(entries: list[np.ndarray], hot: np.ndarray) -> pa.RecordBatch:
     """What one bucket's anchors say: (text, at, what).
 
     FULL: another place has the same context. Where contexts of one anchor differ, one place of each context goes on to
-    be compared: to learn what it shares (ASK), or, where that is known, only for the others' sake (SHOW).
+    be compared: to learn what it shares (ASK), or, where that is known, only for the others' sake (SHOW). Of anchors with very many
+    contexts (those in `hot`, whose contexts lie in several buckets, and what turns out so here) it goes on to be compared by windows (HOT).
     """
     told = entries[4] == TOLD
     said_text, said_at = entries[2][told], entries[3][told]
@@ -157,8 +162,10 @@ def _met(entries: list[np.ndarray]) -> pa.RecordBatch:
     own = np.append(True, gram[starts][1:] != gram[starts][:-1])
     contexts = np.bincount(np.cumsum(own) - 1)
     mixed = (contexts > 1)[np.cumsum(own) - 1]
-    rows = [np.flatnonzero(full[klass]), starts[mixed & ~full], starts[mixed & full]]
-    what = np.concatenate([np.full(len(r), w, np.int32) for r, w in zip(rows, (FULL, ASK, SHOW), strict=True)])
+    many = (contexts > HOT_CONTEXTS)[np.cumsum(own) - 1] | np.isin(gram[starts], hot)
+    mixed &= ~many
+    rows = [np.flatnonzero(full[klass]), starts[mixed & ~full], starts[mixed & full], starts[many]]
+    what = np.concatenate([np.full(len(r), w, np.int32) for r, w in zip(rows, (FULL, ASK, SHOW, HOT), strict=True)])
     what = np.concatenate([what, np.full(len(said_at), FULL, np.int32)])
     rows = np.concatenate(rows)
     return pa.RecordBatch.from_arrays([
@@ -166,8 +173,27 @@ def _met(entries: list[np.ndarray]) -> pa.RecordBatch:
     ], names=["text_key", "at", "what"])
 
 
+def _hot_grams(docs: DataFrame, length: int, speakers: dict[int, int | None]) -> np.ndarray:
+    """Sorted hashes of anchors that are frequent in a sample of texts. Only where entries meet depends on it, not the results."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, ids = batch.column("text_key").to_pylist(), batch.column("doc_id").to_pylist()
+            speaks = np.array([speakers.get(k, d) == d for k, d in zip(keys, ids, strict=True)], bool)
+            for rows, raw, offsets, _, _, _ in _units(batch, length):
+                at, gram, context = anchors(raw, offsets, length)
+                said = speaks[rows[np.searchsorted(offsets, at, side="right") - 1]]
+                one = np.unique(np.stack([gram[said], context[said]]), axis=1)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64))], names=["gram"])
+
+    some = docs.filter(F.pmod("text_key", F.lit(SAMPLE_ONE_IN)) == 0)
+    found = some.mapInArrow(find, "gram long").groupBy("gram").count().filter(F.col("count") >= HOT_IN_SAMPLE)
+    return np.sort(np.array([r["gram"] for r in found.collect()], np.int64).view(np.uint64))
+
+
 def _anchor_rows(docs: DataFrame, length: int, speakers: dict[int, int | None], buckets: int) -> DataFrame:
     """(text_key, at, what) of all anchors that several places have."""
+    hot = _hot_grams(docs, length, speakers)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,13 +219,14 @@ def _anchor_rows(docs: DataFrame, length: int, speakers: dict[int, int | None],
                 send = first | (several[klass] & apart)
                 count = np.where(several[klass], np.where(first, SEVERAL, TOLD), ALONE).astype(np.uint8)
                 by = np.where(count == TOLD, mix(text.view(np.uint64) ^ gram), mix(gram))  # an anchor's own hash is always small
+                by = np.where((count != TOLD) & np.isin(gram, hot), mix(gram ^ mix(context)), by)
                 bucket = (((by >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
                 yield _chunks(bucket[send], {
                     "gram": gram[send], "context": context[send], "text": text[send], "at": place[send], "count": count[send]})
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for entries in _whole_buckets(batches, ENTRY):
-            yield _met(entries)
+            yield _met(entries, hot)
 
     chunks = docs.mapInArrow(find, "bucket int, gram binary, context binary, text binary, at binary, count binary")
     met = chunks.repartition(buckets, "bucket").sortWithinPartitions("bucket")
@@ -291,8 +318,11 @@ def _asked(texts: DataFrame, length: int, buckets: int) -> DataFrame:
             symbols = symbols.reshape(-1, columns)
             _, one = np.unique(np.stack([text, at]), axis=1, return_index=True)  # repeated rows come several times
             symbols, text, at, size, ask = (x[one] for x in (symbols, text, at, size, ask))
-            spots = at[:, None] + np.arange(-before, length)
-            starts = repeated_columns(np.where((spots >= 0) & (spots < size[:, None]), symbols, OUTSIDE).astype(np.uint16), length)
+            whole = symbols.astype(np.uint16)
+            for i in range(0, len(at), SPOT_ROWS):
+                spots = at[i:i + SPOT_ROWS, None] + np.arange(-before, length)
+                whole[i:i + SPOT_ROWS][(spots < 0) | (spots >= size[i:i + SPOT_ROWS, None])] = OUTSIDE
+            starts = repeated_columns(whole, length)
             starts = starts.T & (ask == 1)[:, None]
             edge = np.zeros((len(at), 1), np.int8)
             turns = np.diff(np.concatenate([edge, starts.astype(np.int8), edge], axis=1), axis=1)
@@ -308,6 +338,43 @@ def _asked(texts: DataFrame, length: int, buckets: int) -> DataFrame:
         compare, "text_key long, low long, high long")
 
 
+def _windows(texts: DataFrame, length: int) -> DataFrame:
+    """(text_key, low, high): windows around hot places (one row a text) that start at another such place, too.
+
+    All windows that hold the anchor are hashed and counted on Spark, so no task holds the contexts of one anchor. Each context
+    has one place here, and copies of a window have the same anchors: a window that is there once has no copy elsewhere.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up, down = _powers(2 * STEP_BYTES + length)
+        letter = worker_store("powers")["letter"]
+        for batch in batches:
+            keys = batch.column("text_key").to_pylist()
+            for row in range(batch.num_rows):
+                at = np.array(batch.column("hot")[row].as_py(), np.int64)
+                if not len(at):
+                    continue
+                raw = np.frombuffer(batch.column("text")[row].as_py().encode(), np.uint8)
+                turns = np.zeros(len(raw) + 1, np.int32)
+                np.add.at(turns, np.maximum(at - (length - GRAM), 0), 1)
+                np.add.at(turns, at + 1, -1)
+                starts = np.flatnonzero(np.cumsum(turns[:max(0, len(raw) - length + 1)]) > 0)
+                for step in np.split(starts, np.searchsorted(starts, np.arange(STEP_BYTES, len(raw), STEP_BYTES))):
+                    if not len(step):
+                        continue
+                    part = raw[step[0]:step[-1] + length]
+                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letter[part] * up[:len(part)])])
+                    i = step - step[0]
+                    window = mix((sums[i + length] - sums[i]) * down[i])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(window.view(np.int64)), pa.array(np.full(len(i), keys[row])), pa.array(step)],
+                        names=["window", "text_key", "low"])
+
+    found = stage(texts.select("text_key", "text", "hot").mapInArrow(cut, "window long, text_key long, low long"), "repeats-windows")
+    several = found.groupBy("window").count().filter("count > 1").select("window").hint("merge")
+    return found.join(several, "window", "left_semi").select("text_key", "low", (F.col("low") + length).alias("high"))
+
+
 # --- the operator ------------------------------------------------------------------------------------------------
 
 def spans_of(texts: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -334,9 +401,10 @@ def repeats(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataFrame]:
 
     1. Every text sends its anchors to buckets; places that have an anchor to themselves are done with. Places with an equal
        context are repeated over all of it. A text with very many copies speaks once (a list of at most `HEAVY_TEXTS`).
-    2. Where contexts of an anchor differ, one of each goes through the column-wise construction, bucket by bucket.
-    3. Ranges are joined to spans per text. A bucket's memory is that of a few MB of text; equal contexts within a piece of
-       input leave it once, so copies do not pile up.
+    2. Where contexts of an anchor differ, one of each goes through the column-wise construction, bucket by bucket. Where they are more
+       than `HOT_CONTEXTS`, their windows are counted on Spark instead.
+    3. Ranges are joined to spans per text. A bucket's memory is that of a few MB of text, and of `HOT_CONTEXTS` contexts of an
+       anchor at most where it compares; equal contexts within a piece of input leave it once, so copies do not pile up.
     """
     text = F.coalesce("text", F.lit(""))
     spark = docs.sparkSession
@@ -352,14 +420,19 @@ def repeats(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataFrame]:
     buckets = max(2 * width, (totals["bytes"] or 0) // BUCKET_BYTES)
     told = _anchor_rows(keyed, length, speakers, buckets)
     places = told.groupBy("text_key").agg(
-        F.collect_list(F.when(F.col("what") != FULL, F.col("at") * 2 + (F.col("what") == ASK).cast("long"))).alias("places"))
-    one = places.join(classes, "text_key").select("text_key", F.col("speaker").alias("doc_id"), "places")
+        F.collect_list(F.when(F.col("what").isin(ASK, SHOW), F.col("at") * 2 + (F.col("what") == ASK).cast("long"))).alias("places"),
+        F.collect_list(F.when(F.col("what") == HOT, F.col("at"))).alias("hot"))
+    one = places.join(classes, "text_key").select("text_key", F.col("speaker").alias("doc_id"), "places", "hot")
     texts = stage(keyed.join(one.hint("shuffle_hash"), [
         keyed["text_key"] == one["text_key"], keyed["doc_id"].eqNullSafe(one["doc_id"])]).select(
-        keyed["text_key"], keyed["text"], "places").dropDuplicates(["text_key"]), "repeats-texts")
+        keyed["text_key"], keyed["text"], "places", "hot").dropDuplicates(["text_key"]), "repeats-texts")
     full = told.filter(F.col("what") == FULL).select(
         "text_key", F.greatest(F.col("at") - (length - GRAM), F.lit(0)).alias("low"), (F.col("at") + length).alias("high"))
-    ranges = stage(full.unionByName(_asked(texts, length, buckets)), "repeats-ranges")
+    ranges = full.unionByName(_asked(texts, length, buckets))
+    hot = texts.filter(F.size("hot") > 0)
+    if not hot.isEmpty():
+        ranges = ranges.unionByName(_windows(hot, length))
+    ranges = stage(ranges, "repeats-ranges")
     return facts.join(classes.select("text_key", "check", "copies"), ["text_key", "check"]).drop("check"), spans_of(texts, ranges)
 
 

@@ -76,3 +76,36 @@ def test_columns_equal_pairwise_comparison():
         for c in range(columns - length + 1):
             windows = [tuple(w) if substrings.OUTSIDE not in w else None for w in strings[:, c:c + length].tolist()]
             assert got[c].tolist() == [w is not None and windows.count(w) > 1 for w in windows]
+
+
+@pytest.mark.parametrize("sampled", [False, True])
+def test_contexts_of_a_hot_anchor_do_not_meet_in_one_task(spark, monkeypatch, sampled):
+    rnd = random.Random(3)
+    fresh = lambda n: "".join(rnd.choice("abcdefgh é日\n") for _ in range(n))
+    footer, edge = fresh(40), fresh(25)
+    rows = [(i, fresh(rnd.randint(0, 80)) + rnd.choice(["", edge]) + footer + rnd.choice(["", edge]) + fresh(rnd.randint(0, 80))) for i in range(300)]
+    rows += [(300 + i, t) for i, t in enumerate(corpus(1))] + [rows[5], (None, rows[9][1]), (999, rows[7][1][9:] + rows[7][1])]
+    monkeypatch.setattr(substrings, "GRAM", 20)
+    monkeypatch.setattr(substrings, "STEP_BYTES", 700)
+    monkeypatch.setattr(substrings, "HOT_CONTEXTS", 20, raising=False)
+    monkeypatch.setattr(substrings, "SPOT_ROWS", 7, raising=False)
+    if sampled:
+        monkeypatch.setattr(substrings, "SAMPLE_ONE_IN", 1, raising=False)
+        monkeypatch.setattr(substrings, "HOT_IN_SAMPLE", 20, raising=False)
+    columns, met = substrings.repeated_columns, substrings._met
+
+    def compared(contexts, length):
+        grams = contexts[:, length - 20:length]
+        assert np.unique(grams, axis=0, return_counts=True)[1].max(initial=0) <= 20, "one task compares all contexts of an anchor"
+        return columns(contexts, length)
+
+    def gathered(entries, *more):
+        several = np.unique(entries[0][entries[4] != substrings.TOLD], return_counts=True)[1].max(initial=0)
+        assert not sampled or several < 150, "one task gathers all contexts of an anchor"
+        return met(entries, *more)
+
+    monkeypatch.setattr(substrings, "repeated_columns", compared)
+    monkeypatch.setattr(substrings, "_met", gathered)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = substrings.removal_report(docs, LENGTH).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute(rows, LENGTH)
