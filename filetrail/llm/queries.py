@@ -8,7 +8,8 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filetrail.llm import jaccard, lines, near_vectors, neighbours, packing, pieces, quality, records, sharding, substrings
+from filetrail.llm import (
+    filter_audit, jaccard, lines, main_text, near_vectors, neighbours, packing, pieces, quality, records, sharding, substrings, turns)
 from filetrail.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,3 +74,24 @@ def op9_near_vectors(spark, sf_dir):
 @query
 def op4_sentencepiece(spark, sf_dir):
     return pieces.encode_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op11_filter_audit"] = filter_audit.ORACLE_SQL
+
+
+@query
+def op12_main_text(spark, sf_dir):
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op13_turn_repair(spark, sf_dir):
+    return turns.repair(turns.damage(table(spark, sf_dir, "conversations")))
+
+
+ORACLES["op13_turn_repair"] = turns.ORACLE_SQL
