@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filetrail.functions.binary import fixed_records
-from filetrail.operators.ordered import BLOCK_ROWS, exclusive_prefix, row_blocks
+from filetrail.operators.ordered import BLOCK_ROWS, exclusive_prefix
+from filetrail.session import stage
 
 # Descriptor width in bytes, ratio of the test, matches needed.
 DESCRIPTOR_BYTES = 32
@@ -113,7 +114,7 @@ def local_feature_match(
     Most good matches win; ties go to the candidate uploaded first. A candidate's order is its latest upload
     before the asking one.
     """
-    pairs = knn_ratio_match(features, uploads, asking, stride, ratio, min_good, cell_files)
+    pairs = stage(knn_ratio_match(features, uploads, asking, stride, ratio, min_good, cell_files), "feature-pairs")
     moments = uploads.select("session_id", "arrival", "file_id")
     if asking is not None:
         moments = moments.join(asking, ["session_id", "arrival"], "left_semi")
@@ -127,7 +128,7 @@ def local_feature_match(
     together = moments.unionByName(steps, allowMissingColumns=True)
     seen = exclusive_prefix(
         together, ["session_id", "parent_file_id"],
-        [F.col("arrival"), F.col("step")], row_blocks(together, "arrival", block_rows), F.col("order"), "parent_order",
+        [F.col("arrival"), F.col("step")], F.col("order"), "parent_order", block_rows=block_rows,
     ).filter("step = 0 and parent_order is not null")
     choice = F.struct((-F.col("good")).alias("bad"), F.col("parent_order").alias("order"), "parent_file_id")
     best = seen.groupBy("session_id", "arrival").agg(F.min(choice).alias("best"))

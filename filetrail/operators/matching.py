@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filetrail.operators.hamming import near_values
-from filetrail.operators.ordered import BLOCK_ROWS, exclusive_prefix, next_value, row_blocks
+from filetrail.operators.ordered import BLOCK_ROWS, exclusive_prefix, next_value
 from filetrail.session import stage
 
 # Thresholds of the two passes.
@@ -41,14 +41,13 @@ def prior_candidates(
     A later upload t of the session sees this one exactly if arrival < t <= replaced_at (no end when NULL).
     That says for all pairs of uploads who is whose candidate, in one row per upload.
     """
-    block = row_blocks(uploads, arrival, block_rows)
-    lives = next_value(uploads.select(session, file, arrival), [session, file], arrival, block, "replaced_at")
+    lives = next_value(uploads.select(session, file, arrival), [session, file], arrival, "replaced_at", block_rows)
     firsts = uploads.groupBy(session, file).agg(F.min(arrival).alias(arrival)).withColumn("is_new", F.lit(1))
     marked = lives.join(firsts, [session, file, arrival], "left").withColumn(
         "is_new", F.coalesce("is_new", F.lit(0)).cast("bigint")
     )
     return exclusive_prefix(
-        marked, [session], [F.col(arrival)], block, F.col("is_new"), "candidates", how="sum"
+        marked, [session], [F.col(arrival)], F.col("is_new"), "candidates", how="sum", block_rows=block_rows
     ).drop("is_new")
 
 
@@ -56,7 +55,7 @@ def _heads(carriers: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
     """Steps of the head function per value: from just after `start`, the head is upload `head`."""
     scanned = exclusive_prefix(
         carriers.withColumn("ends", F.coalesce("replaced_at", F.lit((1 << 63) - 1))),
-        keys, [F.col("arrival")], row_blocks(carriers, "arrival", block_rows), F.col("ends"), "others_end",
+        keys, [F.col("arrival")], F.col("ends"), "others_end", block_rows=block_rows,
     )
     return scanned.filter(F.col("others_end").isNull() | (F.col("others_end") < F.col("ends"))).select(
         *keys,
@@ -71,7 +70,7 @@ def _heads_at(heads: DataFrame, moments: DataFrame, keys: list[str], at: str, bl
     together = moments.withColumn("step", F.lit(0)).unionByName(steps, allowMissingColumns=True)
     # Starts and heads rise together, so the latest head before a moment is also the largest one.
     found = exclusive_prefix(
-        together, keys, [F.col(at), F.col("step")], row_blocks(together, at, block_rows), F.col("head"), "found"
+        together, keys, [F.col(at), F.col("step")], F.col("head"), "found", block_rows=block_rows
     )
     return (
         found.filter((F.col("step") == 0) & F.col("found").isNotNull())
@@ -111,9 +110,7 @@ def hash_matches(
         return listed.select("session_id", "arrival", *kept, "slot.rank", "slot.h")
 
     lean = uploads.select("session_id", "arrival", "file_id", *hashes)
-    lives = next_value(
-        lean, ["session_id", "file_id"], "arrival", row_blocks(lean, "arrival", block_rows), "replaced_at"
-    )
+    lives = next_value(lean, ["session_id", "file_id"], "arrival", "replaced_at", block_rows)
     heads = stage(_heads(carriers(lives, "file_id", "replaced_at"), keys, block_rows), "heads")
     ranks = F.array(*[F.lit(h) for h in hashes])
     children = carriers(uploads.filter(F.col(searching)) if searching else uploads)

@@ -1,86 +1,82 @@
 """Ordered scans inside groups that may be huge.
 
-A window partitioned by a group runs one group in one task. A group here may hold a third of all rows, so
-the scans below cut each group into blocks of its order column: a window inside every block, one small
-summary row per (group, block), a window over the summaries, and an equi-join to bring the carried value
-back. Both the inner window and the join use the same (group, block) partitioning.
+A window partitioned by a group runs one group in one task. A group here may hold a third of all rows, and a third of them
+may share one order value, so the scans below range-partition all rows on (group, order), number them, and cut the numbers into
+blocks of at most `BLOCK_ROWS` rows. A block holds whole groups but for the first and the last one, so what a block must know of
+the blocks around it is one value: the fold over the rows of its first (or last) group there. That takes one row per block.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-BLOCK_ROWS = 1 << 18
 
+from filetrail.session import stage
 
-MOST_BLOCKS = 256
+BLOCK_ROWS = 1 << 18
+_PLACE, _BLOCK, _VALUE = "__place", "__block", "__value"
 
 
-def row_blocks(df: DataFrame, order: str, rows: int = BLOCK_ROWS) -> Column:
-    """Block of an order column of any domain (numbers, dates, times), by quantiles of its values.
+def in_blocks(df: DataFrame, keys: list[str], order: list[Column], rows: int = BLOCK_ROWS) -> DataFrame:
+    """`df` staged with `__place`, rising along (keys, order), and `__block`, the number of its run of at most `rows` places.
 
-    A block holds about `rows` rows of all groups together, or more where that would take over `MOST_BLOCKS` blocks; rows with
-    equal order values stay together. One count and, for more than one block, one quantile sketch over `df` are run.
+    Range bounds come from a sample of `df`, so a `df` that is costly after its last shuffle should be a table. Equal order values
+    may fall into different blocks; nothing depends on how values are spread.
     """
-    place = F.col(order).cast("double") if df.schema[order].dataType != T.DateType() else F.unix_date(order).cast("double")
-    blocks = min(-(-df.count() // rows), MOST_BLOCKS)
-    if blocks <= 1:
-        return F.lit(0).cast("bigint")
-    cuts = df.select(place.alias("place")).approxQuantile("place", [k / blocks for k in range(1, blocks)], 0.1 / blocks)
-    bounds = sorted(set(cuts))
+    along = [*map(F.col, keys), *order]
+    placed = df.repartitionByRange(*along).sortWithinPartitions(*along).withColumn(_PLACE, F.monotonically_increasing_id())
+    return stage(placed.withColumn(_BLOCK, F.expr(f"{_PLACE} div {rows}")), "ordered")
 
-    def among(low: int, high: int) -> Column:
-        """Number of bounds below the place, known to be from `low` to `high`."""
-        if low == high:
-            return F.lit(low).cast("bigint")
-        middle = (low + high) // 2
-        return F.when(place > bounds[middle], among(middle + 1, high)).otherwise(among(low, middle))
 
-    return among(0, len(bounds))
+def _carried(rows: DataFrame, group: Column, fold, reverse: bool) -> DataFrame:
+    """(block, group, carried): the fold over a block's first group (the last one with `reverse`) in the blocks before it (after it).
+
+    One row per block and side takes part, and only those of one group meet.
+    """
+    edges = rows.groupBy(_BLOCK).agg(F.min_by(group, _PLACE).alias("first"), F.max_by(group, _PLACE).alias("last"))
+    gives, takes = ("first", "last") if reverse else ("last", "first")
+    totals = rows.join(edges, _BLOCK).filter(group.eqNullSafe(F.col(gives))).groupBy(_BLOCK).agg(
+        F.first(gives).alias("group"), fold(_VALUE).alias("total"))
+    asked = edges.select(_BLOCK, F.col(takes).alias("group"), F.lit(0).alias("gives"))
+    both = asked.unionByName(totals.withColumn("gives", F.lit(1)), allowMissingColumns=True)
+    along = F.col(_BLOCK).desc() if reverse else F.col(_BLOCK).asc()
+    before = Window.partitionBy("group").orderBy(along, "gives").rowsBetween(Window.unboundedPreceding, -1)
+    return both.withColumn("carried", fold("total").over(before)).filter("gives = 0 and carried is not null").select(
+        F.col(_BLOCK), F.col("group").alias("__group"), F.col("carried").alias("__carried"))
 
 
 def exclusive_prefix(
-    df: DataFrame, keys: list[str], order: list[Column], block: Column, value: Column,
-    out: str, how: str = "max", reverse: bool = False,
+    df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str, how: str = "max", reverse: bool = False,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add `out`: the max, min or sum of `value` over the rows of the group strictly before this one.
 
-    `block` must not decrease along `order` inside a group. With `reverse` the rows after this one are used.
+    With `reverse` the rows after this one are used. Null keys are a group; rows that are equal in `order` come in some fixed order.
+    No window holds more than `block_rows` rows of `df`.
     """
     fold = {"max": F.max, "min": F.min, "sum": F.sum}[how]
-    slot = "__block"
-    blocked = df.withColumn(slot, block)
-    ranked = [o.desc() if reverse else o.asc() for o in order]
-    inside = (
-        Window.partitionBy(*keys, slot).orderBy(*ranked).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried_order = F.col(slot).desc() if reverse else F.col(slot).asc()
-    across = Window.partitionBy(*keys).orderBy(carried_order).rowsBetween(Window.unboundedPreceding, -1)
-    summary = (
-        blocked.groupBy(*keys, slot).agg(fold(value).alias("__total"))
-        .withColumn("__carried", fold("__total").over(across)).drop("__total")
-        .filter(F.col("__carried").isNotNull())
-    )
-    joined = blocked.withColumn("__local", fold(value).over(inside)).join(summary, [*keys, slot], "left")
+    rows = in_blocks(df.withColumn(_VALUE, value), keys, order, block_rows)
+    group = F.struct(*keys)
+    place = F.col(_PLACE).desc() if reverse else F.col(_PLACE).asc()
+    inside = Window.partitionBy(_BLOCK, *keys).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.repartition(_BLOCK).withColumn("__local", fold(_VALUE).over(inside))
+    joined = local.join(_carried(rows, group, fold, reverse), _BLOCK, "left")
+    carried = F.when(group.eqNullSafe(F.col("__group")), F.col("__carried"))
     if how == "sum":
-        merged = F.coalesce(F.col("__carried"), F.lit(0)) + F.coalesce(F.col("__local"), F.lit(0))
-    elif how == "max":
-        merged = F.greatest("__carried", "__local")
+        merged = F.coalesce(carried, F.lit(0)) + F.coalesce(F.col("__local"), F.lit(0))
     else:
-        merged = F.least("__carried", "__local")
-    return joined.withColumn(out, merged).drop(slot, "__local", "__carried").select(*df.columns, out)
+        merged = {"max": F.greatest, "min": F.least}[how](carried, F.col("__local"))
+    return joined.withColumn(out, merged).select(*df.columns, out)
 
 
-def next_value(df: DataFrame, keys: list[str], order: str, block: Column, out: str) -> DataFrame:
+def next_value(df: DataFrame, keys: list[str], order: str, out: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The next order value in the group, NULL on its last row."""
-    return exclusive_prefix(df, keys, [F.col(order)], block, F.col(order), out, how="min", reverse=True)
+    return exclusive_prefix(df, keys, [F.col(order)], F.col(order), out, how="min", reverse=True, block_rows=block_rows)
 
 
-def ordinal(df: DataFrame, keys: list[str], order: list[Column], block: Column, out: str) -> DataFrame:
+def ordinal(df: DataFrame, keys: list[str], order: list[Column], out: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Zero-based position of the row in its group."""
-    return exclusive_prefix(df, keys, order, block, F.lit(1).cast("bigint"), out, how="sum")
+    return exclusive_prefix(df, keys, order, F.lit(1).cast("bigint"), out, how="sum", block_rows=block_rows)
 
 
 def upsert_latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -12,7 +12,7 @@ from filetrail.operators.claims import claim_columns, claim_stream_of_jpeg, clai
 from filetrail.operators.exif import exif_columns, exif_directories, exif_entries, tiff_of
 from filetrail.operators.icc import icc_of_jpeg, icc_of_png
 from filetrail.operators.matching import attach_parent, best_match
-from filetrail.operators.ordered import exclusive_prefix, row_blocks
+from filetrail.operators.ordered import exclusive_prefix
 from filetrail.operators.pdf import pdf_parts, pdf_strings
 from filetrail.operators.rules import Rule, classify, coherent_camera, near_lossless
 from filetrail.operators.segments import FRAMES, encoder_fingerprint, explode_chained, image_dims
@@ -142,7 +142,7 @@ def same_bytes(uploads: DataFrame) -> DataFrame:
     """For asking uploads the latest earlier upload of the session with the same sha256, as matches at distance 0."""
     lean = uploads.select("session_id", "arrival", "file_id", "sha256", "asks")
     seen = exclusive_prefix(
-        lean, ["session_id", "sha256"], [F.col("arrival")], row_blocks(lean, "arrival"), F.col("arrival"), "parent_order")
+        lean, ["session_id", "sha256"], [F.col("arrival")], F.col("arrival"), "parent_order")
     return seen.filter(F.col("asks") & F.col("parent_order").isNotNull()).select(
         "session_id", "arrival", F.col("file_id").alias("parent_file_id"), "parent_order", F.lit(0).alias("metric"),
         F.lit("sha256").alias("match_type"))

@@ -454,8 +454,7 @@ def min_block_std(spark, sf_dir):
 @query
 def min_block_std_series(spark, sf_dir):
     events = bindings.table(spark, sf_dir, "events").select("user_id", "ts", "value")
-    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86400000000)
-    placed = ordered.ordinal(events, ["user_id"], [F.col("ts")], day, "place")
+    placed = ordered.ordinal(events, ["user_id"], [F.col("ts")], "place")
     blocks = placed.groupBy("user_id", F.floor(F.col("place") / 8).alias("block")).agg(
         F.stddev_pop("value").alias("std"), F.count(F.lit(1)).alias("n"))
     whole = placed.groupBy("user_id").agg(F.stddev_pop("value").alias("all_std"))
@@ -694,7 +693,7 @@ def first_last_wins(spark, sf_dir):
 @query
 def session_order(spark, sf_dir):
     uploads = bindings.document_uploads(spark, sf_dir).select("session_id", "arrival", "filename")
-    placed = ordered.ordinal(uploads, ["session_id"], [F.col("arrival")], ordered.row_blocks(uploads, "arrival"), "place")
+    placed = ordered.ordinal(uploads, ["session_id"], [F.col("arrival")], "place")
     return placed.orderBy("session_id", "arrival")
 
 
