@@ -10,7 +10,7 @@ from filetrail.session import stage
 
 KEY = ["session_id", "file_id"]
 # Orders below any arrival mark roots while depths are computed.
-_ROOT_ORDER = -(1 << 62)
+ROOT_ORDER = -(1 << 62)
 
 
 def session_nodes(results: DataFrame) -> DataFrame:
@@ -53,18 +53,20 @@ def lineage_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     logarithm of the longest chain. Parents shared by many children make the join's child side skewed only, which
     adaptive execution splits.
     """
-    spark = nodes.sparkSession
     parent = edges.select("session_id", F.col("target").alias("file_id"), F.col("source").alias("up"))
     linked = nodes.select(*KEY, "arrival").join(parent, KEY, "left")
     is_root = F.col("up").isNull()
-    state = stage(
-        linked.select(
-            *KEY, F.coalesce("up", "file_id").alias("up"), F.when(is_root, 0).otherwise(1).cast("bigint").alias("jump"),
-            F.when(is_root, _ROOT_ORDER).otherwise(F.col("arrival")).alias("start"),
-            F.lit(0).cast("bigint").alias("depth"),
-        ),
-        "depth",
-    )
+    return depths(settled(linked.select(
+        *KEY, F.coalesce("up", "file_id").alias("up"), F.when(is_root, 0).otherwise(1).cast("bigint").alias("jump"),
+        F.when(is_root, ROOT_ORDER).otherwise(F.col("arrival")).alias("start"), F.lit(0).cast("bigint").alias("depth"))))
+
+
+def settled(state: DataFrame) -> DataFrame:
+    """Best start and the depth below it for every row (session_id, file_id, up, jump, start, depth), by pointer doubling.
+
+    A row that points to itself with a jump of 0 ends the walk with its own start and depth.
+    """
+    state = stage(state, "depth")
     while True:
         ahead = state.select(
             "session_id", F.col("file_id").alias("up"), F.col("up").alias("next_up"),
@@ -79,8 +81,12 @@ def lineage_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         )
         state = stage(moved, "depth")
         if state.filter("changed").isEmpty():
-            break
-    rooted = state.filter(F.col("start") == _ROOT_ORDER).select("session_id").distinct().withColumn("rooted", F.lit(True))
+            return state
+
+
+def depths(state: DataFrame) -> DataFrame:
+    """(session_id, file_id, depth): in a session without roots every node has depth 0."""
+    rooted = state.filter(F.col("start") == ROOT_ORDER).select("session_id").distinct().withColumn("rooted", F.lit(True))
     return state.join(rooted, "session_id", "left").select(
         *KEY, F.when(F.col("rooted"), F.col("depth")).otherwise(0).cast("int").alias("depth")
     )

@@ -66,11 +66,11 @@ def split_rejects(spark, sf_dir):
     return good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad).select("doc_id", "reason")
 
 
-def _document_results(spark, sf_dir) -> DataFrame:
-    """documents through the match, as rows of the results table: one per (session, file)."""
-    uploads = bindings.fingerprinted_uploads(spark, sf_dir)
-    matches = matching.best_match(uploads, ["phash"])
-    rows = matching.attach_parent(uploads, matches, ["filename", "sha256", "width", "height"])
+PARENT_COLUMNS = ["filename", "sha256", "width", "height"]
+
+
+def _judge_documents(rows: DataFrame) -> DataFrame:
+    """Rows with their parent as rows of the results table; the rules that decide labels go by the arrival's number."""
     messenger, screenshot = F.col("arrival") % 7 == 0, F.col("arrival") % 11 == 0
     found = F.col("parent_file_id").isNotNull()
     changes = verdicts.detect_transformations(
@@ -78,7 +78,7 @@ def _document_results(spark, sf_dir) -> DataFrame:
         F.col("parent_height"), messenger, screenshot)
     seen = lambda flag, name: F.when(flag, F.struct(
         F.lit(name).alias("name"), F.lit("high").alias("confidence"), F.array(F.lit("by number")).alias("basis")))
-    judged = rows.select(
+    return rows.select(
         "session_id", "file_id", "arrival", "filename", "sha256", fp.hash_hex(F.col("phash")).alias("phash"),
         "width", "height",
         F.when(found, "DERIVED").otherwise("NO_RECORD").alias("verdict"), F.lit(15).alias("trace_score"),
@@ -86,7 +86,13 @@ def _document_results(spark, sf_dir) -> DataFrame:
             seen(messenger, "whatsapp_transmission"), seen(screenshot, "screen_capture"))).alias("pipeline_matches"),
         "parent_file_id", F.when(found, changes).alias("transformations"), "metric", "match_type", "parent_filename",
     )
-    return judged
+
+
+def _document_results(spark, sf_dir) -> DataFrame:
+    """documents through the match, as rows of the results table: one per (session, file)."""
+    uploads = bindings.fingerprinted_uploads(spark, sf_dir)
+    matches = matching.best_match(uploads, ["phash"])
+    return _judge_documents(matching.attach_parent(uploads, matches, PARENT_COLUMNS))
 
 
 def _latest_results(spark, sf_dir) -> DataFrame:
@@ -783,6 +789,24 @@ def incremental_graph(spark, sf_dir):
     return streams.read_graph(spark, out)[1]
 
 
+def _streamed_lineage(spark, sf_dir) -> str:
+    uploads = bindings.fingerprinted_uploads(spark, sf_dir)
+    return _replayed(uploads, "lineage", 3, lambda s, path, cp: streams.stream_lineage(
+        s, path, ["phash"], _judge_documents, PARENT_COLUMNS, cp))
+
+
+@query
+def streamed_lineage(spark, sf_dir):
+    """Uploads to matches, verdicts and the depths of the growing graph, batch by batch."""
+    return streams.read_depths(spark, _streamed_lineage(spark, sf_dir))
+
+
+@query
+def streamed_verdicts(spark, sf_dir):
+    """The edges of the results that the same stream has written, by the latest upload of each file."""
+    return streams.read_graph(spark, _streamed_lineage(spark, sf_dir))[1]
+
+
 # Query keys that differ from their function's name.
 for _key, _fn in {
     "sniff_format": "sniff_format_of_files", "declared_format": "declared_format_of_pages",

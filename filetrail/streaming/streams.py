@@ -1,8 +1,9 @@
 """Streams of arriving files.
 
-Two ways to match them. `stream_match` keeps the uploads in a table and matches every micro-batch against it and
-against itself with the batch operators. `stateful_match` keeps the fingerprints in operator state, sharded by
-session and fingerprint band, for short triggers.
+Two ways to match them. `stream_match` keeps the live files of every fingerprint value in levelled tables and matches a micro-batch
+against what it touches there and against itself with the batch operators. `stateful_match` keeps the fingerprints in operator state,
+sharded by session and fingerprint band, for short triggers. `stream_lineage` goes on from matches to verdicts, results and the
+depths of a growing graph in one stream.
 """
 
 from __future__ import annotations
@@ -11,17 +12,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
+from filetrail.functions.fingerprints import hamming
 from filetrail.operators.hamming import band_table, layout
-from filetrail.operators.lineage import session_edges, session_nodes
+from filetrail.operators.lineage import KEY, ROOT_ORDER, depths, session_edges, session_nodes, settled
 from filetrail.operators.matching import MATCH_DISTANCE, best_match
 from filetrail.operators.ordered import upsert_latest
 from filetrail.sources.files import FILE_SCHEMA, MAX_BYTES, limited
+from filetrail.session import stage
 from filetrail.sources.results import bucket
+from filetrail.streaming.levels import Levels
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -51,30 +56,105 @@ def _store(rows: DataFrame, batch_id: int, path: str) -> None:
         "partitionOverwriteMode", "dynamic").partitionBy("session_bucket", "batch").parquet(path)
 
 
-def _load(spark: SparkSession, path: str, like: DataFrame, upto: int) -> DataFrame:
-    schema = like.withColumns({"session_bucket": F.lit(0), "batch": F.lit(0).cast("bigint")}).schema
-    return spark.read.schema(schema).parquet(path).filter(F.col("batch") <= upto)
+# --- stored live files -----------------------------------------------------------------------------------------
 
+VALUE = ["session_id", "rank", "h"]
 
-def match_batches(path: str, hashes: list[str], radius: int = MATCH_DISTANCE) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: uploads in, `<path>/uploads` and `<path>/matches` out.
 
-    Only the buckets and sessions of the batch are read back. Everything is keyed by the batch id, so a batch that is
-    replayed after a failure gives the same tables.
+def _fields(names: str) -> T.StructType:
+    """A schema from names; those without a type are strings."""
+    types = {"": T.StringType(), "int": T.IntegerType(), "long": T.LongType()}
+    return T.StructType([T.StructField(n.partition(":")[0], types[n.partition(":")[2]]) for n in names.split()])
+
+
+LIVE = _fields("session_id rank:int h:long file_id arrival:long")
+BAND_KEYS = _fields("session_id rank:int band:int band_key:long h:long")
+STREAM_BANDS, STATE_BANDS = 4, 8  # of the index in tables; of the state, where each key is a call
+
+
+def _slots(hashes: list[str]) -> Column:
+    return F.array(*[F.struct(F.lit(i).alias("rank"), F.col(h).alias("h")) for i, h in enumerate(hashes)])
+
+
+def _listed(uploads: DataFrame, hashes: list[str]) -> DataFrame:
+    """One row per upload and fingerprint that it has."""
+    return uploads.select("session_id", "arrival", "file_id", F.explode(_slots(hashes)).alias("s")).filter(
+        "s.h is not null").select("session_id", "arrival", "file_id", "s.rank", "s.h")
+
+
+class LiveFiles:
+    """The live files of every fingerprint value, and an index of the values by band, as levelled runs.
+
+    A later upload of a file replaces its earlier one as a candidate, so per value and file only the latest upload is kept: that is
+    what the value's head, a step function of time, still depends on. Values are listed under the band keys of the stored side
+    of the exact layout, so a new value finds all others within the radius by reading the buckets of its own keys.
     """
-    lean = ["session_id", "arrival", "file_id", *hashes]
 
-    def absorb(batch: DataFrame, batch_id: int) -> None:
+    def __init__(self, path: str, hashes: list[str], radius: int, bands: int = STREAM_BANDS, **levels):
+        self.hashes, self.radius, self.steps = hashes, radius, [(1, layout(radius, min(bands, radius + 1)))]
+        latest = lambda rows: rows.groupBy(*VALUE, "file_id").agg(F.max("arrival").alias("arrival"))
+        self.live = Levels(f"{path}/live", tuple(VALUE), latest, **levels)
+        self.index = Levels(f"{path}/index", ("session_id", "rank", "band", "band_key"), lambda rows: rows.distinct(), **levels)
+
+    def _keys(self, values: DataFrame, searched: bool) -> DataFrame:
+        table = band_table(values.sparkSession, self.steps, searched)
+        key = F.expr("(shiftrightunsigned(h, shift) & keep) ^ mask").alias("band_key")
+        return values.withColumn("layout", F.lit(0)).join(F.broadcast(table), "layout").select(
+            "session_id", "rank", "band", key, "h")
+
+    def _stored_near(self, values: DataFrame, asked: DataFrame, reach: int, batch: int) -> DataFrame:
+        """(session_id, rank, h, near): stored values within `reach` of the values, met under the asked keys."""
+        spark = values.sparkSession
+        there = self.index.read(spark, batch, BAND_KEYS, self.index.touched(asked)).withColumnRenamed("h", "near")
+        return asked.join(there, ["session_id", "rank", "band", "band_key"]).filter(
+            hamming(F.col("h"), F.col("near")) <= reach).select(*VALUE, "near").distinct()
+
+    def history(self, fresh: DataFrame, batch: int) -> tuple[DataFrame, DataFrame]:
+        """(candidates, new values): live files of earlier batches that an upload of this one can have for a parent.
+
+        An upload whose value is stored has a parent at distance 0, so only values that are new search further. What is read are the
+        buckets of the batch's values, of the keys of its new ones, and of the values found.
+        """
+        spark = fresh.sparkSession
+        values = stage(_listed(fresh, self.hashes).select(*VALUE).distinct(), "batch-values")
+        own = self._keys(values, searched=False).filter("band = 0 and band_key = (h & %d)" % ((1 << self.steps[0][1][0].width) - 1))
+        known = stage(self._stored_near(values, own, 0, batch).select(*VALUE), "batch-known")
+        new = stage(values.join(known, VALUE, "left_anti"), "batch-new")
+        near = self._stored_near(new, self._keys(new, searched=True), self.radius, batch)
+        wanted = stage(known.unionByName(near.select("session_id", "rank", F.col("near").alias("h"))).distinct(), "batch-wanted")
+        rows = self.live.read(spark, batch, LIVE, self.live.touched(wanted)).join(wanted, VALUE, "left_semi")
+        columns = [F.max(F.when(F.col("rank") == i, F.col("h"))).alias(h) for i, h in enumerate(self.hashes)]
+        return rows.groupBy("session_id", "file_id").agg(F.max("arrival").alias("arrival"), *columns), new
+
+    def absorb(self, fresh: DataFrame, new: DataFrame, batch: int) -> None:
+        self.live.append(self.live.fold(_listed(fresh, self.hashes).select(LIVE.names)), batch)
+        self.index.append(self._keys(new, searched=False).select(BAND_KEYS.names), batch)
+
+    def compact(self, spark: SparkSession, batch: int) -> None:
+        self.live.compact(spark, batch, LIVE)
+        self.index.compact(spark, batch, BAND_KEYS)
+
+
+def match_batches(path: str, hashes: list[str], radius: int = MATCH_DISTANCE, **levels) -> Callable[[DataFrame, int], DataFrame]:
+    """A foreachBatch function: uploads in, `<path>/matches` out; it also returns the batch's matches.
+
+    A batch meets its own uploads and the live files of the values it touches, never the history of a session. Uploads of a session
+    come in the order of batches; one that comes later than that sees the files whose latest upload is older than itself.
+    Everything is keyed by the batch id, so a batch that is replayed after a failure gives the same tables.
+    """
+    store = LiveFiles(path, hashes, radius, **levels)
+
+    def absorb(batch: DataFrame, batch_id: int) -> DataFrame:
         spark = batch.sparkSession
-        fresh = batch.select(*lean)
-        _store(fresh, batch_id, f"{path}/uploads")
-        known = _load(spark, f"{path}/uploads", fresh, batch_id)
-        now = known.filter(F.col("batch") == batch_id)
-        touched = [r[0] for r in now.select("session_bucket").distinct().collect()]  # at most one per bucket
-        history = known.filter(F.col("session_bucket").isin(touched)).join(
-            now.select("session_id").distinct(), "session_id", "left_semi")
-        marked = history.withColumn("searching", F.col("batch") == batch_id)
-        _store(best_match(marked, hashes, radius, searching="searching"), batch_id, f"{path}/matches")
+        fresh = stage(batch.select("session_id", "arrival", "file_id", *hashes), "batch-uploads")
+        store.compact(spark, batch_id)
+        candidates, new = store.history(fresh, batch_id)
+        marked = stage(candidates.select(fresh.columns).withColumn("searching", F.lit(False)).unionByName(
+            fresh.withColumn("searching", F.lit(True))), "batch-candidates")
+        matches = stage(best_match(marked, hashes, radius, searching="searching"), "batch-matches")
+        _store(matches, batch_id, f"{path}/matches")
+        store.absorb(fresh, new, batch_id)
+        return matches
 
     return absorb
 
@@ -95,71 +175,130 @@ CANDIDATES = "session_id string, arrival bigint, rank int, distance int, parent_
 
 
 class _Shard(StatefulProcessor):
-    """The files of one (session, fingerprint, band, band value) and the best candidate of each new one."""
+    """The files of one (session, fingerprint, band, band value), queued per value by their latest upload.
+
+    The head of a value is the front of its queue. A queue is doubly linked through point reads: an upload moves its file to the back, so it
+    costs a constant number of reads however many files carry the value. An upload whose value has a head is settled by
+    one read; only a value seen for the first time looks at the shard's other values, one entry each, once per trigger at most.
+    """
 
     def __init__(self, radius: int, ttl_ms: int | None):
         self.radius, self.ttl_ms = radius, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.files = handle.getMapState(
-            "files", "file_id string", "arrival bigint, h bigint", ttlDurationMs=self.ttl_ms)
+        self.handle = handle
+        self.queues = handle.getMapState("queues", "h bigint", "front string, arrival bigint, back string")
+        self.files = handle.getMapState("files", "h bigint, file_id string", "arrival bigint, prev string, next string, seen bigint")
+
+    def _link(self, h: int, file: str, prev: str | None = None, next_: str | None = None, ahead: bool = False) -> None:
+        """Set what lies before a file in its queue (or, with `ahead`, after it)."""
+        arrival, old_prev, old_next, seen = self.files.getValue((h, file))
+        self.files.updateValue((h, file), (arrival, *((old_prev, next_) if ahead else (prev, old_next)), seen))
+
+    def _remove(self, h: int, file: str) -> None:
+        _, prev, next_, _ = self.files.getValue((h, file))
+        self.files.removeKey((h, file))
+        if prev is not None:
+            self._link(h, prev, next_=next_, ahead=True)
+        if next_ is not None:
+            self._link(h, next_, prev=prev)
+        front, arrival, back = self.queues.getValue((h,))
+        if prev is None and next_ is None:
+            self.queues.removeKey((h,))
+            self.known.pop(h, None)
+            return
+        if prev is None:
+            front, arrival = next_, self.files.getValue((h, next_))[0]
+        self.queues.updateValue((h,), (front, arrival, prev if next_ is None else back))
+        self.known[h] = (arrival, front)
+
+    def _put(self, h: int, file: str, arrival: int, now: int) -> None:
+        if self.files.containsKey((h, file)):
+            self._remove(h, file)
+        queue = self.queues.getValue((h,)) if self.queues.containsKey((h,)) else None
+        self.files.updateValue((h, file), (arrival, queue[2] if queue else None, None, now))
+        if queue:
+            self._link(h, queue[2], next_=file, ahead=True)
+        front, first = (queue[0], queue[1]) if queue else (file, arrival)
+        self.queues.updateValue((h,), (front, first, file))
+        self.known[h] = (first, front)
+
+    def _nearest(self, h: int) -> tuple[int, int, str] | None:
+        """(distance, order, file) of the best candidate."""
+        if h in self.known or self.queues.containsKey((h,)):
+            front, arrival, _ = self.queues.getValue((h,))
+            return 0, arrival, front
+        if not self.listed:
+            self.known.update((k[0], (v[1], v[0])) for k, v in self.queues.iterator())
+            self.listed = True
+        if not self.known:
+            return None
+        values = np.fromiter(self.known, np.int64, len(self.known))
+        distances = np.bitwise_count((values ^ np.int64(h)).view(np.uint64))
+        least = int(distances.min())
+        if least > self.radius:
+            return None
+        return (least, *min(self.known[v] for v in values[distances == least].tolist()))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         session, rank = key[0], key[1]
-        stored = [(k[0], v[0], v[1]) for k, v in self.files.iterator()]
-        ids = [s[0] for s in stored]
-        place = {f: i for i, f in enumerate(ids)}
+        self.known, self.listed = {}, False  # values met in this trigger, all of the shard's once they are listed
+        now = timerValues.getCurrentProcessingTimeInMs() if self.ttl_ms else 0
+        if self.ttl_ms and not list(self.handle.listTimers()):
+            self.handle.registerTimer(now + self.ttl_ms)
         # An upload asks before it is stored.
         arriving = pd.concat(list(rows)).sort_values(["arrival", "asks"], ascending=[True, False])
-        room = len(ids) + len(arriving)
-        orders, values = np.zeros(room, np.int64), np.zeros(room, np.int64)
-        orders[:len(ids)], values[:len(ids)] = [s[1] for s in stored], [s[2] for s in stored]
         found = []
-        for file, arrival, h, asks in zip(arriving["file_id"], arriving["arrival"], arriving["h"], arriving["asks"]):
-            count = len(ids)
-            if asks:
-                if not count:
-                    continue
-                distance = np.bitwise_count((values[:count] ^ np.int64(h)).view(np.uint64)).astype(np.int64)
-                best = np.lexsort((orders[:count], distance))[0]
-                if distance[best] <= self.radius:
-                    found.append((session, arrival, rank, int(distance[best]), int(orders[best]), ids[best]))
-                continue
-            at = place.setdefault(file, count)
-            if at == count:
-                ids.append(file)
-            orders[at], values[at] = arrival, h
-            self.files.updateValue((file,), (int(arrival), int(h)))
+        for file, arrival, h, asks in zip(*(arriving[c].tolist() for c in ("file_id", "arrival", "h", "asks")), strict=True):
+            if not asks:
+                self._put(h, file, arrival, now)
+            elif best := self._nearest(h):
+                found.append((session, arrival, rank, *best))
         yield pd.DataFrame(found, columns=[c.split()[0] for c in CANDIDATES.split(", ")])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Drop files last seen longer ago than they live, from the fronts of the queues."""
+        self.known, self.listed = {}, False
+        now, oldest = timerValues.getCurrentProcessingTimeInMs(), None
+        for (h,), (file, _, _) in list(self.queues.iterator()):
+            while file is not None:
+                _, _, next_, seen = self.files.getValue((h, file))
+                if seen + self.ttl_ms > now:
+                    oldest = seen if oldest is None else min(oldest, seen)
+                    break
+                self._remove(h, file)
+                file = next_
+        if oldest is not None:
+            self.handle.registerTimer(oldest + self.ttl_ms)
+        yield pd.DataFrame([], columns=[c.split()[0] for c in CANDIDATES.split(", ")])
+
     def close(self) -> None:
         pass
 
 
 def stateful_candidates(
-    uploads: DataFrame, hashes: list[str], radius: int = MATCH_DISTANCE, bands: int | None = None,
+    uploads: DataFrame, hashes: list[str], radius: int = MATCH_DISTANCE, bands: int = STATE_BANDS,
     ttl_ms: int | None = None,
 ) -> DataFrame:
     """Candidate parents of a stream of uploads; the best of an upload's rows is its parent.
 
     Sharded like the batch join: an upload asks under the keys of the searched side and is stored under those of the
-    other side, so it meets every candidate within the radius in at least one shard. By default there are radius + 1
-    bands and one key each; fewer, wider bands (4 for sessions of a million files) make smaller shards out of more
-    keys. State is kept per shard, never per session, and only expires if `ttl_ms` is given.
+    other side, so it meets every candidate within the radius in at least one shard. Fewer, wider bands (4 for sessions of a
+    million values) make shards of fewer values out of more keys. State is kept per shard, never per session; with `ttl_ms` a file goes when it
+    was not uploaded for so long. The session must use the RocksDB state store.
     """
     spark = uploads.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    steps = [(1, layout(radius, bands or radius + 1))]
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
+        raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {ROCKSDB}, as build_session does")
+    steps = [(1, layout(radius, min(bands, radius + 1)))]
     keys = band_table(spark, steps, searched=True).withColumn("asks", F.lit(True)).unionByName(
         band_table(spark, steps, searched=False).withColumn("asks", F.lit(False)))
-    slots = F.array(*[F.struct(F.lit(i).alias("rank"), F.col(h).alias("h")) for i, h in enumerate(hashes)])
-    listed = uploads.select("session_id", "arrival", "file_id", F.explode(slots).alias("s")).filter(
-        "s.h is not null").select("session_id", "arrival", "file_id", "s.rank", "s.h", F.lit(0).alias("layout"))
+    listed = _listed(uploads, hashes).withColumn("layout", F.lit(0))
     shards = listed.join(F.broadcast(keys), "layout").select(
         "session_id", "rank", "band", F.expr("(shiftrightunsigned(h, shift) & keep) ^ mask").alias("band_value"),
         "arrival", "file_id", "h", "asks")
     return shards.groupBy("session_id", "rank", "band", "band_value").transformWithStateInPandas(
-        _Shard(radius, ttl_ms), CANDIDATES, "append", "None")
+        _Shard(radius, ttl_ms), CANDIDATES, "append", "ProcessingTime" if ttl_ms else "None")
 
 
 def stateful_match(
@@ -198,3 +337,109 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def incremental_graph(results: DataFrame, path: str, checkpoint: str, judge=lambda batch: batch) -> StreamingQuery:
     return run_available(results, graph_batches(path, judge), checkpoint)
+
+
+# --- from uploads to the graph in one stream -------------------------------------------------------------------
+
+DEPTHS = _fields("session_id file_id arrival:long up start:long depth:long version:long")
+CHILDREN = _fields("session_id up file_id")
+
+
+class GrowingLineage:
+    """Start and depth of every node, brought up to date with the edges of each batch.
+
+    New files and files uploaded again take new parents. What hangs below a file that was uploaded again changes with it and is found
+    child by child through an index, one round per edge of height. For all of these, starts and depths settle by pointer doubling among
+    themselves; parents outside of them keep their values and end the walk. Nothing else is read or written.
+    """
+
+    def __init__(self, path: str, **levels):
+        latest = lambda rows: upsert_latest(rows, KEY, "version").select(DEPTHS.names)
+        self.nodes = Levels(f"{path}/depths", tuple(KEY), latest, **levels)
+        self.children = Levels(f"{path}/children", ("session_id", "up"), lambda rows: rows.distinct(), **levels)
+
+    def _of(self, files: DataFrame, batch: int) -> DataFrame:
+        """Nodes of these files (session_id, file_id) as of the batches before."""
+        rows = self.nodes.read(files.sparkSession, batch, DEPTHS, self.nodes.touched(files))
+        return rows.join(files.select(*KEY).distinct(), KEY, "left_semi")
+
+    def _below(self, top: DataFrame, batch: int) -> DataFrame:
+        """Nodes that hang below these, as (session_id, file_id, arrival, up), without those given."""
+        spark = top.sparkSession
+        seen, edge = top.select(*KEY), top.select(*KEY)
+        found = None
+        while True:
+            over = edge.select("session_id", F.col("file_id").alias("up"))
+            listed = self.children.read(spark, batch, CHILDREN, self.children.touched(over)).join(over, ["session_id", "up"], "left_semi")
+            files = stage(listed.join(seen, KEY, "left_anti"), "lineage-children")
+            # A child that took another parent since is still listed under the old one.
+            rows = self._of(files, batch).join(files, [*KEY, "up"], "left_semi").select(*KEY, "arrival", "up")
+            edge = stage(rows, "lineage-edge")
+            if edge.isEmpty():
+                return found if found is not None else edge
+            found = edge if found is None else found.unionByName(edge)
+            seen = seen.unionByName(edge.select(*KEY))
+
+    def absorb(self, rows: DataFrame, batch: int) -> None:
+        """`rows`: session_id, file_id, arrival and up (the parent's file or NULL), one row per file of the batch."""
+        spark = rows.sparkSession
+        self.nodes.compact(spark, batch, DEPTHS)
+        self.children.compact(spark, batch, CHILDREN)
+        fresh = stage(rows.select(*KEY, "arrival", "up"), "lineage-fresh")
+        again = stage(self._of(fresh, batch), "lineage-again")
+        below = self._below(again, batch).join(fresh.select(*KEY), KEY, "left_anti")
+        changed = stage(fresh.unionByName(below), "lineage-changed")
+        parents = changed.filter("up is not null").select("session_id", F.col("up").alias("file_id")).distinct().join(
+            changed.select(*KEY), KEY, "left_anti")
+        is_root = F.col("up").isNull()
+        moving = changed.select(
+            *KEY, F.coalesce("up", "file_id").alias("up"), F.when(is_root, 0).otherwise(1).cast("bigint").alias("jump"),
+            F.when(is_root, ROOT_ORDER).otherwise(F.col("arrival")).alias("start"), F.lit(0).cast("bigint").alias("depth"))
+        still = self._of(stage(parents, "lineage-parents"), batch).select(
+            *KEY, F.col("file_id").alias("up"), F.lit(0).cast("bigint").alias("jump"), "start", "depth")
+        state = settled(moving.unionByName(still))
+        done = changed.join(state.select(*KEY, "start", "depth"), KEY).withColumn("version", F.lit(batch).cast("bigint"))
+        self.nodes.append(done.select(DEPTHS.names), batch)
+        self.children.append(fresh.filter("up is not null and up != file_id").select(CHILDREN.names), batch)
+
+
+def lineage_batches(
+    path: str, hashes: list[str], judge: Callable[[DataFrame], DataFrame], kept: list[str], radius: int = MATCH_DISTANCE, **levels,
+) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: uploads in, matches, results and lineage out.
+
+    `judge` takes the batch's uploads with parent_file_id, parent_order, metric, match_type and parent_<name> of the columns `kept`, and returns
+    rows of the results table that have these columns too. A parent's columns come from its file's latest result or from the batch itself.
+    """
+    match = match_batches(path, hashes, radius, **levels)
+    lineage = GrowingLineage(path, **levels)
+
+    def absorb(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        uploads = stage(batch, "lineage-uploads")
+        matches = match(uploads, batch_id)
+        parents = matches.select("session_id", F.col("parent_file_id").alias("file_id")).distinct()
+        columns = ["session_id", "file_id", "arrival", *kept]
+        schema = uploads.select(columns).schema
+        files = Levels(f"{path}/files", tuple(KEY), lambda rows: upsert_latest(rows, KEY, "arrival").select(columns), **levels)
+        files.compact(spark, batch_id, schema)
+        stored = files.read(spark, batch_id, schema, files.touched(parents)).join(parents, KEY, "left_semi")
+        known = stored.unionByName(uploads.select(columns)).select(
+            "session_id", F.col("arrival").alias("parent_order"), *(F.col(c).alias(f"parent_{c}") for c in kept))
+        rows = uploads.join(matches, ["session_id", "arrival"], "left").join(known, ["session_id", "parent_order"], "left")
+        judged = stage(judge(rows), "lineage-judged")
+        _store(judged, batch_id, f"{path}/results")
+        latest = stage(upsert_latest(judged, KEY, "arrival"), "lineage-latest")
+        files.append(files.fold(uploads.select(columns)), batch_id)
+        lineage.absorb(latest.select(*KEY, "arrival", F.col("parent_file_id").alias("up")), batch_id)
+
+    return absorb
+
+
+def stream_lineage(uploads: DataFrame, path: str, hashes: list[str], judge, kept: list[str], checkpoint: str, **options) -> StreamingQuery:
+    return run_available(uploads, lineage_batches(path, hashes, judge, kept, **options), checkpoint)
+
+
+def read_depths(spark: SparkSession, path: str, before: int = 1 << 60) -> DataFrame:
+    """(session_id, file_id, depth) as of now, in the form of `lineage_depth`."""
+    return depths(GrowingLineage(path).nodes.read(spark, before, DEPTHS))
