@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from filetrail.functions.binary import number
 from filetrail.functions.fingerprints import sorted_distinct
-from filetrail.operators.segments import explode_boxes, reassemble_parts
+from filetrail.operators.segments import box_records, explode_boxes, reassemble_parts
 
 # The claim keys that are looked for.
 CLAIM_KEYS = ["claim_generator", "claim_generator_info", "softwareAgent", "digitalSourceType", "when"]
@@ -105,6 +105,17 @@ def _first_values(value: object, wanted: set[str], found: dict[str, str]) -> Non
             _first_values(inner, wanted, found)
 
 
+def _leaf_values(kind: str, data: bytes, wanted: set[str]) -> dict[str, str] | None:
+    """The first value per wanted key of one leaf; None if it does not decode."""
+    found: dict[str, str] = {}
+    try:
+        value = _cbor_item(data, 0)[0] if kind == "cbor" else json.loads(data.decode("utf-8", "replace"))
+        _first_values(value, wanted, found)
+    except (ValueError, IndexError, TypeError, RecursionError):
+        return None
+    return found
+
+
 def find_keys(wanted: list[str]):
     """Arrow UDF (type, payload) -> map of the first value per wanted key, depth first, as JSON text.
 
@@ -114,16 +125,33 @@ def find_keys(wanted: list[str]):
 
     @F.pandas_udf("map<string,string>")
     def udf(kind: pd.Series, payload: pd.Series) -> pd.Series:
-        out = []
-        for k, data in zip(kind, payload):
-            found: dict[str, str] = {}
-            try:
-                value = _cbor_item(data, 0)[0] if k == "cbor" else json.loads(data.decode("utf-8", "replace"))
-                _first_values(value, keys, found)
-                out.append(found)
-            except (ValueError, IndexError, TypeError, RecursionError):
-                out.append(None)
-        return pd.Series(out, dtype=object)
+        return pd.Series([_leaf_values(k, data, keys) for k, data in zip(kind, payload)], dtype=object)
+
+    return udf
+
+
+def claim_facts(wanted: list[str]):
+    """Arrow UDF (stream) -> whether any box parses, the labels of superboxes, and the first value per wanted key over all leaves.
+
+    One walk over a stream's boxes; NULL for a NULL stream.
+    """
+    keys = set(wanted)
+
+    @F.pandas_udf("struct<present:boolean,labels:array<string>,found:map<string,string>>")
+    def udf(stream: pd.Series) -> pd.DataFrame:
+        present, labels, found = [], [], []
+        for data in stream:
+            boxes = [] if data is None else box_records(data)[0]
+            first: dict[str, str] = {}
+            for kind, _, _, body, _, _ in boxes:
+                if kind in ("cbor", "json"):
+                    for key, value in (_leaf_values(kind, body, keys) or {}).items():
+                        first.setdefault(key, value)
+            present.append(bool(boxes))
+            labels.append([label for kind, *_, label in boxes if kind == "jumb" and label])
+            found.append(first)
+        return pd.DataFrame({
+            "present": pd.Series(present, dtype=bool), "labels": pd.Series(labels, dtype=object), "found": pd.Series(found, dtype=object)})
 
     return udf
 

@@ -66,10 +66,18 @@ def directory(tiff: Column, start: Column, little: Column) -> Column:
     return F.transform(fixed_records(tiff, start + 2, count, 12), entry)
 
 
+def is_tiff(block: Column) -> Column:
+    return (F.octet_length(block) >= 8) & F.substring(block, 1, 2).isin(b"II", b"MM")
+
+
 def exif_directories(tiffs: DataFrame, keys: list[str]) -> DataFrame:
     """Per file the entries of its four directories as arrays. Blocks that are not TIFF are dropped."""
+    return with_directories(tiffs.filter(is_tiff(F.col("tiff"))), keys)
+
+
+def with_directories(valid: DataFrame, keys: list[str]) -> DataFrame:
+    """`keys` with the directories of the column `tiff` as arrays; without entries where it is NULL."""
     t = F.col("tiff")
-    valid = tiffs.filter((F.octet_length(t) >= 8) & F.substring(t, 1, 2).isin(b"II", b"MM"))
     le = F.col("little")
     first = valid.select(*keys, "tiff", (F.substring(t, 1, 2) == F.lit(b"II")).alias("little"))
     first = first.withColumn("start", number_in_order(t, 4, 4, le)).withColumn("size", F.octet_length(t).cast("bigint"))
@@ -119,7 +127,14 @@ def exif_entries(directories: DataFrame, keys: list[str]) -> DataFrame:
     rows = directories.select(
         *keys, "little", F.explode(F.concat(none, *[tagged_as(d) for d in ("ifd0", "exif", "gps", "ifd1")])).alias("e")
     ).select(*keys, "little", "e.*")
-    kind, data, count = F.col("type"), F.col("data"), F.col("count")
+    read = let(F.struct("type", "data", "count"), lambda e: entry_value(e, F.col("little")))
+    return rows.withColumn("read", read).select(
+        *keys, "ifd", "pos", "tag", "type", "count", "read.numbers", "read.text")
+
+
+def entry_value(entry: Column, little: Column) -> Column:
+    """struct<numbers, text> of an entry with type, data and count."""
+    kind, data, count = entry["type"], entry["data"], entry["count"]
     width = F.when(kind == 1, 1).when(kind == 3, 2).when(kind.isin(4, 5, 9, 10), 4)
     per_value = F.when(kind.isin(*RATIONAL), 2).otherwise(1)
     present = F.when(kind == 1, F.octet_length(data).cast("bigint")).otherwise(count * per_value)
@@ -127,7 +142,7 @@ def exif_entries(directories: DataFrame, keys: list[str]) -> DataFrame:
 
     def word(digits: Column, k: Column) -> Column:
         one = F.substring(digits, (k * width * 2 + 1).cast("int"), (width * 2).cast("int"))
-        value = F.conv(_big_endian(one, F.col("little")), 16, 10).cast("bigint")
+        value = F.conv(_big_endian(one, little), 16, 10).cast("bigint")
         return F.when(kind.isin(9, 10), signed32(value)).otherwise(value)
 
     words = F.when(
@@ -138,15 +153,15 @@ def exif_entries(directories: DataFrame, keys: list[str]) -> DataFrame:
         bottom = F.get(ws, k * 2 + 1)
         return F.when(bottom == 0, F.lit(0.0)).otherwise(F.get(ws, k * 2) / bottom)
 
-    worded = rows.withColumn("words", words)
-    ratios = F.transform(indexes(F.floor(F.size("words") / 2)), lambda k: ratio(F.col("words"), k))
-    numbers = F.when(kind.isin(*RATIONAL), F.when(F.col("words").isNotNull(), ratios)).otherwise(
-        F.col("words").cast("array<double>"))
+    def numbers(ws: Column) -> Column:
+        ratios = F.transform(indexes(F.floor(F.size(ws) / 2)), lambda k: ratio(ws, k))
+        return F.when(kind.isin(*RATIONAL), F.when(ws.isNotNull(), ratios)).otherwise(ws.cast("array<double>"))
+
     # Invalid UTF-8 becomes replacement characters.
     ascii_text = F.substring_index(F.decode(data, "ISO-8859-1"), "\x00", 1)
     text = F.when(kind == 2, F.make_valid_utf8(F.encode(ascii_text, "ISO-8859-1").cast("string"))).when(
         ~kind.isin(1, 3, 4, 5, 9, 10), F.lower(F.hex(data)))
-    return worded.select(*keys, "ifd", "pos", "tag", "type", "count", numbers.alias("numbers"), text.alias("text"))
+    return F.struct(let(words, numbers).alias("numbers"), text.alias("text"))
 
 
 def tag_pivot(entries: DataFrame, keys: list[str], tag: str, value: str, order: str, tags: list) -> DataFrame:
@@ -186,21 +201,64 @@ def _scalar(entry: Column, kinds: tuple[int, ...]) -> Column:
     return F.when(entry["type"].isin(*kinds) & (F.size(entry["numbers"]) == 1), F.get(entry["numbers"], 0))
 
 
+def _slots() -> dict[tuple[str, int], str]:
+    """Column names of the entries that evidence is made of, by directory and tag."""
+    slots = {(ifd, tag): f"{ifd}_{tag:04x}" for ifd, tag, _ in RAW_NAMES}
+    slots.update({("gps", tag): f"gps_{tag}" for tag in (1, 2, 3, 4)})
+    slots[("exif", TAG_ISO_SPEED)] = "exif_iso_speed"
+    return slots
+
+
 def exif_columns(entries: DataFrame, keys: list[str]) -> DataFrame:
     """The flat EXIF evidence of each file, and `exif_invalid` for values a record cannot hold.
 
     A pivot with a fixed tag list: of a tag that occurs twice in a directory the last entry counts.
     """
-    slots = {(ifd, tag): f"{ifd}_{tag:04x}" for ifd, tag, _ in RAW_NAMES}
-    slots.update({("gps", tag): f"gps_{tag}" for tag in (1, 2, 3, 4)})
-    slots[("exif", TAG_ISO_SPEED)] = "exif_iso_speed"
     value = F.struct("type", "numbers", "text")
-    wide = entries.groupBy(*keys).agg(
+    return _evidence(entries.groupBy(*keys).agg(
         F.max(F.when(F.col("ifd").isNull(), F.col("count"))).alias("next_start"),
         F.count_if(F.col("ifd") == "ifd1").alias("ifd1_entries"),
         *[F.max_by(value, F.when((F.col("ifd") == ifd) & (F.col("tag") == tag), F.col("pos"))).alias(name)
-          for (ifd, tag), name in slots.items()],
-    )
+          for (ifd, tag), name in _slots().items()],
+    ), keys, F.lit(True))
+
+
+def exif_of(files: DataFrame) -> DataFrame:
+    """All columns of `files` but `tiff`, and the EXIF evidence of that block; NULLs where it is no TIFF block.
+
+    The same as `exif_columns` of the block's entries, by functions over the arrays of a row.
+    """
+    kept = [c for c in files.columns if c != "tiff"]
+    present = F.col("tiff_present")
+    known = with_directories(files.withColumn("tiff", F.when(is_tiff(F.col("tiff")), F.col("tiff"))).withColumn(
+        "tiff_present", F.col("tiff").isNotNull()), [*kept, "tiff_present"])
+    little = F.col("little")
+
+    asked = {ifd: [tag for own, tag in _slots() if own == ifd] for ifd in ("ifd0", "exif", "gps")}
+
+    def wanted(ifd: str, tags: list[int]) -> Column:
+        return F.transform(F.filter(ifd, lambda e: e["tag"].isin(*tags)), lambda e: F.struct(F.lit(ifd).alias("ifd"), e.alias("e")))
+
+    def valued(item: Column) -> Column:
+        entry = item["e"]
+        return let(entry_value(entry, little), lambda v: F.struct(
+            item["ifd"].alias("ifd"), entry["tag"].alias("tag"), entry["type"].alias("type"), v["numbers"].alias("numbers"),
+            v["text"].alias("text")))
+
+    read = known.select(
+        *kept, "tiff_present", F.col("next_start").cast("bigint").alias("next_start"),
+        F.coalesce(F.size("ifd1"), F.lit(0)).alias("ifd1_entries"),
+        F.transform(F.concat(*(wanted(ifd, tags) for ifd, tags in asked.items())), valued).alias("entries"))
+
+    def last(ifd: str, tag: int) -> Column:
+        return F.try_element_at(F.filter("entries", lambda e: (e["ifd"] == ifd) & (e["tag"] == tag)), F.lit(-1))
+
+    return _evidence(read.select(*kept, "tiff_present", "next_start", "ifd1_entries", *(
+        last(ifd, tag).alias(name) for (ifd, tag), name in _slots().items())), kept, present)
+
+
+def _evidence(wide: DataFrame, kept: list[str], present: Column) -> DataFrame:
+    slots = _slots()
     at = lambda ifd, tag: F.col(slots[(ifd, tag)])
     text = lambda ifd, tag: at(ifd, tag)["text"]
     exposure = at("exif", TAG_EXPOSURE)
@@ -224,8 +282,8 @@ def exif_columns(entries: DataFrame, keys: list[str]) -> DataFrame:
     # An exposure that is neither a scalar ratio nor text has no place in the record.
     odd_exposure = exposure["numbers"].isNotNull() & ratio.isNull()
     return wide.select(
-        *keys,
-        F.lit(True).alias("exif_present"),
+        *kept,
+        present.alias("exif_present"),
         text("ifd0", TAG_MAKE).alias("exif_make"),
         text("ifd0", TAG_MODEL).alias("exif_model"),
         text("ifd0", TAG_SOFTWARE).alias("exif_software"),
@@ -238,6 +296,6 @@ def exif_columns(entries: DataFrame, keys: list[str]) -> DataFrame:
         ((F.col("next_start") != 0) & (F.col("ifd1_entries") > 0)).alias("exif_thumbnail"),
         subsec.alias("exif_subsec"),
         text("exif", TAG_IMAGE_ID).alias("exif_image_id"),
-        raw.alias("exif_raw"),
+        F.when(present, raw).alias("exif_raw"),
         (named | odd_exposure).alias("exif_invalid"),
     )

@@ -78,26 +78,23 @@ def icc_of_png(records: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, icc) for every PNG with an iCCP or sRGB chunk, whichever comes first."""
     p = F.col("payload")
     first = records.filter(F.col("type").isin("iCCP", "sRGB")).groupBy(*keys).agg(
-        F.min_by(F.struct("type", "payload"), F.col("seg_no")).alias("chunk")
-    )
+        F.min_by(F.struct("type", "payload"), F.col("seg_no")).alias("chunk"))
+    opened = first.select(*keys, "chunk", inflate(packed_profile(F.col("chunk"))).alias("profile"))
+    return opened.select(*keys, png_profile(F.col("chunk"), F.col("profile")).alias("icc"))
+
+
+def packed_profile(chunk: Column) -> Column:
+    """The compressed profile of an iCCP chunk (type, payload); NULL for others."""
+    p = chunk["payload"]
     name_end = F.locate("00", F.regexp_replace(F.hex(p), "(..)", "$1 "))
-    packed = F.when(
-        (F.col("type") == "iCCP") & (name_end > 0),
-        F.substring(p, (F.floor(name_end / 3) + 3).cast("int"), F.octet_length(p)),
-    )
-    opened = first.select(*keys, "chunk.type", "chunk.payload").select(
-        *keys, "type", inflate(packed).alias("profile")
-    )
-    unread = F.struct(
-        F.lit(True).alias("present"), F.lit(None).cast("string").alias("description"),
-        F.lit(None).cast("string").alias("copyright"),
-    )
-    srgb = F.struct(
-        F.lit(True).alias("present"), F.lit(SRGB_TEXT).alias("description"),
-        F.lit(None).cast("string").alias("copyright"),
-    )
-    return opened.select(
-        *keys,
-        F.when(F.col("type") == "sRGB", srgb).when(F.col("profile").isNull(), unread)
-        .otherwise(icc_text(F.col("profile"))).alias("icc"),
-    )
+    return F.when(
+        (chunk["type"] == "iCCP") & (name_end > 0), F.substring(p, (F.floor(name_end / 3) + 3).cast("int"), F.octet_length(p)))
+
+
+def png_profile(chunk: Column, profile: Column) -> Column:
+    """icc_text of a profile that lies in segments, or of the inflated one of an iCCP chunk, or what an sRGB chunk says; else NULL."""
+    def said(description: Column) -> Column:
+        return F.struct(F.lit(True).alias("present"), description.alias("description"), F.lit(None).cast("string").alias("copyright"))
+
+    return F.when(chunk["type"] == "sRGB", said(F.lit(SRGB_TEXT))).when(profile.isNotNull(), icc_text(profile)).when(
+        chunk["type"].isNotNull(), said(F.lit(None).cast("string")))

@@ -198,6 +198,47 @@ def explode_chained(
     return source.mapInArrow(run, schema)
 
 
+NESTED = "array<struct<seg_no:int,type:string,payload:binary>>"
+
+
+def nest_chained(df: DataFrame, keys: list[str], data: str, layout: str, carry: list[str], once: list[str] = ()) -> DataFrame:
+    """One row per file: keys, `once`, `records` (those of the types in `carry`, in file order), trailing, truncated.
+
+    The rows keep the partitioning and order of the files, so nothing is shuffled to bring a file's records together again.
+    """
+    walk, wanted, passed = LAYOUTS[layout], set(carry), [*keys, *once]
+    source = df.select(*passed, data)
+    kinds = ", ".join(f"`{k}` {source.schema[k].dataType.simpleString()}" for k in passed)
+
+    def flush(batch: pa.RecordBatch, start: int, ends: list[int], rows: list[tuple], closing: list[tuple[int, bool]]) -> pa.RecordBatch:
+        n = len(closing)
+        fields = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.string(), pa.binary()))]
+        records = pa.ListArray.from_arrays(
+            pa.array([0, *ends], pa.int32()), pa.StructArray.from_arrays(fields, names=["seg_no", "type", "payload"]))
+        columns = [batch.column(k).slice(start, n) for k in range(len(passed))]
+        return pa.RecordBatch.from_arrays(
+            [*columns, records, pa.array([c[0] for c in closing], pa.int64()), pa.array([c[1] for c in closing], pa.bool_())],
+            names=[*passed, "records", "trailing", "truncated"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, ends, rows, closing, held = 0, [], [], [], 0
+            for i, content in enumerate(batch.column(len(passed))):
+                records, trailing, truncated = walk(content.as_py() or b"")
+                mine = [(n, r[0], r[3]) for n, r in enumerate(records) if r[0] in wanted]
+                rows += mine
+                held += sum(len(r[2]) for r in mine)
+                ends.append(len(rows))
+                closing.append((trailing, truncated))
+                if held > FLUSH_BYTES or len(rows) > FLUSH_ROWS:
+                    yield flush(batch, start, ends, rows, closing)
+                    start, ends, rows, closing, held = i + 1, [], [], [], 0
+            if closing:
+                yield flush(batch, start, ends, rows, closing)
+
+    return source.mapInArrow(run, f"{kinds}, records {NESTED}, trailing bigint, truncated boolean")
+
+
 def explode_jpeg_segments(files: DataFrame, keys: list[str], data: str = "content", carry=None) -> DataFrame:
     return explode_chained(files, keys, data, "jpeg", carry)
 
@@ -253,13 +294,12 @@ def image_dims(records: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def quant_tables(records: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows (keys, table_id, values): the last quantization table of each id in a file.
+def tables_in(data: Column) -> Column:
+    """array<struct<table_id, values>> of the whole tables of a table segment, in order.
 
-    A table segment holds tables of 65 bytes, or 129 where the precision nibble is set. The running start of
-    each table comes from a fold over the segment, so nothing but the segment's own bytes is needed.
+    A table takes 65 bytes, or 129 where the precision nibble is set. The running start of each table comes from a fold over the
+    segment, so nothing but the segment's own bytes is needed.
     """
-    data = F.col("payload")
     span = lambda at: F.when(number(data, at, 1) >= 16, 129).otherwise(65)
     most = F.ceil(F.octet_length(data) / 65).cast("int")
     starts = F.aggregate(
@@ -271,15 +311,22 @@ def quant_tables(records: DataFrame, keys: list[str]) -> DataFrame:
         ).otherwise(acc),
     )
     whole = F.filter(starts, lambda at: (at < F.octet_length(data)) & (at + span(at) <= F.octet_length(data)))
-    tables = records.filter("type = 'FFDB'").select(*keys, "seg_no", "payload", F.posexplode(whole).alias("pos", "at"))
-    head = number(data, F.col("at"), 1)
-    wide = head >= 16
-    values = F.transform(
-        F.sequence(F.lit(0), F.lit(63)),
-        lambda k: F.when(wide, number(data, F.col("at") + 1 + 2 * k, 2)).otherwise(number(data, F.col("at") + 1 + k, 1)),
-    )
-    read = tables.select(*keys, "seg_no", "pos", (head % 16).cast("int").alias("table_id"), values.alias("values"))
-    return read.groupBy(*keys, "table_id").agg(F.max_by("values", F.struct("seg_no", "pos")).alias("values"))
+
+    def table(at: Column) -> Column:
+        head = number(data, at, 1)
+        values = F.transform(
+            F.sequence(F.lit(0), F.lit(63)),
+            lambda k: F.when(head >= 16, number(data, at + 1 + 2 * k, 2)).otherwise(number(data, at + 1 + k, 1)))
+        return F.struct((head % 16).cast("int").alias("table_id"), values.alias("values"))
+
+    return F.transform(whole, table)
+
+
+def quant_tables(records: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys, table_id, values): the last quantization table of each id in a file."""
+    read = records.filter("type = 'FFDB'").select(*keys, "seg_no", F.posexplode(tables_in(F.col("payload"))).alias("pos", "t"))
+    return read.groupBy(*keys, F.col("t.table_id").alias("table_id")).agg(
+        F.max_by("t.values", F.struct("seg_no", "pos")).alias("values"))
 
 
 def chroma_subsampling(sampling: Column) -> Column:

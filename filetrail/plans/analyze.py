@@ -8,14 +8,12 @@ from pyspark.sql import functions as F
 from filetrail.functions.fingerprints import content_sha256, file_id, hash_bits
 from filetrail.functions.formats import declared_format, format_mismatch, sniff_format
 from filetrail.functions.truth import holds
-from filetrail.operators.claims import claim_columns, claim_stream_of_jpeg, claim_stream_of_png
-from filetrail.operators.exif import exif_columns, exif_directories, exif_entries, tiff_of
-from filetrail.operators.icc import icc_of_jpeg, icc_of_png
+from filetrail.operators.evidence import evidence_of
 from filetrail.operators.matching import attach_parent, best_match
 from filetrail.operators.ordered import exclusive_prefix
 from filetrail.operators.pdf import pdf_parts, pdf_strings
 from filetrail.operators.rules import Rule, classify, coherent_camera, near_lossless
-from filetrail.operators.segments import FRAMES, encoder_fingerprint, explode_chained, image_dims
+from filetrail.operators.segments import FRAMES, nest_chained
 from filetrail.operators.verdicts import STATISTICS_NOTE, detect_transformations, trace_score, verdict, verdict_statement
 from filetrail.session import stage
 from filetrail.sources.files import reject_reason
@@ -45,36 +43,19 @@ def identify(files: DataFrame) -> DataFrame:
 def dispatch_evidence(files: DataFrame, keys: list[str], once: list[str] = ()) -> DataFrame:
     """Container evidence per file (keys, actual_format, content), with the `once` columns passed through.
 
-    The bytes are read in one pass and never shuffled: PDF information is extracted inside the JVM, and only JPEG and
-    PNG bytes go to the walker, which picks the container by magic bytes. What comes out are small record rows.
+    The bytes are read in one pass and nothing is shuffled: PDF information is extracted inside the JVM, only JPEG and PNG bytes go to
+    the walker, which picks the container by magic bytes, and a file's records stay in its row, where array functions read them.
     """
     walked = files.select(
         *keys, *once, "actual_format",
         F.when(F.col("actual_format") == "pdf", pdf_parts(F.col("content"))).alias("pdf"),
         F.when(F.col("actual_format").isin("jpeg", "png"), F.col("content")).alias("bytes"),
     )
-    records = stage(
-        explode_chained(walked, keys, "bytes", "any", EVIDENCE_RECORDS, once=[*once, "actual_format", "pdf"]), "records"
-    )
-    closing = records.filter("type is null").withColumn("strings", pdf_strings(F.col("pdf.info"))).select(
+    nested = nest_chained(walked, keys, "bytes", "any", EVIDENCE_RECORDS, once=[*once, "actual_format", "pdf"])
+    evidence = evidence_of(nested.withColumn("strings", pdf_strings(F.col("pdf.info"))).select(
         *keys, *once, "actual_format", F.col("trailing").alias("trailing_bytes"), "truncated",
         F.col("strings.producer").alias("pdf_producer"), F.col("strings.creator").alias("pdf_creator"),
-        F.col("pdf.fonts").alias("pdf_fonts"),
-    )
-    icc = icc_of_jpeg(records, keys).unionByName(icc_of_png(records, keys)).select(
-        *keys, F.col("icc.present").alias("icc_present"), F.col("icc.description").alias("icc_description"),
-        F.col("icc.copyright").alias("icc_copyright"),
-    )
-    streams = claim_stream_of_jpeg(records, keys).unionByName(claim_stream_of_png(records, keys))
-    evidence = closing
-    for part in [
-        image_dims(records, keys),
-        exif_columns(exif_entries(exif_directories(tiff_of(records, keys), keys), keys), keys),
-        icc,
-        claim_columns(streams, keys),
-        encoder_fingerprint(records, keys),
-    ]:
-        evidence = evidence.join(part, keys, "left")
+        F.col("pdf.fonts").alias("pdf_fonts"), "records"))
     return evidence.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in DEFAULTS.items()}).withColumn(
         "quant_all_le1", near_lossless(F.col("quant_luma"), F.col("quant_chroma"))
     )
