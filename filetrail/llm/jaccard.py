@@ -22,6 +22,7 @@ PER_DIFFERENCE = 2.2  # of a large one, for each element that may differ
 BUCKET_ENTRIES = 1_000_000
 HEAVY_CLASSES = 100_000
 FREQUENT_SHINGLES = 200_000
+LISTED = 1 << 17  # elements listed at a time
 FREQUENT = 300  # a shingle that one document in so many has is frequent
 
 
@@ -239,6 +240,16 @@ def _met(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([_signed(np.repeat(gid[kept], sizes[kept])), _signed(nodes[take])], names=["gid", "node"])
 
 
+def _elements(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All elements of an Arrow column of sets, not copied, and where each set begins (one more entry than sets)."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    if data is None or at[-1] == at[0]:
+        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+    return np.frombuffer(data, np.uint8)[at[0]:at[-1]].view(np.uint64), (at - at[0]) // 8
+
+
 def _sets(docs: DataFrame, words: int, facts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, elements): the sets of the wanted classes, from the text of one document of each."""
     one = wanted.join(facts.filter("n_shingles > 0"), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
@@ -262,11 +273,12 @@ def _shape(sets: DataFrame) -> DataFrame:
     """(node, size, shared): elements of each set, and how many of them some other of these sets has."""
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.frombuffer(e, np.int64) for e in batch.column("elements").to_pylist()]
-            sizes = [len(f) for f in found]
-            if sizes:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(batch.column("node").to_numpy(), sizes)), pa.array(np.concatenate(found))], names=["node", "element"])
+            nodes = batch.column("node").to_numpy()
+            elements, bounds = _elements(batch.column("elements"))
+            for start in range(0, len(elements), LISTED):  # rows of a step, whatever the sets' sizes
+                end = min(start + LISTED, len(elements))
+                owner = np.searchsorted(bounds, np.arange(start, end), side="right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[owner]), _signed(elements[start:end])], names=["node", "element"])
 
     alone = sets.mapInArrow(listed, "node long, element long").groupBy("element").agg(
         F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
@@ -286,15 +298,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, shape: DataFrame, threshold: Fr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            (left, left_at), (right, right_at) = _elements(batch.column("x")), _elements(batch.column("y"))
+            linked = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                x, y = left[left_at[i]:left_at[i + 1]], right[right_at[i]:right_at[i + 1]]
                 both = np.concatenate([x, y])
                 both.sort()
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
-                linked.append(below * common >= above * (len(x) + len(y) - common))
+                linked[i] = below * common >= above * (len(x) + len(y) - common)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+                [batch.column("a"), batch.column("b"), pa.array(linked)], names=["a", "b", "linked"])
 
     for side in "ab":
         pairs = pairs.join(shape.select(*(F.col(c).alias(n) for c, n in (

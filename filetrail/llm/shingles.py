@@ -9,7 +9,7 @@ import pyarrow as pa
 
 from filetrail.llm.common import bytes_of
 
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
