@@ -387,7 +387,6 @@ ORACLES["stream_match_replay"] = ORACLES["best_match"]
 ORACLES["stateful_match"] = ORACLES["best_match"]
 ORACLES["incremental_graph"] = ORACLES["session_edges"]
 ORACLES["streamed_lineage"] = ORACLES["lineage_depth"]
-ORACLES["streamed_verdicts"] = ORACLES["session_edges"]
 _SHIFTED = f"""{_EDGES}, red as ({_shift('edges', 'e', 1)}),
  blue as (select m.vec_id - 2 as vec_id, dy, dx, round(sum(pow(m.e - f.e, 2)) / 64, 12) as err
    from edges m, range(-3, 4) a(dy), range(-3, 4) b(dx), edges f

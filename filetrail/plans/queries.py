@@ -771,7 +771,7 @@ def stream_files(spark, sf_dir):
 @query
 def stream_match_replay(spark, sf_dir):
     uploads = bindings.fingerprinted_uploads(spark, sf_dir)
-    out = _replayed(uploads, "stream-match", 3, lambda s, path, cp: streams.stream_match(s, path, ["phash"], cp))
+    out = _replayed(uploads, "stream-match", 3, lambda s, path, cp: streams.stream_match(s, path, ["phash"], cp, buckets=16))
     return streams.read_matches(spark, out)
 
 
@@ -789,22 +789,13 @@ def incremental_graph(spark, sf_dir):
     return streams.read_graph(spark, out)[1]
 
 
-def _streamed_lineage(spark, sf_dir) -> str:
-    uploads = bindings.fingerprinted_uploads(spark, sf_dir)
-    return _replayed(uploads, "lineage", 3, lambda s, path, cp: streams.stream_lineage(
-        s, path, ["phash"], _judge_documents, PARENT_COLUMNS, cp))
-
-
 @query
 def streamed_lineage(spark, sf_dir):
     """Uploads to matches, verdicts and the depths of the growing graph, batch by batch."""
-    return streams.read_depths(spark, _streamed_lineage(spark, sf_dir))
-
-
-@query
-def streamed_verdicts(spark, sf_dir):
-    """The edges of the results that the same stream has written, by the latest upload of each file."""
-    return streams.read_graph(spark, _streamed_lineage(spark, sf_dir))[1]
+    uploads = bindings.fingerprinted_uploads(spark, sf_dir)
+    out = _replayed(uploads, "lineage", 2, lambda s, path, cp: streams.stream_lineage(
+        s, path, ["phash"], _judge_documents, PARENT_COLUMNS, cp, buckets=16))
+    return streams.read_depths(spark, out)
 
 
 # Query keys that differ from their function's name.

@@ -164,9 +164,9 @@ def read_matches(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_match(
-    uploads: DataFrame, path: str, hashes: list[str], checkpoint: str, radius: int = MATCH_DISTANCE
+    uploads: DataFrame, path: str, hashes: list[str], checkpoint: str, radius: int = MATCH_DISTANCE, **levels
 ) -> StreamingQuery:
-    return run_available(uploads, match_batches(path, hashes, radius), checkpoint)
+    return run_available(uploads, match_batches(path, hashes, radius, **levels), checkpoint)
 
 
 # --- state in the operator -------------------------------------------------------------------------------------
