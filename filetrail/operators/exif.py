@@ -95,12 +95,10 @@ def with_directories(valid: DataFrame, keys: list[str]) -> DataFrame:
         "exif_start": pointer(TAG_EXIF_POINTER), "gps_start": pointer(TAG_GPS_POINTER),
     })
     ifd1_start = F.when(F.col("next_start") > 0, F.col("next_start")).otherwise(F.col("size"))
-    return linked.select(
-        *keys, "little", "next_start", "ifd0",
-        directory(t, F.col("exif_start"), le).alias("exif"),
-        directory(t, F.col("gps_start"), le).alias("gps"),
-        directory(t, ifd1_start, le).alias("ifd1"),
-    )
+    # One expression for the three other directories: plans of this size are costly to build.
+    others = F.transform(F.array("exif_start", "gps_start", ifd1_start), lambda start: directory(t, start, le))
+    return linked.withColumn("others", others).select(
+        *keys, "little", "next_start", "ifd0", *(F.get("others", i).alias(name) for i, name in enumerate(("exif", "gps", "ifd1"))))
 
 
 def _big_endian(digits: Column, little: Column) -> Column:
