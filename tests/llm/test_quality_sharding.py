@@ -74,3 +74,21 @@ def test_sharding_of_few_rows(spark, skewed):
     assert sharding.shard(skewed.limit(0)).count() == 0
     got = sharding.shard(skewed.orderBy(F.desc("doc_id")).limit(2)).collect()
     assert len(got) == 2 and all(r.slot in (0, 1) for r in got)
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_counting_rounds_are_few(spark, monkeypatch, sf):
+    counted, plain = [], sharding._between
+    monkeypatch.setattr(sharding, "_between", lambda *args: counted.append(1) or plain(*args))
+    docs = table(spark, f"/root/testdata/sf{sf}", "documents")
+    got = sharding.shard(docs, 40).groupBy("shard").agg(F.sum("size").alias("n"), F.max("size").alias("most")).collect()
+    total, most = sum(r["n"] for r in got), max(r["most"] for r in got)
+    assert len(counted) <= 16
+    assert all(abs(r["n"] - total / 40) <= max(total / 40 * 0.02, most) + 1 for r in got)
+
+
+def test_asked_columns_may_be_named_like_inner_ones(spark):
+    rows = [(1, "a b", 7, "r", 3, 9), (2, None, 8, None, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key long, row string, size long, slice long")
+    got = sharding.shard(docs, 2, columns=("key", "row", "size", "slice")).orderBy("doc_id").collect()
+    assert [(r.key, r.row, r.own_size, r.slice, r.size) for r in got] == [(7, "r", 3, 9, 19), (8, None, None, 1, 16)]
