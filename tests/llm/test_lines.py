@@ -115,3 +115,35 @@ def test_other_white_space_is_no_blank_line(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = lines.dedup_lines(docs, 2, report=True).collect()
     assert sorted((r.doc_id, r.n_lines, r.n_deleted, r.n_stretches, r.kept_sha256) for r in got) == brute(rows, 2)
+
+
+@pytest.mark.parametrize("run", [1, 2, 3])
+def test_maximal_runs(spark, run):
+    rnd = random.Random(run)
+    base = [[f"line {rnd.randrange(30)}" for _ in range(rnd.randint(1, 40))] for _ in range(8)]
+    rows = [(i, "\n".join(x for _ in range(rnd.randint(0, 3)) for x in rnd.choice([*base, [f"own {i}"]]))) for i in range(60)]
+    rows += [(200, "a\n" * 37), (201, "\n".join(base[0] * 5)), (202, None), (203, rows[3][1])]
+    full = {d: [x for x in (t or "").split("\n") if x.strip(" ")] for d, t in rows}
+    place = lambda d: min(o for o, t in rows if t == dict(rows)[d])
+    got = lines.repeated_runs(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), run).collect()
+    covered, matches = set(), set()
+    for d, p, n, e, q in got:
+        mine, first = full[d][p:], full[e][q:]
+        common = next((k for k, (x, y) in enumerate(zip(mine, first)) if x != y), min(len(mine), len(first)))
+        assert (e, q) < (d, p) and n == common >= run and place(d) == d and place(e) == e
+        covered.update((d, k) for k in range(p, p + n))
+        matches.add((d, p, e, q))
+    assert not any((d, p - 1, e, q - 1) in matches for d, p, e, q in matches) and len(matches) == len(got)
+    seen, expected = {}, set()
+    for d in sorted({place(d) for d in full}):
+        for p in range(len(full[d]) - run + 1):
+            if seen.setdefault(tuple(full[d][p:p + run]), (d, p)) != (d, p):
+                expected.update((d, k) for k in range(p, p + run))
+    assert covered == expected
+
+
+def test_a_long_copy_is_one_run(spark):
+    rows = [(1, "\n".join(f"l{i}" for i in range(1000))), (2, "\n".join(["x", *[f"l{i}" for i in range(3, 990)], "y"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [tuple(r) for r in lines.repeated_runs(docs).collect()] == [(2, 1, 987, 1, 3)]
+    assert lines.repeated_runs(docs.limit(1)).count() == 0
