@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,12 @@ def scan_files(spark: SparkSession, path: str, glob: str | None = None, max_byte
     return limited(reader.load(path), max_bytes).withColumn("filename", F.substring_index("path", "/", -1))
 
 
+def entry_name(root: str, path: Column) -> Column:
+    """The file or folder directly under the scanned `root` in which a path lies; a table may be one file or a folder of parts."""
+    inside = re.sub(r"^[A-Za-z][\w+.-]*:(//[^/]*)?", "", root).strip("/")
+    return F.substring_index(F.element_at(F.split(path, rf"/\Q{inside}\E/+", 2), -1), "/", 1)
+
+
 def limited(files: DataFrame, max_bytes: int | None) -> DataFrame:
     """Files up to the limit with their bytes, and the larger ones as rows that do not select them."""
     if max_bytes is None:
