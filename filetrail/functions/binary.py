@@ -55,9 +55,14 @@ def indexes(count: Column) -> Column:
 
 
 def fixed_records(data: Column, base: Column | int, count: Column, stride: int) -> Column:
-    """array<binary> of up to `count` whole records of `stride` bytes from offset `base`."""
+    """array<binary> of up to `count` whole records of `stride` bytes from offset `base`.
+
+    The data is read out of its row once, not once per record: a lambda that names a column copies the column's bytes each time.
+    """
     base = F.lit(base) if isinstance(base, int) else base
-    fitting = F.greatest(F.lit(0), F.floor((F.octet_length(data) - base) / stride))
-    return F.transform(
-        indexes(F.least(count, fitting)), lambda i: piece(data, base + i * stride, stride)
-    )
+
+    def records(whole: Column) -> Column:
+        fitting = F.greatest(F.lit(0), F.floor((F.octet_length(whole) - base) / stride))
+        return F.transform(indexes(F.least(count, fitting)), lambda i: piece(whole, base + i * stride, stride))
+
+    return let(data, records)

@@ -1,10 +1,12 @@
 """The set-based matcher against a step-by-step simulation of uploads with replacement."""
 
 import random
+import time
 
 import pytest
 from filetrail.operators import matching
-from filetrail.operators.features import local_feature_match
+from filetrail.operators.features import descriptors_to_rows, local_feature_match
+from pyspark.sql import functions as F
 
 from test_hamming import flipped, signed
 
@@ -122,3 +124,14 @@ def test_feature_pass_equals_brute_force(spark, cell_files):
     rows = local_feature_match(features, df, min_good=4, block_rows=8, cell_files=cell_files).collect()
     assert {r.arrival: (r.parent_file_id, r.parent_order, r.metric) for r in rows} == want
     assert len(want) > 10
+
+
+def test_records_of_a_large_blob_do_not_copy_it_each(spark):
+    count = 100_000
+    blob = F.sequence(F.lit(0), F.lit(count - 1))
+    blob = F.unhex(F.array_join(F.transform(blob, lambda i: F.lpad(F.hex(i.cast("bigint")), 64, "0")), ""))
+    start = time.time()
+    got = descriptors_to_rows(spark.range(1).select(blob.alias("blob")).repartition(1), "blob").agg(
+        F.count("*").alias("n"), F.sum((F.conv(F.hex("descriptor"), 16, 10).cast("int") != F.col("kp")).cast("int")).alias("wrong")).first()
+    assert (got.n, got.wrong) == (count, 0)
+    assert time.time() - start < 20
