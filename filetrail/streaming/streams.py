@@ -9,6 +9,7 @@ depths of a growing graph in one stream.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -246,15 +247,17 @@ class _Shard(StatefulProcessor):
         now = timerValues.getCurrentProcessingTimeInMs() if self.ttl_ms else 0
         if self.ttl_ms and not list(self.handle.listTimers()):
             self.handle.registerTimer(now + self.ttl_ms)
-        # An upload asks before it is stored.
-        arriving = pd.concat(list(rows)).sort_values(["arrival", "asks"], ascending=[True, False])
+        # An upload asks before it is stored. A shard mostly has a row or two, so nothing is built per shard that a list can do.
+        columns = ("arrival", "asks", "file_id", "h")
+        arriving = [row for frame in rows for row in zip(*(frame[c].tolist() for c in columns), strict=True)]
         found = []
-        for file, arrival, h, asks in zip(*(arriving[c].tolist() for c in ("file_id", "arrival", "h", "asks")), strict=True):
+        for arrival, asks, file, h in sorted(arriving, key=lambda row: (row[0], not row[1])):
             if not asks:
                 self._put(h, file, arrival, now)
             elif best := self._nearest(h):
                 found.append((session, arrival, rank, *best))
-        yield pd.DataFrame(found, columns=[c.split()[0] for c in CANDIDATES.split(", ")])
+        if found:
+            yield pd.DataFrame(found, columns=[c.split()[0] for c in CANDIDATES.split(", ")])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Drop files last seen longer ago than they live, from the fronts of the queues."""
@@ -276,6 +279,21 @@ class _Shard(StatefulProcessor):
         pass
 
 
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """RocksDB for the queries that start inside, whatever the session is set to; a query keeps the store it started with."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def stateful_candidates(
     uploads: DataFrame, hashes: list[str], radius: int = MATCH_DISTANCE, bands: int = STATE_BANDS,
     ttl_ms: int | None = None,
@@ -285,11 +303,11 @@ def stateful_candidates(
     Sharded like the batch join: an upload asks under the keys of the searched side and is stored under those of the
     other side, so it meets every candidate within the radius in at least one shard. Fewer, wider bands (4 for sessions of a
     million values) make shards of fewer values out of more keys. State is kept per shard, never per session; with `ttl_ms` a file goes when it
-    was not uploaded for so long. The session must use the RocksDB state store.
+    was not uploaded for so long. The query must start inside `state_store`, or in a session that uses the RocksDB state store.
     """
     spark = uploads.sparkSession
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
-        raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {ROCKSDB}, as build_session does")
+        raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {ROCKSDB}, as state_store and build_session do")
     steps = [(1, layout(radius, min(bands, radius + 1)))]
     keys = band_table(spark, steps, searched=True).withColumn("asks", F.lit(True)).unionByName(
         band_table(spark, steps, searched=False).withColumn("asks", F.lit(False)))
@@ -315,7 +333,8 @@ def stateful_match(
             F.get(names, F.col("b.rank")).alias("match_type"),
         ), batch_id, f"{path}/matches")
 
-    return run_available(stateful_candidates(uploads, hashes, radius, **options), absorb, checkpoint)
+    with state_store(uploads.sparkSession):
+        return run_available(stateful_candidates(uploads, hashes, radius, **options), absorb, checkpoint)
 
 
 # --- a growing graph -------------------------------------------------------------------------------------------

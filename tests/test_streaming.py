@@ -212,3 +212,14 @@ def test_depths_after_every_batch_equal_those_of_the_whole_graph(spark, tmp_path
     stored = spark.read.parquet(str(tmp_path / "results")).collect()
     assert len(stored) == 70
     assert all(r.parent_filename == f"{r.parent_file_id}@{r.parent_order}" for r in stored if r.parent_file_id)
+
+
+def test_state_match_runs_in_a_session_with_another_state_store(spark, tmp_path):
+    plain, key = spark.newSession(), "spark.sql.streaming.stateStore.providerClass"
+    plain.conf.set(key, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    before = plain.conf.get(key)
+    plain.createDataFrame([("s", 1, "f", 5, 5), ("s", 2, "g", 7, 7)], SCHEMA).write.parquet(str(tmp_path / "in"))
+    stream = plain.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    streams.stateful_match(stream, str(tmp_path / "out"), ["phash", "dhash"], str(tmp_path / "cp"))
+    assert found(streams.read_matches(plain, str(tmp_path / "out")).collect()) == {("s", 2): ("f", 1, 1, "phash")}
+    assert plain.conf.get(key) == before
