@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filetrail.functions.binary import indexes, let
@@ -13,24 +13,31 @@ def shared_shingle_match(docs: DataFrame, min_shared: int = 25, words: int = 5)
     """Pairs of different texts with at least `min_shared` distinct `words`-word shingles in common.
 
     Returns doc_id, other_id (the smallest ids of either text), copies, other_copies, shared. Equal texts are one.
-    Of two sets with that overlap, the elements that remain without the `min_shared - 1` most frequent ones of
-    each must meet, so only those are joined, rarest first; none is dropped for being frequent.
+    Shingles that occur in the same texts are one family, told by their number of texts and two hashes of these: a passage is
+    one element with the weight of its shingles, however many they are. Of two sets with that overlap, the families that remain
+    without the most frequent ones of up to `min_shared - 1` in weight must meet, so only those are joined; none is dropped for being
+    frequent. Shingles that one text alone has meet nothing and go before anything but their count moves.
     """
     texts = docs.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     grams = let(F.split("text", " "), lambda cut: F.transform(
         indexes(F.size(cut) - (words - 1)), lambda i: F.xxhash64(F.array_join(F.slice(cut, i + 1, words), " "))))
-    sets = stage(texts.select("doc_id", "copies", F.array_distinct(grams).alias("grams")).filter(
-        F.size("grams") >= min_shared), "shingle-sets")
-    rows = sets.select("doc_id", F.explode("grams").alias("gram"))
-    counts = rows.groupBy("gram").agg(F.count("*").alias("n"))
-    ranked = rows.join(counts, "gram").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("ranked"))
-    # An element that one text alone has meets nothing.
-    prefix = ranked.select("doc_id", F.explode(F.slice("ranked", F.lit(1), F.size("ranked") - (min_shared - 1))).alias("r")).filter(
-        "r.n > 1").select("doc_id", F.col("r.gram").alias("gram"))
-    other = prefix.select(F.col("doc_id").alias("other_id"), "gram")
-    pairs = prefix.join(other, "gram").filter("doc_id < other_id").select("doc_id", "other_id").distinct()
-    theirs = sets.select(F.col("doc_id").alias("other_id"), F.col("copies").alias("other_copies"), F.col("grams").alias("other_grams"))
-    return pairs.join(sets, "doc_id").join(theirs, "other_id").select(
+    long_enough = F.size(F.split("text", " ")) >= min_shared + words - 1
+    # The families and the join below both use all its columns, so this exchange is made once and read twice.
+    rows = texts.filter(long_enough).select("doc_id", "copies", F.explode(F.array_distinct(grams)).alias("gram")).repartition("gram")
+    family = ["n", "s", "x"]
+    met = rows.groupBy("gram").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("s"), F.bit_xor(F.xxhash64("copies", "doc_id")).alias("x"))
+    members = stage(rows.join(met.filter("n > 1"), "gram").groupBy("doc_id", "copies", *family).agg(
+        F.count("*").alias("weight")), "shingle-families")
+    down = Window.partitionBy("doc_id").orderBy(*[F.col(c).desc() for c in family])
+    prefix = members.withColumn("above", F.sum("weight").over(down)).filter(F.col("above") >= min_shared).select("doc_id", *family)
+    other = prefix.withColumnRenamed("doc_id", "other_id")
+    pairs = prefix.join(other, family).filter("doc_id < other_id").select("doc_id", "other_id").distinct()
+    listed = members.groupBy("doc_id", "copies").agg(F.collect_list(F.concat_ws(":", *family, "weight")).alias("families"))
+    theirs = listed.toDF("other_id", "other_copies", "other_families")
+    weights = F.transform(
+        F.array_intersect("families", "other_families"), lambda f: F.substring_index(f, ":", -1).cast("bigint"))
+    return pairs.join(listed, "doc_id").join(theirs, "other_id").select(
         "doc_id", "other_id", "copies", "other_copies",
-        F.size(F.array_intersect("grams", "other_grams")).cast("bigint").alias("shared"),
+        F.aggregate(weights, F.lit(0).cast("bigint"), lambda sum_, w: sum_ + w).alias("shared"),
     ).filter(F.col("shared") >= min_shared)
