@@ -23,6 +23,7 @@ BUCKET_ENTRIES = 1_000_000
 HEAVY_CLASSES = 100_000
 FREQUENT_SHINGLES = 200_000
 LISTED = 1 << 17  # elements listed at a time
+LEAST_SLOTS, MOST_SLOTS = 128, 1 << 15  # parities of a set
 FREQUENT = 300  # a shingle that one document in so many has is frequent
 
 
@@ -327,17 +328,62 @@ def _labelled(groups: DataFrame, tested: DataFrame) -> DataFrame:
     return stage(known.join(split, "gid"), "jaccard-split")
 
 
+def parities(elements: np.ndarray, bits: int) -> np.ndarray:
+    """One bit per slot, packed in 64-bit integers: whether an odd number of the elements falls into the slot."""
+    slots = (mix(elements) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(slots, minlength=bits).astype(np.uint8) & 1).view(np.int64)
+
+
+def parity_bits(size: int, threshold: Fraction) -> int:
+    """Slots for a set: a power of two, about eight or more for each element in which it may differ from one of its size."""
+    wanted = 16 * size * (1 - threshold) / (1 + threshold)
+    return min(max(1 << math.ceil(wanted).bit_length(), LEAST_SLOTS), MOST_SLOTS)
+
+
+def _marked(sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """(node, marks, coarse): the parities of each set, and those for half as many slots."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            elements, bounds = _elements(batch.column("elements"))
+            marks = [parities(elements[a:b], parity_bits(b - a, threshold)) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            halves = [m[:len(m) // 2] ^ m[len(m) // 2:] for m in marks]
+            lists = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), pa.array(marks, lists), pa.array(halves, lists)], names=["node", "marks", "coarse"])
+
+    return sets.mapInArrow(run, "node long, marks array<long>, coarse array<long>")
+
+
+def _close(threshold: Fraction) -> Column:
+    """Whether the parities of two sets leave open that they are similar enough.
+
+    A slot whose parities differ holds an element of only one of them, so two sets differ in no fewer elements than slots.
+    """
+    wide, narrow = F.size("a_marks"), F.size("b_marks")
+
+    def apart(a: str, b: str) -> Column:
+        unequal = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        return F.aggregate(unequal, F.lit(0), lambda n, more: n + more)
+
+    differ = F.when(wide == narrow, apart("a_marks", "b_marks")).when(wide == 2 * narrow, apart("a_coarse", "b_marks")).when(
+        narrow == 2 * wide, apart("a_marks", "b_coarse")).otherwise(0)
+    above, below = threshold.numerator, threshold.denominator
+    return (below + above) * differ <= (below - above) * (F.col("a_size") + F.col("b_size"))
+
+
 def _possible(split: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     """(a, b): pairs of different components in a group whose sets can still be similar enough.
 
-    Elements that no other set of these groups has cannot be common, so the rest of the smaller one bounds what two sets share.
-    Near copies of one text that are each changed too much fall away by this, without being compared.
+    Elements that no other set of these groups has cannot be common, so the rest of the smaller one bounds what two sets share; the
+    parities of both bound it too. Near copies of one text that are each changed too much fall away by this, without their sets
+    being brought together. What is left to grow with the square of a group is the comparison of parities inside the join.
     """
-    shape = _shape(sets.join(split.select("node").distinct(), "node"))
-    known = stage(split.join(shape, "node"), "jaccard-live")
-    left, right = (known.select("gid", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "comp", "size", "shared"))) for side in "ab")
+    live = sets.join(split.select("node").distinct(), "node")
+    known = stage(split.join(_shape(live), "node").join(_marked(live, threshold), "node"), "jaccard-live")
+    columns = ("node", "comp", "size", "shared", "marks", "coarse")
+    left, right = (known.select("gid", *(F.col(c).alias(f"{side}_{c}") for c in columns)) for side in "ab")
     other = (F.col("a_node") < F.col("b_node")) & (F.col("a_comp") != F.col("b_comp"))
-    return left.join(right, (left["gid"] == right["gid"]) & other & _enough(threshold)).select(
+    return left.join(right, (left["gid"] == right["gid"]) & other & _enough(threshold) & _close(threshold)).select(
         F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
 
 

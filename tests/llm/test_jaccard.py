@@ -127,3 +127,20 @@ def test_shingles_equal_the_definition():
         got = set(values[bounds[i]:bounds[i + 1]].tolist())
         names.setdefault(frozenset(s), got)
         assert names[frozenset(s)] == got
+
+
+def test_near_copies_under_the_threshold_are_not_paired(spark):
+    """Copies of one text whose changes come from a short list: every element is shared, few pairs are similar enough."""
+    rnd = np.random.default_rng(8)
+    threshold = Fraction(85, 100)
+    for size, changed in ((60, 7), (400, 45), (3000, 340)):
+        base, pool = (rnd.integers(0, 2**63, n).astype(np.uint64) for n in (size, 12 * changed))
+        sets = [np.concatenate([rnd.permutation(base)[changed:], rnd.permutation(pool)[:changed]]) for _ in range(60)]
+        for i in range(0, 60, 6):  # links between sets of different sizes
+            sets.append(np.append(sets[i], rnd.integers(0, 2**63, int(size * 0.1)).astype(np.uint64)))
+        similar = {(a, b) for b in range(len(sets)) for a in range(b) for common in [len(np.intersect1d(sets[a], sets[b]))]
+                   if common >= threshold * (len(sets[a]) + len(sets[b]) - common)}
+        df = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "node long, elements binary")
+        split = spark.createDataFrame([(1, i, i) for i in range(len(sets))], "gid long, node long, comp long")
+        pairs = {(r.a, r.b) for r in jaccard._possible(split, df, threshold).collect()}
+        assert len(similar) >= 10 and similar <= pairs and len(pairs) <= len(similar) + 100
