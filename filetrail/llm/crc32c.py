@@ -8,6 +8,7 @@ import numpy as np
 POLYNOMIAL = 0x82F63B78
 MASK_DELTA = 0xA282EAD8
 CHUNK = 1024
+STEP_BYTES = 1 << 20  # of strings worked through at a time
 
 
 def _byte_table() -> np.ndarray:
@@ -55,6 +56,14 @@ def crc32c(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarr
     starts, lengths = np.asarray(starts, np.int64), np.asarray(lengths, np.int64)
     if not len(starts):
         return np.zeros(0, np.uint32)
+    step = np.cumsum(lengths) // STEP_BYTES
+    if step[0] != step[-1]:  # index arrays are several times the strings' bytes
+        edges = [0, *(np.flatnonzero(step[1:] != step[:-1]) + 1).tolist(), len(starts)]
+        return np.concatenate([_crc32c(raw, starts[a:b], lengths[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+    return _crc32c(raw, starts, lengths)
+
+
+def _crc32c(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     chunks = np.maximum(1, -(-lengths // CHUNK))
     first = np.concatenate([[0], np.cumsum(chunks)])
     owner = np.repeat(np.arange(len(starts)), chunks)

@@ -1,6 +1,7 @@
 """Record files and packing against plain encoding, text by text."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -48,6 +49,30 @@ def test_encoder_equals_the_library():
         assert np.frombuffer(encoder.encode([text])[0], encoder.dtype).tolist() == plain(text, 0)[:-1], repr(text)
 
 
+def test_encoder_with_words_that_a_memo_confuses_or_has_no_room_for():
+    encoder = Encoder(vocabulary_path())
+    encoder.memo = type(encoder.memo)(40, encoder.dtype)
+    words = [f"w{i}" for i in range(30)]
+    texts = ["a\0 b", "a b", "a\nb", " ".join(words), "\n".join(words), " ".join(f"{w}x" for w in words * 2), "c" * 15 + " " + "c" * 16,
+             "fünfzehnzeichen日 fünfzehnzeichen日本", " ".join(f"v{i}" for i in range(100)), "b a"]
+    for asked in (texts, *([t] for t in texts), texts[::-1]):
+        got = [np.frombuffer(ids, encoder.dtype).tolist() for ids in encoder.encode(asked)]
+        assert got == [plain(t, 0)[:-1] for t in asked]
+    encoder.encode(["b a"])
+    assert 0 < encoder.memo.rows <= 40
+
+
+def test_checksums_hold_little_more_than_a_step_of_strings():
+    n = 8_000
+    raw, lengths = np.tile(np.frombuffer(bytes(range(250)) * 8, np.uint8), n // 2), np.full(n, 1000)
+    tracemalloc.start()
+    found = crc32c.crc32c(raw, np.arange(n) * 1000, lengths)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(found.tolist())) == 1 and found[0] == crc32c.crc32c(raw, [0], [1000])[0]
+    assert most < 80 << 20, most
+
+
 def test_records_round_trip(spark, docs):
     index = records.with_starts(records.write_records(docs, end_id=0))
     got = sorted(((r.doc_id is not None, r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in records.read_records(index).collect()),
