@@ -371,20 +371,35 @@ def _close(threshold: Fraction) -> Column:
     return (below + above) * differ <= (below - above) * (F.col("a_size") + F.col("b_size"))
 
 
+def _ranked(split: DataFrame) -> DataFrame:
+    """(node, comp, gid, earlier): a row for each group of a node, with those of its groups that come before, the largest first.
+
+    Groups of near copies overlap widely, so two sets meet in many; they are a pair only in the first. A node is in no more groups than
+    its set has signatures.
+    """
+    sizes = split.groupBy("gid").agg(F.count("*").alias("n"))
+    listed = split.join(sizes, "gid").groupBy("node").agg(
+        F.min("comp").alias("comp"), F.sort_array(F.collect_set(F.struct((-F.col("n")).alias("n"), "gid")))["gid"].alias("gids"))
+    each = listed.select("node", "comp", "gids", F.posexplode("gids").alias("at", "gid"))
+    return each.select("node", "comp", "gid", F.slice("gids", F.lit(1), F.col("at")).alias("earlier"))
+
+
 def _possible(split: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
     """(a, b): pairs of different components in a group whose sets can still be similar enough.
 
     Elements that no other set of these groups has cannot be common, so the rest of the smaller one bounds what two sets share; the
     parities of both bound it too. Near copies of one text that are each changed too much fall away by this, without their sets
-    being brought together. What is left to grow with the square of a group is the comparison of parities inside the join.
+    being brought together, and a pair comes out of the join once, however many groups it shares. What is left to grow with the square of a
+    group is the comparison of parities inside the join.
     """
     live = sets.join(split.select("node").distinct(), "node")
-    known = stage(split.join(_shape(live), "node").join(_marked(live, threshold), "node"), "jaccard-live")
-    columns = ("node", "comp", "size", "shared", "marks", "coarse")
+    known = stage(_ranked(split).join(_shape(live), "node").join(_marked(live, threshold), "node"), "jaccard-live")
+    columns = ("node", "comp", "size", "shared", "marks", "coarse", "earlier")
     left, right = (known.select("gid", *(F.col(c).alias(f"{side}_{c}") for c in columns)) for side in "ab")
     other = (F.col("a_node") < F.col("b_node")) & (F.col("a_comp") != F.col("b_comp"))
-    return left.join(right, (left["gid"] == right["gid"]) & other & _enough(threshold) & _close(threshold)).select(
-        F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+    first = ~F.arrays_overlap("a_earlier", "b_earlier")
+    return left.join(right, (left["gid"] == right["gid"]) & other & _enough(threshold) & _close(threshold) & first).select(
+        F.col("a_node").alias("a"), F.col("b_node").alias("b"))
 
 
 def link_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:

@@ -144,3 +144,28 @@ def test_near_copies_under_the_threshold_are_not_paired(spark):
         split = spark.createDataFrame([(1, i, i) for i in range(len(sets))], "gid long, node long, comp long")
         pairs = {(r.a, r.b) for r in jaccard._possible(split, df, threshold).collect()}
         assert len(similar) >= 10 and similar <= pairs and len(pairs) <= len(similar) + 100
+
+
+def made_by_joins(plan):
+    """Rows that the joins of an executed plan with a condition made."""
+    name = plan.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return made_by_joins(plan.finalPhysicalPlan())
+    if name.startswith("ShuffleQueryStage"):
+        return made_by_joins(plan.plan())
+    own = plan.metrics().get("numOutputRows").get().value() if "Join" in name and "a_comp" in plan.simpleString(10_000) else 0
+    return own + sum(made_by_joins(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_a_pair_that_shares_many_groups_is_made_once(spark):
+    rnd = np.random.default_rng(5)
+    threshold, base = Fraction(85, 100), rnd.integers(0, 2**63, 200).astype(np.uint64)
+    sets = [np.append(rnd.permutation(base)[:195], rnd.integers(0, 2**63, 3).astype(np.uint64)) for _ in range(30)]
+    df = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "node long, elements binary")
+    members = [(g, i, i) for g in range(12) for i in range(30) if g == 3 or rnd.random() < 0.8]
+    members = [m for m in members if m[0] != 3 or m[1] < 15]
+    together = {(a, b) for g, a, _ in members for h, b, _ in members if g == h and a < b}
+    pairs = jaccard._possible(spark.createDataFrame(members, "gid long, node long, comp long"), df, threshold)
+    rows = [(r.a, r.b) for r in pairs.collect()]
+    assert set(rows) == together and len(rows) == len(together)
+    assert made_by_joins(pairs._jdf.queryExecution().executedPlan()) == len(together)
