@@ -54,3 +54,11 @@ def test_empty_documents(spark):
     for _, apply in corpus_pipeline.STAGES:
         docs = apply(spark, docs, SF_DIR)
     assert docs.count() == 0
+
+
+def test_a_stage_called_alone_works_in_small_batches(spark, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    monkeypatch.setattr(corpus_pipeline.jaccard, "keep_one", lambda docs, **_: seen.append(int(spark.conf.get(name))) or docs)
+    before = spark.conf.get(name)
+    dict(corpus_pipeline.STAGES)["n-gram jaccard join"](spark, spark.range(1), "")
+    assert seen == [8 << 20] and spark.conf.get(name) == before
