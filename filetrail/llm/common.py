@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from filetrail.session import stage
 
-__all__ = ["bytes_of", "crc_u32", "parts_for", "remove", "stage", "table", "texts_of", "worker_store"]
+__all__ = ["bytes_of", "crc_u32", "lean", "parts_for", "remove", "stage", "table", "texts_of", "worker_store"]
 
 PART_BYTES = 32 << 20
 
@@ -32,6 +34,34 @@ def worker_store(name: str) -> dict:
     return vars(module).setdefault(name, {})
 
 
+def keep_stores(*names: str) -> None:
+    """Drop what earlier work of this process left in other stores, and give free memory back to the system."""
+    module = sys.modules.get("filetrail_worker_store")
+    others = [n for n, held in vars(module).items() if isinstance(held, dict) and not n.startswith("__") and n not in names] if module else []
+    for name in others:
+        delattr(module, name)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries keep freed memory and have this
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator], *stores: str) -> Callable[[Iterator], Iterator]:
+    """`run`, over a task's batches, with no other stores than `stores` in the worker process and no free memory held after it.
+
+    Workers are used again by the steps that follow, and by default an executor keeps all it ever had; what each holds from steps that are done
+    with adds up beside the JVM.
+    """
+    def held(batches: Iterator) -> Iterator:
+        keep_stores(*stores)
+        try:
+            yield from run(batches)
+        finally:
+            keep_stores(*stores)
+
+    return held
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Texts of an Arrow column; nulls are empty."""
     return [t or "" for t in column.to_pylist()]

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filetrail.llm.common import stage
+from filetrail.llm.common import lean, stage
 from filetrail.llm.components import components
 from filetrail.llm.shingles import mix, set_keys, shingle_sets, steps
 
@@ -152,7 +152,7 @@ def sizes_and_classes(docs: DataFrame, words: int) -> DataFrame:
                     pa.nulls(n, pa.int64()), pa.array(counts[many]), _signed(values[starts[many]]), pa.array(np.zeros(n, np.int64)),
                     pa.array(np.ones(n, bool))], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, check long, shingle boolean")
+    return docs.mapInArrow(lean(run), "doc_id long, n_shingles long, node long, check long, shingle boolean")
 
 
 def _groups(docs: DataFrame, words: int, threshold: Fraction, facts: DataFrame, shingles: DataFrame) -> DataFrame:
@@ -212,8 +212,8 @@ def _groups(docs: DataFrame, words: int, threshold: Fraction, facts: DataFrame,
         if held:
             yield _met(held)
 
-    chunks = docs.mapInArrow(sign, "bucket int, found binary, nodes binary, at binary")
-    met = chunks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "gid long, node long")
+    chunks = docs.mapInArrow(lean(sign), "bucket int, found binary, nodes binary, at binary")
+    met = chunks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(meet), "gid long, node long")
     return stage(met.distinct(), "jaccard-groups")
 
 
@@ -267,7 +267,7 @@ def _sets(docs: DataFrame, words: int, facts: DataFrame, wanted: DataFrame) -> D
                     pa.array(nodes[right]),
                     pa.array([values[bounds[i]:bounds[i + 1]].tobytes() for i in right], pa.binary())], names=["node", "elements"])
 
-    return stage(texts.select("node", "text").mapInArrow(run, "node long, elements binary").dropDuplicates(["node"]), "jaccard-sets")
+    return stage(texts.select("node", "text").mapInArrow(lean(run), "node long, elements binary").dropDuplicates(["node"]), "jaccard-sets")
 
 
 def _shape(sets: DataFrame) -> DataFrame:
@@ -281,7 +281,7 @@ def _shape(sets: DataFrame) -> DataFrame:
                 owner = np.searchsorted(bounds, np.arange(start, end), side="right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[owner]), _signed(elements[start:end])], names=["node", "element"])
 
-    alone = sets.mapInArrow(listed, "node long, element long").groupBy("element").agg(
+    alone = sets.mapInArrow(lean(listed), "node long, element long").groupBy("element").agg(
         F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
     return sets.select("node", (F.octet_length("elements") / 8).cast("long").alias("size")).join(alone, "node", "left").select(
         "node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
@@ -316,7 +316,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, shape: DataFrame, threshold: Fr
     judged = stage(pairs.select("a", "b", _enough(threshold).alias("open")), "jaccard-judged")
     x = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
-    tested = judged.filter("open").select("a", "b").join(x, "a").join(y, "b").mapInArrow(run, "a long, b long, linked boolean")
+    tested = judged.filter("open").select("a", "b").join(x, "a").join(y, "b").mapInArrow(lean(run), "a long, b long, linked boolean")
     return stage(tested.unionByName(judged.filter("not open").select("a", "b", F.lit(False).alias("linked"))), "jaccard-tested")
 
 
@@ -351,7 +351,7 @@ def _marked(sets: DataFrame, threshold: Fraction) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node"), pa.array(marks, lists), pa.array(halves, lists)], names=["node", "marks", "coarse"])
 
-    return sets.mapInArrow(run, "node long, marks array<long>, coarse array<long>")
+    return sets.mapInArrow(lean(run), "node long, marks array<long>, coarse array<long>")
 
 
 def _close(threshold: Fraction) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filetrail.llm.common import stage
+from filetrail.llm.common import keep_stores, stage
 
 
 def full_lines(text: Column) -> Column:
@@ -189,6 +189,7 @@ def dedup_lines(docs: DataFrame, run: int = 2, report: bool = False, words: int
 
     @F.pandas_udf("text string, went long, stretches long, sha string")
     def cut(texts: pd.Series, runs: pd.Series, alone: pd.Series, copies: pd.Series) -> pd.DataFrame:
+        keep_stores()
         out = []
         for t, r, a, c in zip(texts, runs, alone, copies, strict=True):
             if t is None:

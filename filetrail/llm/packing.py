@@ -36,7 +36,7 @@ def tokenize(docs: DataFrame, path: str | None = None, end_id: int = 1) -> DataF
             ], names=[c.split()[0] for c in TOKENS.split(", ")])
             start += int(counts.sum())
 
-    return common.stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, TOKENS), "tokens")
+    return common.stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.lean(run, "encoders"), TOKENS), "tokens")
 
 
 def pack(docs: DataFrame, length: int = 2048, path: str | None = None, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
@@ -90,7 +90,7 @@ def pack(docs: DataFrame, length: int = 2048, path: str | None = None, end_id: i
                 out.append(pa.array([c.tobytes() for c in cut], pa.binary()))
             yield pa.RecordBatch.from_arrays(out, names=[c.split()[0] for c in schema.split(", ")])
 
-    return tokens.mapInArrow(run, schema)
+    return tokens.mapInArrow(common.lean(run), schema)
 
 
 def sequences(pieces: DataFrame, length: int = 2048, pad_id: int = 0) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filetrail.llm.common import worker_store
+from filetrail.llm.common import keep_stores, worker_store
 
 # Bounds of what the fit sees; everything scored is scored whole.
 ROWS_PER_CLASS = 2_000  # labelled texts of each class, lowest hashes of the text first
@@ -133,6 +133,7 @@ def score(docs: DataFrame, model: Model | None, column: str = "quality_score") -
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        keep_stores("compressors")
         store = worker_store("compressors")
         if key not in store:
             store.clear()

@@ -98,7 +98,7 @@ def write_records(docs: DataFrame, folder: str | None = None, path: str | None =
                 ], names=[c.split()[0] for c in INDEX.split(", ")])
                 offset, start, record = offset + int(frames.sum()), start + int(counts.sum()), record + n
 
-    return common.stage(ordered.mapInArrow(write, INDEX), "record-index")
+    return common.stage(ordered.mapInArrow(common.lean(write, "encoders"), INDEX), "record-index")
 
 
 def with_starts(index: DataFrame) -> DataFrame:
@@ -146,7 +146,7 @@ def read_records(index: DataFrame, keep_ids: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 out + [pa.array(ids, pa.binary())] * keep_ids, names=[c.split()[0] for c in schema.split(", ")])
 
-    return columns.mapInArrow(read, schema)
+    return columns.mapInArrow(common.lean(read), schema)
 
 
 def _runs(rows: np.ndarray, offsets: np.ndarray, lengths: np.ndarray) -> Iterator[np.ndarray]:

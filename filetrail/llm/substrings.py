@@ -12,11 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filetrail.llm.common import bytes_of, stage, worker_store
+from filetrail.llm.common import bytes_of, keep_stores, lean, stage, worker_store
 from filetrail.llm.shingles import mix
 
 GRAM = 50  # bytes of an anchor
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18  # of text that a worker looks at together: some ten arrays of eight bytes each
 BUCKET_BYTES = 12 << 20  # of text per bucket of anchors
 COLUMNS_IN_MEMORY = 64 << 20
 HEAVY_TEXTS = 100_000
@@ -187,7 +187,7 @@ def _hot_grams(docs: DataFrame, length: int, speakers: dict[int, int | None]) ->
                 yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64))], names=["gram"])
 
     some = docs.filter(F.pmod("text_key", F.lit(SAMPLE_ONE_IN)) == 0)
-    found = some.mapInArrow(find, "gram long").groupBy("gram").count().filter(F.col("count") >= HOT_IN_SAMPLE)
+    found = some.mapInArrow(lean(find, "powers"), "gram long").groupBy("gram").count().filter(F.col("count") >= HOT_IN_SAMPLE)
     return np.sort(np.array([r["gram"] for r in found.collect()], np.int64).view(np.uint64))
 
 
@@ -228,9 +228,9 @@ def _anchor_rows(docs: DataFrame, length: int, speakers: dict[int, int | None],
         for entries in _whole_buckets(batches, ENTRY):
             yield _met(entries, hot)
 
-    chunks = docs.mapInArrow(find, "bucket int, gram binary, context binary, text binary, at binary, count binary")
+    chunks = docs.mapInArrow(lean(find, "powers"), "bucket int, gram binary, context binary, text binary, at binary, count binary")
     met = chunks.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return stage(met.mapInArrow(meet, "text_key long, at long, what int"), "repeats-anchors")
+    return stage(met.mapInArrow(lean(meet, "powers"), "text_key long, at long, what int"), "repeats-anchors")
 
 
 # --- column-wise construction --------------------------------------------------------------------------------------
@@ -333,9 +333,9 @@ def _asked(texts: DataFrame, length: int, buckets: int) -> DataFrame:
                 [pa.array(text[row]), pa.array(begin + low), pa.array(begin + high - 1 + length)], names=["text_key", "low", "high"])
 
     chunks = texts.select("text_key", "text", "places").mapInArrow(
-        cut, "bucket int, symbols binary, text binary, at binary, size binary, ask binary")
+        lean(cut, "powers"), "bucket int, symbols binary, text binary, at binary, size binary, ask binary")
     return chunks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(
-        compare, "text_key long, low long, high long")
+        lean(compare, "powers"), "text_key long, low long, high long")
 
 
 def _windows(texts: DataFrame, length: int) -> DataFrame:
@@ -370,7 +370,7 @@ def _windows(texts: DataFrame, length: int) -> DataFrame:
                         [pa.array(window.view(np.int64)), pa.array(np.full(len(i), keys[row])), pa.array(step)],
                         names=["window", "text_key", "low"])
 
-    found = stage(texts.select("text_key", "text", "hot").mapInArrow(cut, "window long, text_key long, low long"), "repeats-windows")
+    found = stage(texts.select("text_key", "text", "hot").mapInArrow(lean(cut, "powers"), "window long, text_key long, low long"), "repeats-windows")
     several = found.groupBy("window").count().filter("count > 1").select("window").hint("merge")
     return found.join(several, "window", "left_semi").select("text_key", "low", (F.col("low") + length).alias("high"))
 
@@ -464,7 +464,7 @@ def removal_report(docs: DataFrame, length: int = 200) -> DataFrame:
                 [batch.column("text_key"), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(shas, pa.string())],
                 names=["text_key", "removed", "runs", "left_sha"])
 
-    found = spans.mapInArrow(report, "text_key long, removed long, runs long, left_sha string")
+    found = spans.mapInArrow(lean(report, "powers"), "text_key long, removed long, runs long, left_sha string")
     copied = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     empty = hashlib.sha256(b"").hexdigest()
     return rows.join(found, "text_key", "left").select(
@@ -484,6 +484,7 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
 
     @F.pandas_udf("string")
     def shorten(texts: pd.Series, found: pd.Series) -> pd.Series:
+        keep_stores()
         out = []
         for text, ranges in zip(texts, found, strict=True):
             data = text.encode()
