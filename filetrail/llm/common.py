@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from filetrail.session import stage
 
-__all__ = ["bytes_of", "crc_u32", "lean", "parts_for", "remove", "stage", "table", "texts_of", "worker_store"]
+__all__ = ["bytes_of", "crc_u32", "lean", "parts_for", "remove", "screened", "stage", "table", "texts_of", "worker_store"]
 
 PART_BYTES = 32 << 20
+SCREEN_BITS = 1 << 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +95,20 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
     return df.select(F.sum(F.octet_length(column))).first()[0] or 0
 
 
+def screened(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """`rows` with `may`: false where `key` is surely not among `wanted`'s, so that an exact join need not move these rows.
+
+    What is broadcast are the bits of a table of fixed size, whatever the data; keys that share a bit let more rows through.
+    """
+    bit = F.pmod(F.xxhash64(key), F.lit(SCREEN_BITS))
+    words = wanted.select(bit.alias("__bit")).select(
+        F.expr("__bit div 64").alias("__word"), F.expr("shiftleft(1L, cast(__bit % 64 as int))").alias("__held")).groupBy("__word").agg(
+        F.bit_or("__held").alias("__held"))
+    placed = rows.withColumn("__bit", bit).withColumn("__word", F.expr("__bit div 64"))
+    may = F.expr("coalesce(getbit(__held, cast(__bit % 64 as int)), 0) = 1")
+    return placed.join(F.broadcast(words), "__word", "left").select(*rows.columns, may.alias("may"))
+
+
 def remove(df: DataFrame) -> None:
     """Delete a staged table that no later step reads."""
     jvm = df.sparkSession._jvm

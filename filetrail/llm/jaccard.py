@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filetrail.llm.common import lean, stage
+from filetrail.llm.common import lean, remove, screened, stage
 from filetrail.llm.components import components
 from filetrail.llm.shingles import mix, set_keys, shingle_sets, steps
 
@@ -128,21 +128,22 @@ def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(a, np.uint64).view(np.int64))
 
 
-def sizes_and_classes(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles and two hashes of each document's set; equal hashes are one class.
+def sizes_and_classes(docs: DataFrame, words: int, threshold: Fraction) -> DataFrame:
+    """doc_id, n_shingles, two hashes and the parities of each document's set; equal hashes are one class.
 
     Rows with `shingle` true instead count, in n_shingles, a shingle (node) that many documents of one piece of the input have.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_shingles", "node", "check", "shingle"]
+        names, lists = ["doc_id", "n_shingles", "node", "check", "shingle", "marks"], pa.list_(pa.int64())
         for batch in batches:
             for a, b, raw, offsets in steps(batch, "text"):
                 values, bounds = shingle_sets(raw, offsets, words)
                 one, two = set_keys(values, bounds)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[a:b], pa.array(np.diff(bounds)), _signed(one), _signed(two), pa.array(np.zeros(b - a, bool))],
-                    names=names)
+                marks = [parities(values[i:j], parity_bits(j - i, threshold)) for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("doc_id")[a:b], pa.array(np.diff(bounds)), _signed(one), _signed(two), pa.array(np.zeros(b - a, bool)),
+                    pa.array(marks, lists)], names=names)
                 values.sort()
                 starts = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
                 counts = np.diff(np.append(starts, len(values)))
@@ -150,9 +151,9 @@ def sizes_and_classes(docs: DataFrame, words: int) -> DataFrame:
                 n = int(many.sum())
                 yield pa.RecordBatch.from_arrays([
                     pa.nulls(n, pa.int64()), pa.array(counts[many]), _signed(values[starts[many]]), pa.array(np.zeros(n, np.int64)),
-                    pa.array(np.ones(n, bool))], names=names)
+                    pa.array(np.ones(n, bool)), pa.nulls(n, lists)], names=names)
 
-    return docs.mapInArrow(lean(run), "doc_id long, n_shingles long, node long, check long, shingle boolean")
+    return docs.mapInArrow(lean(run), "doc_id long, n_shingles long, node long, check long, shingle boolean, marks array<long>")
 
 
 def _groups(docs: DataFrame, words: int, threshold: Fraction, facts: DataFrame, shingles: DataFrame) -> DataFrame:
@@ -254,7 +255,7 @@ def _elements(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _sets(docs: DataFrame, words: int, facts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, elements): the sets of the wanted classes, from the text of one document of each."""
     one = wanted.join(facts.filter("n_shingles > 0"), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.join(one.hint("shuffle_hash"), "doc_id")
+    texts = screened(docs, one, "doc_id").filter("may").join(one.hint("shuffle_hash"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -371,6 +372,24 @@ def _close(threshold: Fraction) -> Column:
     return (below + above) * differ <= (below - above) * (F.col("a_size") + F.col("b_size"))
 
 
+def _meeting(groups: DataFrame, counted: DataFrame, threshold: Fraction) -> DataFrame:
+    """The rows of `groups` whose set has another one in the group that sizes and parities do not rule out, staged.
+
+    Two sets that are similar enough keep the rows of every group they share. Most groups come from passages that texts without any other
+    likeness have in common; their sets go here by a few bytes each, before the sets themselves move. The parities are compared inside the join, which gives a row
+    at most once.
+    """
+    parities_of = counted.filter("n_shingles > 0").select("node", F.col("n_shingles").alias("size"), "marks").dropDuplicates(["node"])
+    half = F.expr("size(marks) div 2")
+    coarse = F.zip_with(F.slice("marks", F.lit(1), half), F.slice("marks", half + 1, half), lambda x, y: x.bitwiseXOR(y))
+    known = groups.join(parities_of, "node").select("gid", "node", "size", "marks", coarse.alias("coarse"))
+    left, right = (known.select("gid", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "size", "marks", "coarse"))) for side in "ab")
+    fits = threshold.denominator * F.least("a_size", "b_size") >= threshold.numerator * F.greatest("a_size", "b_size")
+    other = F.col("a_node") != F.col("b_node")
+    kept = left.join(right, (left["gid"] == right["gid"]) & other & fits & _close(threshold), "left_semi")
+    return stage(kept.select("gid", F.col("a_node").alias("node")), "jaccard-meeting")
+
+
 def _ranked(split: DataFrame) -> DataFrame:
     """(node, comp, gid, earlier): a row for each group of a node, with those of its groups that come before, the largest first.
 
@@ -405,7 +424,7 @@ def _possible(split: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFra
 def link_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
     """Components of documents whose word-shingle sets have Jaccard similarity `threshold` or more: exact, no pair is missed.
 
-    Equal sets are one class. Classes that share a signature form a group, and groups shrink without listing their pairs: a class is tested with the
+    Equal sets are one class. Classes that share a signature form a group; a class that no other of the group can be similar to leaves it. Groups shrink without listing their pairs: a class is tested with the
     smallest class it meets; as long as links turn up, one class of each component left in a group is tested with the group's
     smallest; at last the pairs between different components that still share a group are tested, all of them.
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable by links). Texts without words (null, empty) have 0 shingles
@@ -413,9 +432,11 @@ def link_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
     has no component if none of them has a doc_id. Other columns are ignored; an empty table gives no row.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    counted = stage(sizes_and_classes(docs, words), "jaccard-facts")
-    facts = counted.filter(~F.col("shingle")).drop("shingle")
+    counted = stage(sizes_and_classes(docs, words, threshold), "jaccard-facts")
+    facts = counted.filter(~F.col("shingle")).drop("shingle", "marks")
     groups = _groups(docs, words, threshold, facts, counted.filter("shingle"))
+    if not groups.isEmpty():
+        groups = _meeting(groups, counted.filter(~F.col("shingle")), threshold)
     if groups.isEmpty():
         label = None
     else:
@@ -446,9 +467,13 @@ def link_components(docs: DataFrame, words: int = 5, threshold: Fraction = Fract
 
 def keep_one(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
     """One document of each component stays, the one of smallest doc_id, with all its columns. Rows without doc_id stay."""
-    linked = stage(link_components(docs, words, threshold), "jaccard-components")
-    go = linked.filter("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(go.hint("shuffle_hash"), "doc_id", "left_anti")  # one plan at every size
+    found = link_components(docs, words, threshold)
+    linked = stage(found, "jaccard-components")
+    remove(found)
+    go = stage(linked.filter("doc_id != component_id").select("doc_id").distinct(), "jaccard-copies")
+    sure = screened(docs, go, "doc_id")
+    kept = sure.filter("not may").drop("may").unionByName(
+        sure.filter("may").drop("may").join(go.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns))  # one plan at every size
     if linked.filter("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept
     named = kept.filter("doc_id is not null")

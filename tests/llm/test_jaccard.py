@@ -7,7 +7,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 from filetrail.llm import jaccard, shingles
-from filetrail.llm.common import table
+from filetrail.llm.common import screened, table
 from filetrail.llm.components import components
 from pyspark.sql import functions as F
 
@@ -169,3 +169,25 @@ def test_a_pair_that_shares_many_groups_is_made_once(spark):
     rows = [(r.a, r.b) for r in pairs.collect()]
     assert set(rows) == together and len(rows) == len(together)
     assert made_by_joins(pairs._jdf.queryExecution().executedPlan()) == len(together)
+
+
+def test_sets_that_only_share_a_passage_do_not_move(spark, monkeypatch):
+    rnd = random.Random(12)
+    passage = [f"p{k}" for k in range(120)]
+    words = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    texts = [" ".join(words(120) + passage + words(80)) for _ in range(150)]
+    texts += [t.replace("p7 ", "q7 ") for t in texts[:10]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    asked, sets = [], jaccard._sets
+    monkeypatch.setattr(jaccard, "_sets", lambda d, w, facts, wanted: asked.append(wanted.count()) or sets(d, w, facts, wanted))
+    got = {r.doc_id: r.component_id for r in jaccard.link_components(docs, 5, Fraction(4, 5)).collect()}
+    assert got == {i: i if i < 150 else i - 150 for i in range(160)}
+    assert 20 <= asked[0] <= 30
+
+
+@pytest.mark.parametrize("many", [3, 3000])
+def test_screened_rows_hold_every_wanted_one(spark, many):
+    rows = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    out = screened(rows, rows.filter(F.col("doc_id") < many), "doc_id").collect()
+    may = {r.doc_id for r in out if r.may}
+    assert len(out) == 20_000 and may >= set(range(many)) and len(may) < many + 50
