@@ -8,6 +8,7 @@ depths of a growing graph in one stream.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -70,7 +71,7 @@ def _fields(names: str) -> T.StructType:
 
 LIVE = _fields("session_id rank:int h:long file_id arrival:long")
 BAND_KEYS = _fields("session_id rank:int band:int band_key:long h:long")
-STREAM_BANDS, STATE_BANDS = 4, 8  # of the index in tables; of the state, where each key is a call
+STREAM_BANDS, STATE_BANDS = 4, 11  # of the index in tables; of the state, where each key is a row and a part of a shard
 
 
 def _slots(hashes: list[str]) -> Column:
@@ -175,12 +176,18 @@ def stream_match(
 CANDIDATES = "session_id string, arrival bigint, rank int, distance int, parent_order bigint, parent_file_id string"
 
 
+ASKS, BOTH = 1, 2  # what an upload does under a key: it asks, or it asks and then is stored; 0: it is stored
+CHUNKS = 32  # of a shard's values
+FEW_CHUNKS = 8  # that a trigger reads one by one
+COMPARED = 1 << 21  # distances at a time
+
+
 class _Shard(StatefulProcessor):
     """The files of one (session, fingerprint, band, band value), queued per value by their latest upload.
 
-    The head of a value is the front of its queue. A queue is doubly linked through point reads: an upload moves its file to the back, so it
-    costs a constant number of reads however many files carry the value. An upload whose value has a head is settled by
-    one read; only a value seen for the first time looks at the shard's other values, one entry each, once per trigger at most.
+    The head of a value is the front of its queue; an upload moves its file to the back. Queues are kept in a fixed number of chunks by a hash of the
+    value, so a trigger costs one read and one write per chunk that it touches, however many uploads it brings. Uploads whose value has a head need
+    their own chunk only; values seen for the first time are compared with the shard's other values in arrays, once per trigger.
     """
 
     def __init__(self, radius: int, ttl_ms: int | None):
@@ -188,89 +195,120 @@ class _Shard(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.queues = handle.getMapState("queues", "h bigint", "front string, arrival bigint, back string")
-        self.files = handle.getMapState("files", "h bigint, file_id string", "arrival bigint, prev string, next string, seen bigint")
-
-    def _link(self, h: int, file: str, prev: str | None = None, next_: str | None = None, ahead: bool = False) -> None:
-        """Set what lies before a file in its queue (or, with `ahead`, after it)."""
-        arrival, old_prev, old_next, seen = self.files.getValue((h, file))
-        self.files.updateValue((h, file), (arrival, *((old_prev, next_) if ahead else (prev, old_next)), seen))
-
-    def _remove(self, h: int, file: str) -> None:
-        _, prev, next_, _ = self.files.getValue((h, file))
-        self.files.removeKey((h, file))
-        if prev is not None:
-            self._link(h, prev, next_=next_, ahead=True)
-        if next_ is not None:
-            self._link(h, next_, prev=prev)
-        front, arrival, back = self.queues.getValue((h,))
-        if prev is None and next_ is None:
-            self.queues.removeKey((h,))
-            self.known.pop(h, None)
+        self.chunks = handle.getMapState("chunks", "chunk int", "files string")  # lists of values, files, arrivals and times seen, as JSON
+
+    def _begin(self) -> None:
+        self.queues: dict[int, dict[str, tuple[int, int]]] = {}  # of the chunks that were read: value, file, (arrival, seen)
+        self.read, self.changed = set(), set()
+
+    def _chunk(self, h: int) -> int:
+        return (h * 0x9E3779B97F4A7C15 & (1 << 64) - 1) * CHUNKS >> 64
+
+    def _take(self, files: str) -> None:
+        for h, file, arrival, seen in zip(*json.loads(files), strict=True):
+            self.queues.setdefault(h, {})[file] = (arrival, seen)
+
+    def _read(self, chunks: set[int] | None = None) -> None:
+        """Read these chunks, or all, as far as they were not read."""
+        if chunks is None or len(chunks) > FEW_CHUNKS:
+            if len(self.read) < CHUNKS:
+                for (chunk,), (files,) in self.chunks.iterator():
+                    if chunk not in self.read:
+                        self._take(files)
+                self.read.update(range(CHUNKS))
             return
-        if prev is None:
-            front, arrival = next_, self.files.getValue((h, next_))[0]
-        self.queues.updateValue((h,), (front, arrival, prev if next_ is None else back))
-        self.known[h] = (arrival, front)
-
-    def _put(self, h: int, file: str, arrival: int, now: int) -> None:
-        if self.files.containsKey((h, file)):
-            self._remove(h, file)
-        queue = self.queues.getValue((h,)) if self.queues.containsKey((h,)) else None
-        self.files.updateValue((h, file), (arrival, queue[2] if queue else None, None, now))
-        if queue:
-            self._link(h, queue[2], next_=file, ahead=True)
-        front, first = (queue[0], queue[1]) if queue else (file, arrival)
-        self.queues.updateValue((h,), (front, first, file))
-        self.known[h] = (first, front)
-
-    def _nearest(self, h: int) -> tuple[int, int, str] | None:
-        """(distance, order, file) of the best candidate."""
-        if h in self.known or self.queues.containsKey((h,)):
-            front, arrival, _ = self.queues.getValue((h,))
-            return 0, arrival, front
-        if not self.listed:
-            self.known.update((k[0], (v[1], v[0])) for k, v in self.queues.iterator())
-            self.listed = True
-        if not self.known:
-            return None
-        values = np.fromiter(self.known, np.int64, len(self.known))
-        distances = np.bitwise_count((values ^ np.int64(h)).view(np.uint64))
-        least = int(distances.min())
-        if least > self.radius:
-            return None
-        return (least, *min(self.known[v] for v in values[distances == least].tolist()))
+        for chunk in chunks - self.read:
+            if self.chunks.containsKey((chunk,)):
+                self._take(self.chunks.getValue((chunk,))[0])
+            self.read.add(chunk)
+
+    def _write(self) -> None:
+        held = {chunk: [] for chunk in self.changed}
+        for h, queue in self.queues.items():
+            if (rows := held.get(self._chunk(h))) is not None:
+                rows.extend((h, file, arrival, seen) for file, (arrival, seen) in queue.items())
+        for chunk, rows in held.items():
+            if rows:
+                self.chunks.updateValue((chunk,), (json.dumps(list(zip(*rows, strict=True))),))
+            else:
+                self.chunks.removeKey((chunk,))
+
+    def _front(self, h: int) -> tuple[int, str]:
+        file, (arrival, _) = next(iter(self.queues[h].items()))
+        return arrival, file
+
+    def _near(self, unknown: list[tuple[int, int, int]], fresh: list[int]) -> dict[int, tuple[int, list[int]]]:
+        """(least distance, values at it) of values that were unknown when they asked, by their place among the rows.
+
+        `unknown` has places, values and how many of the `fresh` ones, in order of their first upload, were stored by then.
+        """
+        values = np.array([*self.queues, *fresh], np.int64)
+        found, base = {}, len(self.queues)
+        if not len(values):
+            return found
+        places, asked, known = (np.array(c, np.int64) for c in zip(*unknown, strict=True))
+        step = max(1, COMPARED // len(values))
+        for i in range(0, len(places), step):
+            before = known[i:i + step]
+            there = values[:base + before[-1]]
+            if not len(there):
+                continue
+            distances = np.bitwise_count((there ^ asked[i:i + step, None]).view(np.uint64))
+            distances[:, base:][np.arange(len(there) - base) >= before[:, None]] = 255
+            least = distances.min(1)
+            for row in np.flatnonzero(least <= self.radius).tolist():
+                found[int(places[i + row])] = (int(least[row]), there[distances[row] == least[row]].tolist())
+        return found
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         session, rank = key[0], key[1]
-        self.known, self.listed = {}, False  # values met in this trigger, all of the shard's once they are listed
         now = timerValues.getCurrentProcessingTimeInMs() if self.ttl_ms else 0
         if self.ttl_ms and not list(self.handle.listTimers()):
             self.handle.registerTimer(now + self.ttl_ms)
-        # An upload asks before it is stored. A shard mostly has a row or two, so nothing is built per shard that a list can do.
         columns = ("arrival", "asks", "file_id", "h")
         arriving = [row for frame in rows for row in zip(*(frame[c].tolist() for c in columns), strict=True)]
+        arriving.sort(key=lambda row: (row[0], not row[1]))  # an upload asks before it is stored
+        self._begin()
+        self._read({self._chunk(row[3]) for row in arriving})
+        unknown, fresh = [], {}
+        for n, (_, asks, _, h) in enumerate(arriving):
+            if h not in self.queues and h not in fresh:
+                if asks:
+                    unknown.append((n, h, len(fresh)))
+                if asks != ASKS:
+                    fresh[h] = None
+        near = {}
+        if unknown:
+            self._read()
+            near = self._near(unknown, list(fresh))
         found = []
-        for arrival, asks, file, h in sorted(arriving, key=lambda row: (row[0], not row[1])):
-            if not asks:
-                self._put(h, file, arrival, now)
-            elif best := self._nearest(h):
-                found.append((session, arrival, rank, *best))
+        for n, (arrival, asks, file, h) in enumerate(arriving):
+            if asks and n in near:
+                distance, values = near[n]
+                found.append((session, arrival, rank, distance, *min(map(self._front, values))))
+            elif asks and h in self.queues:
+                found.append((session, arrival, rank, 0, *self._front(h)))
+            if asks != ASKS:
+                queue = self.queues.setdefault(h, {})
+                queue.pop(file, None)
+                queue[file] = (arrival, now)
+                self.changed.add(self._chunk(h))
+        self._write()
         if found:
             yield pd.DataFrame(found, columns=[c.split()[0] for c in CANDIDATES.split(", ")])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """Drop files last seen longer ago than they live, from the fronts of the queues."""
-        self.known, self.listed = {}, False
+        """Drop files last seen longer ago than they live."""
         now, oldest = timerValues.getCurrentProcessingTimeInMs(), None
-        for (h,), (file, _, _) in list(self.queues.iterator()):
-            while file is not None:
-                _, _, next_, seen = self.files.getValue((h, file))
-                if seen + self.ttl_ms > now:
-                    oldest = seen if oldest is None else min(oldest, seen)
-                    break
-                self._remove(h, file)
-                file = next_
+        self._begin()
+        self._read()
+        for h, queue in list(self.queues.items()):
+            living = {file: (arrival, seen) for file, (arrival, seen) in queue.items() if seen + self.ttl_ms > now}
+            if len(living) < len(queue):
+                self.queues[h] = living
+                self.changed.add(self._chunk(h))
+            oldest = min([*(seen for _, seen in living.values()), *([] if oldest is None else [oldest])], default=None)
+        self._write()
         if oldest is not None:
             self.handle.registerTimer(oldest + self.ttl_ms)
         yield pd.DataFrame([], columns=[c.split()[0] for c in CANDIDATES.split(", ")])
@@ -301,16 +339,18 @@ def stateful_candidates(
     """Candidate parents of a stream of uploads; the best of an upload's rows is its parent.
 
     Sharded like the batch join: an upload asks under the keys of the searched side and is stored under those of the
-    other side, so it meets every candidate within the radius in at least one shard. Fewer, wider bands (4 for sessions of a
-    million values) make shards of fewer values out of more keys. State is kept per shard, never per session; with `ttl_ms` a file goes when it
-    was not uploaded for so long. The query must start inside `state_store`, or in a session that uses the RocksDB state store.
+    other side, so it meets every candidate within the radius in at least one shard; a key of both sides is one row. One band more than the radius
+    lists one key per band, so a session has few shards (about 600 at radius 10), and calls do not grow with the uploads; fewer, wider bands make shards of fewer values out
+    of more keys. State is kept per shard, never per session; with `ttl_ms` a file goes when it was not uploaded for so long. The query must start inside `state_store`, or in a session that uses the RocksDB state store.
     """
     spark = uploads.sparkSession
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
         raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {ROCKSDB}, as state_store and build_session do")
     steps = [(1, layout(radius, min(bands, radius + 1)))]
-    keys = band_table(spark, steps, searched=True).withColumn("asks", F.lit(True)).unionByName(
-        band_table(spark, steps, searched=False).withColumn("asks", F.lit(False)))
+    listed_by = band_table(spark, steps, searched=True).withColumn("asks", F.lit(ASKS)).unionByName(
+        band_table(spark, steps, searched=False).withColumn("asks", F.lit(0)))
+    keys = listed_by.groupBy("layout", "band", "shift", "keep", "mask").agg(
+        F.when(F.count("*") > 1, BOTH).otherwise(F.max("asks")).alias("asks"))
     listed = _listed(uploads, hashes).withColumn("layout", F.lit(0))
     shards = listed.join(F.broadcast(keys), "layout").select(
         "session_id", "rank", "band", F.expr("(shiftrightunsigned(h, shift) & keep) ^ mask").alias("band_value"),

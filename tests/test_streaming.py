@@ -223,3 +223,17 @@ def test_state_match_runs_in_a_session_with_another_state_store(spark, tmp_path)
     streams.stateful_match(stream, str(tmp_path / "out"), ["phash", "dhash"], str(tmp_path / "cp"))
     assert found(streams.read_matches(plain, str(tmp_path / "out")).collect()) == {("s", 2): ("f", 1, 1, "phash")}
     assert plain.conf.get(key) == before
+
+
+def test_calls_of_a_trigger_do_not_grow_with_its_values():
+    made, handle = shard()
+    rng = random.Random(9)
+    values = [rng.getrandbits(62) for _ in range(4000)]
+    written, update = [], FakeMap.updateValue
+    for m in handle.maps.values():
+        m.updateValue = lambda key, value, m=m: written.append(key) or update(m, key, value)
+    for at in (0, 2000):
+        some = [(f"f{i}", i, values[i], asks) for i in range(at, at + 2000) for asks in (True, False)]
+        assert trigger(made, some) == []
+    assert handle.reads() < 200 and len(written) < 200
+    assert trigger(made, [("n", 5000, values[3999] ^ 5, True)]) == [("s", 5000, 0, 2, 3999, "f3999")]
